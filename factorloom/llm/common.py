@@ -75,6 +75,17 @@ def id_bucket(df: DataFrame, id_col: str, n: int) -> Column:
     return F.when(F.col(id_col).isNull(), F.lit(-1)).otherwise(tree(0, max(1, len(bounds) - 1)))
 
 
+def grouped(fn, **options):
+    """``fn(table, **options)`` as applyInArrow takes it."""
+    import pyarrow as pa
+
+    def call(table: pa.Table) -> pa.Table:
+        return fn(table, **options)
+
+    call.__annotations__ = {"table": pa.Table, "return": pa.Table}
+    return call
+
+
 class Sets:
     """Union-find over any keys; the root of a set is its smallest key."""
 
