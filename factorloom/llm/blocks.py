@@ -19,7 +19,7 @@ import zstandard
 from pyspark import TaskContext
 
 #: Bytes of text to a block; a longer document is a block of its own.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -38,6 +38,40 @@ def unpack(data: bytes, dtype=np.int64) -> np.ndarray:
     return out.view(np.uint64).reshape(-1).astype(dtype)
 
 
+def pack_ranks(ranks: np.ndarray) -> bytes:
+    """Ranks by frequency: one byte below 255, else 255 and the rest as byte planes of their own."""
+    rare = ranks >= 255
+    rest = pack(ranks[rare] - 255)
+    head = zstandard.ZstdCompressor(level=1).compress(np.where(rare, 255, ranks).astype(np.uint8).tobytes())
+    return len(head).to_bytes(8, "little") + head + rest
+
+
+def unpack_ranks(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    out = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[8 : 8 + n]), np.uint8).astype(np.int32)
+    out[out == 255] += unpack(data[8 + n :], np.int32)
+    return out
+
+
+def pack_documents(ranks: np.ndarray, part: np.ndarray) -> bytes:
+    head = pack_ranks(ranks)
+    return len(head).to_bytes(8, "little") + head + pack(part)
+
+
+def unpack_documents(data: bytes) -> tuple[np.ndarray, dict[int, np.ndarray], int]:
+    """All documents' ranks, the places() of the block's words, and how many distinct words there are."""
+    n = int.from_bytes(data[:8], "little")
+    part = unpack(data[8 + n :])
+    return unpack_ranks(data[8 : 8 + n]), places(part), len(part)
+
+
+def places(part: np.ndarray) -> dict[int, np.ndarray]:
+    """The ranks of each part's words, in the order of that part's row."""
+    order = np.argsort(part, kind="stable")
+    names, first = np.unique(part[order], return_index=True)
+    return dict(zip(names.tolist(), np.split(order, first[1:]), strict=True)) if len(part) else {}
+
+
 def pack_many(*arrays: np.ndarray | bytes) -> bytes:
     """Several packed arrays (or byte strings) in one, each with its length before it."""
     out = []
@@ -78,11 +112,12 @@ def schema(id_type: str) -> str:
     return f"block bigint, part int, ids array<{id_type}>, sizes array<int>, flags array<boolean>, data binary"
 
 
-def build(batches: Iterator[pa.RecordBatch], words_of: Callable[[str], Iterable[list]], parts: int, out: pa.Schema) -> Iterator[pa.RecordBatch]:
+def build(batches: Iterator[pa.RecordBatch], words_of: Callable[[str], Iterable[list]], parts: int, counts: bool, out: pa.Schema) -> Iterator[pa.RecordBatch]:
     """From batches of (id, text, flag) to rows of schema(). ``words_of`` gives a text's words in lists.
 
-    Words' rows hold ranks, word sizes, word bytes and counts in flagged-False documents. Block numbers
-    come from the partition's number; the rows are to be written before they are used twice.
+    The documents' row holds the words' ranks and, by rank, each distinct word's part. A part's row holds
+    its words in the order of their ranks: sizes, bytes and, if asked for, counts in documents flagged
+    False. Block numbers come from the partition's number; write the rows before using them twice.
     """
     context = TaskContext.get()
     base, serial = (context.partitionId() if context else 0) << 24, count()
@@ -95,18 +130,20 @@ def build(batches: Iterator[pa.RecordBatch], words_of: Callable[[str], Iterable[
         flat = np.concatenate(numbers) if numbers else np.zeros(0, np.uint32)
         n = len(vocab)
         freq = np.bincount(flat, minlength=n)
+        by_rank = np.argsort(-freq, kind="stable")
         rank = np.empty(n, np.int64)
-        rank[np.argsort(-freq, kind="stable")] = np.arange(n)
-        seen = np.bincount(flat, weights=np.repeat(~np.array(flags, bool), sizes), minlength=n).astype(np.int64)
+        rank[by_rank] = np.arange(n)
+        seen = np.bincount(flat, weights=np.repeat(~np.array(flags, bool), sizes), minlength=n).astype(np.int64)[by_rank] if counts else None
         words = [w.encode("utf-8", "surrogatepass") if isinstance(w, str) else w for w in vocab]
+        words = [words[i] for i in by_rank.tolist()]
         part = np.fromiter((crc32(w) % parts for w in words), np.int64, n)
-        order = np.lexsort((rank, part))
+        order = np.argsort(part, kind="stable")
         cuts = np.searchsorted(part[order], np.arange(parts + 1))
-        rows = [(block, -1, ids, sizes.tolist(), flags, pack(rank[flat]))]
+        rows = [(block, -1, ids, sizes.tolist(), flags, pack_documents(rank[flat], part))]
         for p in range(parts):
             if cuts[p] < cuts[p + 1]:
                 o = order[cuts[p] : cuts[p + 1]]
-                rows.append((block, p, None, None, None, pack_many(np.diff(rank[o], prepend=0), *pack_words([words[i] for i in o]), seen[o])))
+                rows.append((block, p, None, None, None, pack_many(*pack_words([words[i] for i in o]), *([seen[o]] if counts else []))))
         ids, flags, held, numbers, vocab = [], [], 0, [], defaultdict(count().__next__)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), out.types, strict=True)], schema=out)
 
@@ -122,3 +159,52 @@ def build(batches: Iterator[pa.RecordBatch], words_of: Callable[[str], Iterable[
                 yield from close()
     if ids:
         yield from close()
+
+
+def texts(batches: Iterator[pa.RecordBatch], out: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Blocks of whole texts (null: empty) as they are, under zstandard: (block, ids, data, and the batches'
+    third column, if any, as a list)."""
+    context = TaskContext.get()
+    base, serial = (context.partitionId() if context else 0) << 24, count()
+    ids, held, extra, size = [], [], [], 0
+
+    def close() -> pa.RecordBatch:
+        data = pack_many(np.fromiter(map(len, held), np.int64, len(held)), b"".join(held))
+        row = (base + next(serial), ids, data, extra)[: len(out.types)]
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, out.types, strict=True)], schema=out)
+
+    for b in batches:
+        more = b.column(2).to_pylist() if b.num_columns > 2 else [None] * len(b)
+        for i, text, x in zip(b.column(0).to_pylist(), b.column(1), more, strict=True):
+            ids.append(i)
+            extra.append(x)
+            held.append((text.as_py() or "").encode("utf-8", "surrogatepass"))
+            size += len(held[-1]) + 16
+            if size >= BLOCK_BYTES:
+                yield close()
+                ids, held, extra, size = [], [], [], 0
+    if ids:
+        yield close()
+
+
+def open_texts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A block's raw bytes, and where its documents begin (with the end)."""
+    sizes, raw = unpack_many(data, (1,))
+    return np.frombuffer(raw, np.uint8), np.r_[0, np.cumsum(sizes)]
+
+
+def id_order(ids: list) -> np.ndarray:
+    """Ids as integers; those of null come last."""
+    return np.array([np.iinfo(np.int64).max if i is None else i for i in ids], np.int64)
+
+
+def pack_runs(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> bytes:
+    """Runs sorted by document: documents as gaps, starts, windows, then the number of runs in 8 bytes."""
+    return pack_many(np.diff(doc.astype(np.int64), prepend=0), start, n) + len(doc).to_bytes(8, "little")
+
+
+def unpack_runs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Documents, starts, windows, and the number of runs."""
+    m = int.from_bytes(data[-8:], "little")
+    doc, start, n = unpack_many(data[:-8])
+    return np.cumsum(doc), start, n, m

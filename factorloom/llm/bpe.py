@@ -60,13 +60,13 @@ def _words(pattern: str, text: str) -> Iterator[list[str]]:
 
 
 def _encode_words(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
-    """Rows of words to rows of ids: (block, part, data: ranks, ids per word, ids)."""
+    """Rows of words to rows of ids: (block, part, data: ids per word, ids)."""
     encode = _encoding(path, pattern)._encode_single_piece
     known: dict[bytes, list[int]] = {}
     for b in batches:
         out = []
         for data in b.column(2).to_pylist():
-            gaps, sizes, raw, _ = blocks.unpack_many(data, (2,))
+            sizes, raw = blocks.unpack_many(data, (1,))
             ids = []
             for w in blocks.unpack_words(sizes, raw):
                 got = known.get(w)
@@ -77,7 +77,7 @@ def _encode_words(batches: Iterator[pa.RecordBatch], path: str, pattern: str) ->
                 ids.append(got)
             n = np.fromiter(map(len, ids), np.int64, len(ids))
             flat = np.fromiter((x for i in ids for x in i), np.int64, int(n.sum()))
-            out.append(blocks.pack_many(gaps, n, flat))
+            out.append(blocks.pack_many(n, flat))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["block", "part", "data"])
 
 
@@ -85,18 +85,17 @@ def _assemble(table: pa.Table, out: pa.Schema) -> pa.Table:
     """One block's rows to its documents' ids, by position."""
     part, data = table["part"].to_pylist(), table["data"].to_pylist()
     doc = part.index(-1)
-    got = [blocks.unpack_many(d) for p, d in zip(part, data, strict=True) if p >= 0]
-    total = sum(len(g[0]) for g in got)
+    ranks, places, total = blocks.unpack_documents(data[doc])
     n_words, starts = np.zeros(total, np.int64), np.zeros(total, np.int64)
     at, flat = 0, []
-    for gaps, n, ids in got:
-        rank = np.cumsum(gaps)
-        n_words[rank] = n
-        starts[rank] = at + np.r_[0, np.cumsum(n)[:-1]]
-        at += len(ids)
-        flat.append(ids.astype("<u4"))
+    for p, d in zip(part, data, strict=True):
+        if p >= 0:
+            n, ids = blocks.unpack_many(d)
+            n_words[places[p]] = n
+            starts[places[p]] = at + np.r_[0, np.cumsum(n)[:-1]]
+            at += len(ids)
+            flat.append(ids.astype("<u4"))
     flat = np.concatenate(flat) if flat else np.zeros(0, "<u4")
-    ranks = blocks.unpack(data[doc], np.int32)
     ids, sizes = table["ids"][doc].as_py(), table["sizes"][doc].as_py()
     count, found, at = [], [], 0
     for n in sizes:
@@ -150,7 +149,7 @@ def _rows(d: DataFrame, words_of, n: int, ddl: str, name: str) -> DataFrame:
 
 
 def _built(batches, words_of, parts, out):
-    return blocks.build(batches, words_of, parts, out)
+    return blocks.build(batches, words_of, parts, False, out)
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], path: str, at: int, out: list[str]) -> Iterator[pa.RecordBatch]:
