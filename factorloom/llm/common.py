@@ -23,6 +23,11 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="factorloom-")
         spark.conf.set("spark.checkpoint.dir", found)
+    if "://" not in found:  # a path of the default file system, spelled out for readers other than Spark
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(found)
+        full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        found = full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
     return found.rstrip("/")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,7 +45,8 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = (1
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), block_words: int = BLOCK_WORDS, most: int = MOST_EPOCHS) -> DataFrame:
-    """How many words of each document the mix takes: id_col, source, size, source_size, target, taken.
+    """How many words of each document the mix takes: id_col, source, size, source_size,
+    target, taken, row_hash (of id and text).
 
     Each source's documents are put in a hashed order and cut into blocks of ``block_words`` words
     (the last may be shorter). Slot t of the mix belongs to the source in whose interval of cumulative
@@ -76,7 +80,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     w = Window.partitionBy("__s", "__range").orderBy("__h", F.col("__id").asc_nulls_last(), "size")
     placed = d.withColumn("__in", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     placed = placed.join(ranges, ["__s", "__range"]).withColumn("__start", F.col("__base") + F.col("__in"))
-    placed = written(placed.select("__id", "source", "size", "source_size", "target", "__s", "__blocks", "__start", F.monotonically_increasing_id().alias("__row")), "mix-placed")
+    placed = written(placed.select("__id", "__h", "source", "size", "source_size", "target", "__s", "__blocks", "__start", F.monotonically_increasing_id().alias("__row")), "mix-placed")
 
     # The schedule: slot -> source -> rank -> block.
     if slots:
@@ -100,7 +104,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     parts = parts.select("__row", "__s", "__block", words.alias("__words"))
     sums = parts.join(uses, ["__s", "__block"]).groupBy("__row").agg(F.sum(F.col("__words") * F.col("__uses")).alias("__taken"))
     out = placed.join(sums, "__row", "left")
-    return out.select(F.col("__id").alias(id_col), "source", "size", "source_size", "target", F.coalesce("__taken", F.lit(0)).cast("bigint").alias("taken"))
+    return out.select(F.col("__id").alias(id_col), "source", "size", "source_size", "target", F.coalesce("__taken", F.lit(0)).cast("bigint").alias("taken"), F.col("__h").alias("row_hash"))
 
 
 def van_der_corput(slot: Column) -> Column:
@@ -119,3 +123,28 @@ def _interval(u: Column, ends: list[float], keys: list[int]) -> Column:
         return F.when(u < F.lit(ends[mid - 1]), tree(lo, mid)).otherwise(tree(mid, hi))
 
     return tree(0, len(keys))
+
+
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def leading_words(text: str, n: int) -> str:
+    """The text up to the end of its n-th word."""
+    for i, m in enumerate(_WORD.finditer(text), 1):
+        if i >= n:
+            return text[: m.end()]
+    return text
+
+
+def taken_text(docs: DataFrame, mixed: DataFrame, columns: tuple[str, ...], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each document that the mix takes words of, its text as often as it is taken: whole, line
+    by line, and the leading words of a started epoch. Rows alike in id and text share their words evenly."""
+    uses = mixed.groupBy("row_hash").agg(F.max("size").alias("__size"), F.floor(F.avg("taken")).alias("__taken")).where("__taken > 0")
+    j = docs.withColumn("row_hash", F.xxhash64(F.lit(17), id_col, text_col)).join(uses, "row_hash")
+
+    @F.pandas_udf("string")
+    def cut(text: pd.Series, size: pd.Series, taken: pd.Series) -> pd.Series:
+        return pd.Series(["\n".join([t] * (n // s) + ([leading_words(t, n % s)] if n % s else [])) for t, s, n in zip(text, size, taken, strict=True)])
+
+    text = F.when(F.col("__taken") == F.col("__size"), F.col(text_col)).otherwise(cut(F.col(text_col), "__size", "__taken"))
+    return j.select(*(text.alias(c) if c == text_col else F.col(c) for c in columns))

@@ -147,5 +147,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     in_groups = roots.select(F.col("node").alias("fp"), "root").union(roots.select(F.col("root").alias("fp"), "root")).distinct()
     least = in_groups.join(reps, "fp").groupBy("root").agg(F.min("rep").alias("component"))
     in_groups = in_groups.join(least, "root").select("fp", "component")
-    out = d.join(distinct, "fp").join(in_groups, "fp", "left")
-    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component", "rep").alias("component_id"))
+    # Written, so that the join to the documents is one of two plain shuffles, whose large partitions (many
+    # copies of one text) adaptive execution splits.
+    named = distinct.join(in_groups, "fp", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    out = d.join(written(named, "simhash-named"), "fp")
+    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
