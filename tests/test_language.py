@@ -56,7 +56,8 @@ def panda(node, wide):
 @pytest.fixture(scope="module")
 def panels(spark):
     p = grid()
-    df = spark.createDataFrame(p.astype(object).where(p.notna(), None), "date timestamp, symbol string, open double, high double, low double, close double, volume double, vwap double, returns double")
+    rows = [[str(r[0])[:10], r[1], *(None if x != x else float(x) for x in r[2:])] for r in p.itertuples(index=False)]
+    df = spark.createDataFrame(rows, "date string, symbol string, open double, high double, low double, close double, volume double, vwap double, returns double")
     wide = {f: p.pivot(index="date", columns="symbol", values=f).astype(float) for f in OPERANDS}
     return df.selectExpr("to_date(date) as date", "symbol", *OPERANDS).cache(), wide
 
