@@ -90,7 +90,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     path = public_tokenizers.path(BYTE_BPE)
-    tokens = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+    tokens = bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, decoded=True)
     return tokens.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -102,5 +102,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in every}
 
 
+#: Windows of 100 bytes as hex digits, each but the first of equal ones removing its bytes.
+_SUFFIX_SQL = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, h, length(h) // 2 AS n, unnest(range((length(h) // 2 + 499) // 500)) * 500 AS base FROM d),
+q AS (SELECT doc_id, n, base, substr(h, 2 * base + 1, 1198) AS s FROM c),
+p AS (SELECT doc_id, n, base, s, unnest(range(least(500, n - base))) AS o FROM q),
+w AS (SELECT doc_id, base + o AS i, substr(s, 2 * o + 1, 2) AS b, CASE WHEN base + o + 100 <= n THEN md5(substr(s, 2 * o + 1, 200)) END AS k FROM p),
+r AS (SELECT doc_id, i, b, k IS NOT NULL AND row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1 AS again FROM w),
+g AS (SELECT doc_id, i, b, max(CASE WHEN again THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS gone FROM r),
+e AS (SELECT *, gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), 0) = 0 AS starts FROM g),
+s AS (SELECT doc_id, sum(gone) AS n_removed, count(*) FILTER (WHERE starts) AS n_spans, string_agg(b, '' ORDER BY i) FILTER (WHERE gone = 0) AS kept FROM e GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN s ON s.doc_id = d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The other operators' digests need hashes, tokenizers, models or orders that SQL hasn't: tests hold
+    them against brute force."""
+    return {"op8_suffix_dedup": _SUFFIX_SQL}

@@ -339,11 +339,39 @@ def test_pipeline(spark, tmp_path):
     data += [(90, data[0][1], "en", "s1", 0)]
     spark.createDataFrame(data, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(d[0], int(d[0] < 60)) for d in data if d[0] != 90], "doc_id bigint, quality int").write.parquet(str(tmp_path / "labels.parquet"))
-    docs, sizes = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    docs, tables = spark.read.parquet(str(tmp_path / "documents.parquet")), []
     for i, (_, stage) in enumerate(pipeline.STAGES):
         docs = common.written(stage(spark, docs, str(tmp_path)), f"test-{i}")
-        sizes.append(docs.count())
+        tables.append({r.doc_id: r for r in docs.collect()})
         if i < 4:
-            assert docs.columns == list(pipeline.COLUMNS)
-    assert sizes[0] == 61 and sizes[1] == 61 and sizes[2] <= 61 and sizes[3] == sizes[4]
-    assert pipeline.run(spark, str(tmp_path)).count() == sizes[4]
+            assert docs.columns == list(pipeline.COLUMNS) and all(r.n_chars == len(r.text) for r in tables[-1].values() if i)
+    kept, deduped, distinct, mixed, coded = tables
+    assert set(kept) == {d[0] for d in data if not 60 <= d[0] < 80}
+    before = []
+    for k in sorted(kept):
+        want = []
+        for x in kept[k].text.split("\n"):
+            if len(x) < lines.LEAST_CHARS or not any(distance(x, y) <= lines.MOST_EDITS for y in before if abs(len(x) - len(y)) <= lines.MOST_EDITS):
+                want.append(x)
+            if len(x) >= lines.LEAST_CHARS:
+                before.append(x)
+        assert deduped[k].text == "\n".join(want)
+    fps = {k: brute_simhash(r.text) for k, r in deduped.items()}
+    sets = common.Sets()
+    for a, x in fps.items():
+        for b, y in fps.items():
+            if (x ^ y).bit_count() <= simhash.MOST_BITS:
+                sets.join(a, b)
+    assert set(distinct) == {sets.root(k) for k in fps}
+    sizes = {}
+    for r in distinct.values():
+        sizes[r.source] = sizes.get(r.source, 0) + len(r.text.split())
+    goal, took = mixing.targets(list(sizes.items())), dict.fromkeys(sizes, 0)
+    for k, r in mixed.items():
+        took[r.source] += len(r.text.split())
+        assert len(r.text.split()) <= 3 * len(distinct[k].text.split())
+        assert r.text.startswith(distinct[k].text) or distinct[k].text.startswith(r.text)
+    assert all(abs(took[s] - goal[s]) <= 2 * mixing.BLOCK_WORDS for s in goal)
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe._ranks(public_tokenizers.path(queries.BYTE_BPE)), special_tokens={})
+    assert {k: (sha(bytes(r.ids)), r.decoded_sha256) for k, r in coded.items()} == {k: (sha(np.array(enc.encode_ordinary(r.text), "<u4").tobytes()), sha(r.text.encode())) for k, r in mixed.items()}
+    assert pipeline.run(spark, str(tmp_path)).count() == len(coded)
