@@ -22,12 +22,12 @@ from pyspark import TaskContext
 BLOCK_BYTES = 16 << 20
 
 
-def pack(values: np.ndarray) -> bytes:
+def pack(values: np.ndarray, level: int = 1) -> bytes:
     """Unsigned integers below 2**64 as zstandard byte planes; as many planes as the largest needs."""
     values = np.ascontiguousarray(values, dtype=np.uint64)
     width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
     planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :width].T)
-    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return bytes([width]) + zstandard.ZstdCompressor(level=level).compress(planes.tobytes())
 
 
 def unpack(data: bytes, dtype=np.int64) -> np.ndarray:
@@ -41,8 +41,8 @@ def unpack(data: bytes, dtype=np.int64) -> np.ndarray:
 def pack_ranks(ranks: np.ndarray) -> bytes:
     """Ranks by frequency: one byte below 255, else 255 and the rest as byte planes of their own."""
     rare = ranks >= 255
-    rest = pack(ranks[rare] - 255)
-    head = zstandard.ZstdCompressor(level=1).compress(np.where(rare, 255, ranks).astype(np.uint8).tobytes())
+    rest = pack(ranks[rare] - 255, 9)
+    head = zstandard.ZstdCompressor(level=9).compress(np.where(rare, 255, ranks).astype(np.uint8).tobytes())
     return len(head).to_bytes(8, "little") + head + rest
 
 
@@ -72,11 +72,11 @@ def places(part: np.ndarray) -> dict[int, np.ndarray]:
     return dict(zip(names.tolist(), np.split(order, first[1:]), strict=True)) if len(part) else {}
 
 
-def pack_many(*arrays: np.ndarray | bytes) -> bytes:
-    """Several packed arrays (or byte strings) in one, each with its length before it."""
+def pack_many(*arrays: np.ndarray | bytes, level: int = 3) -> bytes:
+    """Several packed arrays (or byte strings, at ``level``) in one, each with its length before it."""
     out = []
     for a in arrays:
-        b = zstandard.ZstdCompressor(level=3).compress(a) if isinstance(a, bytes) else pack(a)
+        b = zstandard.ZstdCompressor(level=level).compress(a) if isinstance(a, bytes) else pack(a)
         out += [len(b).to_bytes(8, "little"), b]
     return b"".join(out)
 
@@ -137,13 +137,9 @@ def build(batches: Iterator[pa.RecordBatch], words_of: Callable[[str], Iterable[
         words = [w.encode("utf-8", "surrogatepass") if isinstance(w, str) else w for w in vocab]
         words = [words[i] for i in by_rank.tolist()]
         part = np.fromiter((crc32(w) % parts for w in words), np.int64, n)
-        order = np.argsort(part, kind="stable")
-        cuts = np.searchsorted(part[order], np.arange(parts + 1))
         rows = [(block, -1, ids, sizes.tolist(), flags, pack_documents(rank[flat], part))]
-        for p in range(parts):
-            if cuts[p] < cuts[p + 1]:
-                o = order[cuts[p] : cuts[p + 1]]
-                rows.append((block, p, None, None, None, pack_many(*pack_words([words[i] for i in o]), *([seen[o]] if counts else []))))
+        for p, o in places(part).items():
+            rows.append((block, p, None, None, None, pack_many(*pack_words([words[i] for i in o]), *([seen[o]] if counts else []), level=9)))
         ids, flags, held, numbers, vocab = [], [], 0, [], defaultdict(count().__next__)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), out.types, strict=True)], schema=out)
 

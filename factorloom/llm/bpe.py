@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import grouped, partitions, written
+from .common import partitions, streamed, written
 
 #: Most words that a reducer remembers; a word met again later than so many others is encoded again.
 _REMEMBERED = 1 << 20
 #: Longer texts are split into words so many at a time.
 _LONG = 1 << 20
+#: Bytes of ids that a worker hands over at a time.
+_SENT = 2 << 20
 
 
 @cache
@@ -76,13 +78,15 @@ def _encode_words(batches: Iterator[pa.RecordBatch], path: str, pattern: str) ->
                     got = known[w] = encode(w)
                 ids.append(got)
             n = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((x for i in ids for x in i), np.int64, int(n.sum()))
-            out.append(blocks.pack_many(n, flat))
+            flat = np.fromiter((x for i in ids for x in i), np.uint32, int(n.sum()))
+            width = 2 if flat.max(initial=0) < 1 << 16 else 4
+            out.append(blocks.pack_many(n, bytes([width]) + flat.astype(f"<u{width}").tobytes(), level=9))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["block", "part", "data"])
 
 
-def _assemble(table: pa.Table, out: pa.Schema) -> pa.Table:
-    """One block's rows to its documents' ids, by position."""
+def _assemble(batches: Iterator[pa.RecordBatch], out: pa.Schema, path: str) -> Iterator[pa.RecordBatch]:
+    """One block's rows to its documents' ids, by position, and the bytes of those ids if ``out`` has them."""
+    table = pa.Table.from_batches(batches)
     part, data = table["part"].to_pylist(), table["data"].to_pylist()
     doc = part.index(-1)
     ranks, places, total = blocks.unpack_documents(data[doc])
@@ -90,28 +94,48 @@ def _assemble(table: pa.Table, out: pa.Schema) -> pa.Table:
     at, flat = 0, []
     for p, d in zip(part, data, strict=True):
         if p >= 0:
-            n, ids = blocks.unpack_many(d)
+            n, raw = blocks.unpack_many(d, (1,))
+            ids = np.frombuffer(raw, f"<u{raw[0]}", offset=1)
             n_words[places[p]] = n
             starts[places[p]] = at + np.r_[0, np.cumsum(n)[:-1]]
             at += len(ids)
             flat.append(ids.astype("<u4"))
     flat = np.concatenate(flat) if flat else np.zeros(0, "<u4")
+    del data
     ids, sizes = table["ids"][doc].as_py(), table["sizes"][doc].as_py()
-    count, found, at = [], [], 0
-    for n in sizes:
+    decode = _table(path) if out.names[-1] == "decoded" else None
+    at = 0
+    rows: list[tuple] = []
+    held = 0
+    for i, n in zip(ids, sizes, strict=True):
         pieces = []
         for lo in range(at, at + n, _LONG):
             r = ranks[lo : min(lo + _LONG, at + n)]
             pieces.append(flat[blocks.ragged(starts[r], n_words[r])].tobytes())
         at += n
-        found.append(b"".join(pieces))
-        count.append(len(found[-1]) // 4)
-    return pa.Table.from_arrays([pa.array(ids, out.types[0]), pa.array(count, pa.int64()), pa.array(found, pa.binary())], schema=out)
+        found = b"".join(pieces)
+        rows.append((i, len(found) // 4, found, *([_bytes(found, decode)] if decode else [])))
+        held += len(found)
+        if held > _SENT:
+            yield _batch(rows, out)
+            rows, held = [], 0
+    if rows:
+        yield _batch(rows, out)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _batch(rows: list[tuple], out: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(out.types)], schema=out)
+
+
+def _bytes(ids: bytes, table: list[bytes]) -> bytes:
+    """What ids, as stored, stand for."""
+    return b"".join(map(table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """Each whole text's token ids: id_col, n_tokens, ids (little-endian unsigned 32-bit, as binary).
 
+    ``decoded`` adds the column of that name: what decode() makes of the ids, in the same worker.
     ``path`` names a file of ranks that driver and executors have, ``pattern`` the pre-tokenizer; each of
     its matches is encoded separately, without special tokens.
 
@@ -130,9 +154,9 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     coded = rows.where("part >= 0").select("block", "part", "data").repartition(n, "part")
     coded = coded.mapInArrow(partial(_encode_words, path=path, pattern=pattern), "block bigint, part int, data binary")
     both = rows.where("part < 0").select("block", "part", "ids", "sizes", "data").unionByName(coded, allowMissingColumns=True)
-    out = f"id {id_type}, n_tokens bigint, ids binary"
+    out = f"id {id_type}, n_tokens bigint, ids binary" + (", decoded binary" if decoded else "")
     arrow = to_arrow_schema(_struct(out))
-    return both.groupBy("block").applyInArrow(grouped(_assemble, out=arrow), out).withColumnRenamed("id", id_col)
+    return both.groupBy("block").applyInArrow(streamed(_assemble, out=arrow, path=path), out).withColumnRenamed("id", id_col)
 
 
 def _struct(ddl: str):
@@ -155,7 +179,7 @@ def _built(batches, words_of, parts, out):
 def _decoded(batches: Iterator[pa.RecordBatch], path: str, at: int, out: list[str]) -> Iterator[pa.RecordBatch]:
     table = _table(path)
     for b in batches:
-        text = [b"".join(map(table.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in (x.as_py() or b"" for x in b.column(at))]
+        text = [_bytes(x.as_py() or b"", table) for x in b.column(at)]
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.binary())], out)
 
 

@@ -91,6 +91,19 @@ def grouped(fn, **options):
     return call
 
 
+def streamed(fn, **options):
+    """``fn(batches, **options)``, a generator of batches, as applyInArrow takes it."""
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    def call(batches):
+        yield from fn(batches, **options)
+
+    call.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    return call
+
+
 class Sets:
     """Union-find over any keys; the root of a set is its smallest key."""
 
