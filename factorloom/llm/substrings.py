@@ -120,12 +120,10 @@ def _scan(batches: Iterator[pa.RecordBatch], length: int, digit: int, parts: int
             part = (kept["gram"] >> np.uint64(20)) % np.uint64(parts)
             o = np.lexsort((kept["start"], kept["doc"], part))
             kept, part = kept[o], part[o]
-            at = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
-            for p in range(parts):
-                r = kept[at[p] : at[p + 1]]
-                if len(r):
-                    mine = r["doc"].astype(np.int64)
-                    rows.append((block, p, [ids[i] for i in mine[np.r_[True, mine[1:] != mine[:-1]]]], r["gram"].tobytes() + r["span"].tobytes() + blocks.pack_runs(mine, r["start"], r["n"])))
+            for p, at in blocks.places(part.astype(np.int64)).items():
+                r = kept[at]
+                mine = r["doc"].astype(np.int64)
+                rows.append((block, p, [ids[i] for i in mine[np.r_[True, mine[1:] != mine[:-1]]]], r["gram"].tobytes() + r["span"].tobytes() + blocks.pack_runs(mine, r["start"], r["n"])))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), out.types, strict=True)], schema=out)
 
 
