@@ -21,8 +21,8 @@ from .common import grouped, partitions, written
 MOST_EDITS = 2
 #: Shorter lines (code points) are never compared and always stay.
 LEAST_CHARS = 20
-#: Groups of more lines are partitioned again before lines are compared.
-_LARGE = 48
+#: In groups of more lines, counts of code points (in so many classes) are compared before lines.
+_LARGE, _BAG = 48, 32
 
 
 def edit_distance(a: str, b: str, most: int) -> int:
@@ -171,19 +171,10 @@ def _signed(batches: Iterator[pa.RecordBatch], most: int, least: int, parts: int
                 keys += k
             keys, owner = np.array(keys, np.uint64), np.repeat(np.arange(len(sizes)), np.array(sizes, np.int64))
             rows = []
-            part = (hashes[:, 0] % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            at = np.searchsorted(part[order], np.arange(parts + 1))
-            key_part = (keys % np.uint64(parts)).astype(np.int64)
-            key_order = np.argsort(key_part, kind="stable")
-            key_at = np.searchsorted(key_part[key_order], np.arange(parts + 1))
-            for p in range(parts):
-                o = order[at[p] : at[p + 1]]
-                if len(o):
-                    rows.append((block, p, 0, hashes[o].tobytes() + first[o].tobytes() + o.astype(np.uint32).tobytes()))
-                o = key_order[key_at[p] : key_at[p + 1]]
-                if len(o):
-                    rows.append((block, p, 1, len(o).to_bytes(8, "little") + keys[o].tobytes() + blocks.pack(np.diff(owner[o], prepend=0))))
+            for p, o in blocks.places((hashes[:, 0] % np.uint64(parts)).astype(np.int64)).items():
+                rows.append((block, p, 0, hashes[o].tobytes() + first[o].tobytes() + o.astype(np.uint32).tobytes()))
+            for p, o in blocks.places((keys % np.uint64(parts)).astype(np.int64)).items():
+                rows.append((block, p, 1, len(o).to_bytes(8, "little") + keys[o].tobytes() + blocks.pack(np.diff(owner[o], prepend=0))))
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(out.types)], schema=out)
 
 
@@ -262,48 +253,62 @@ def _told(table: pa.Table, least: int, out: pa.Schema) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(out.types)], schema=out)
 
 
+def _bags(texts: list[str]) -> np.ndarray:
+    """Counts of code points in _BAG classes; an edit moves two of them by one at most."""
+    out = np.zeros((_BAG, len(texts)), np.int16)
+    for i, t in enumerate(texts):
+        points = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4")
+        out[:, i] = np.minimum(np.bincount(points * np.uint32(2654435761) >> np.uint32(27), minlength=_BAG), 30_000)
+    return out
+
+
+def _alike(bags: np.ndarray, sizes: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each line, the earlier ones whose length and code points don't rule out ``most`` edits."""
+    m = bags.shape[1]
+    step = max(1, (1 << 19) // m)
+    for lo in range(0, m, step):
+        hi = min(lo + step, m)
+        total = np.zeros((hi - lo, hi), np.int16)
+        for row in bags:
+            total += np.abs(row[lo:hi, None] - row[None, :hi])
+        near = (total <= 2 * most) & (np.abs(sizes[lo:hi, None] - sizes[None, :hi]) <= most)
+        for j in range(lo, hi):
+            yield j, np.flatnonzero(near[j - lo, :j])
+
+
 def repeated(texts: list[str], groups: dict[int, list[int]], most: int) -> set[int]:
     """Lines (numbers in ``texts``, which are in order of occurrence) within ``most`` edits of an earlier
     one of a group of theirs.
 
-    A large group shares a segment; what is left of its lines is partitioned again, as in a pair's
-    alignment the rest holds all its edits, until groups are small. A line is settled by the first earlier
-    line found, so a group of many like lines takes few comparisons.
+    In a large group (many variants of one line, say) lengths and counts of code points rule out most
+    pairs, block by block in arrays, before distances are taken. A line is settled by the first earlier
+    line found, and equal groups of several signatures are looked at once.
     """
     found: set[int] = set()
-
-    def close(group: list[int], rests: list[str] | None, depth: int) -> None:
-        if len(group) <= _LARGE or rests is None or depth == 0 or min(map(len, rests)) < 4 * (most + 1):
-            for j in range(1, len(group)):
-                b = group[j]
-                if b not in found and any(edit_distance(texts[a], texts[b], most) <= most for a in group[:j] if a != b):
+    seen: set[tuple[int, ...]] = set()
+    bags: dict[int, np.ndarray] = {}
+    for group in groups.values():
+        own = tuple(sorted(set(group)))
+        if len(own) < 2 or own in seen:
+            continue
+        seen.add(own)
+        if len(own) <= _LARGE:
+            for j in range(1, len(own)):
+                b = own[j]
+                if b not in found and any(edit_distance(texts[a], texts[b], most) <= most for a in own[:j]):
                     found.add(b)
-            return
-        parts: dict[tuple, dict[int, str]] = defaultdict(dict)
-        for g, r in zip(group, rests, strict=True):
-            for length, i, s, size in probes(len(r), most):
-                parts[length, i, r[s : s + size]].setdefault(g, r[:s] + r[s + size :])
-        for own in parts.values():
-            if len(own) > 1:
-                close(list(own), list(own.values()), depth - 1)
-
-    for key, group in groups.items():
-        group = sorted(set(group))
-        rests = None
-        if len(group) > _LARGE:
-            rests = [_rest(texts[g], key, most) for g in group]
-        close(group, rests, 6)
+            continue
+        if new := [g for g in own if g not in bags]:
+            made = _bags([texts[g] for g in new])
+            bags.update((g, made[:, i]) for i, g in enumerate(new))
+        left = np.stack([bags[g] for g in own], 1)
+        for j, before in _alike(left, np.array([len(texts[g]) for g in own]), most):
+            b = own[j]
+            if b not in found and any(edit_distance(texts[own[i]], texts[b], most) <= most for i in before.tolist()):
+                found.add(b)
     return found
 
 
-def _rest(line: str, key: int, most: int) -> str:
-    """The line without the substring that has this signature."""
-    for length, i, s, size in probes(len(line), most):
-        if xxhash.xxh64_intdigest(line[s : s + size], (length << 8) | i) == key:
-            return line[:s] + line[s + size :]
-    return line
-
-
 def _verified(table: pa.Table, most: int, out: pa.Schema) -> pa.Table:
     """One part: lines that have an earlier line within ``most`` edits, back to their blocks (kind 2)."""
     names, part = table["block"].to_pylist(), table["part"][0].as_py()
@@ -364,8 +369,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     place and line length that bound which substrings are probed. Signatures (hashes of substrings) move
     without texts; only lines that share one with another line, and occur there first, send their text
     to be compared. Each block sends a line once, however often it occurs, and of a group of like lines
-    no pairs are made: what moves is linear in distinct lines. Groups beyond a few lines are partitioned
-    again by the rest of their lines.
+    no pairs are made: what moves is linear in distinct lines.
 
     Ids are integers; null ids come last, rows of one id in the order in which their blocks were read.
     Null texts count as empty: one empty line, which stays. An empty table gives an empty result.

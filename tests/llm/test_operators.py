@@ -306,7 +306,7 @@ def test_lines(spark, docs, empty, odd):
     assert lines.dedup_lines(empty).count() == 0 and lines.dedup_lines(odd).where("text = ''").count() == 2
 
 
-def test_large_line_groups_are_cut_again():
+def test_large_line_groups():
     rng = random.Random(5)
     head = "".join(rng.choice("abcdefgh") for _ in range(40))
     texts_ = list(dict.fromkeys(head + "".join(rng.choice("ab") for _ in range(30)) for _ in range(200)))
