@@ -72,7 +72,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         bounds.append((i, s, size, -(-size // block_words), goal[s], at, at + share))
         at += share
     plan = spark.createDataFrame(bounds, "__s int, source string, source_size bigint, __blocks bigint, target double, __from double, __to double")
-    d = d.join(F.broadcast(plan), d["source"].eqNullSafe(plan["source"])).select(d["*"], "__s", "source_size", "__blocks", "target")
+    d = d.join(plan, d["source"].eqNullSafe(plan["source"])).select(d["*"], "__s", "source_size", "__blocks", "target")
 
     # Each document's first word in its source's order.
     ranges = d.groupBy("__s", "__range").agg(F.sum("size").alias("__n"))
@@ -93,7 +93,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     counts = taken_by.groupBy("__s", "__chunk").agg(F.count("*").alias("__n"))
     counts = counts.select("__s", "__chunk", (F.sum("__n").over(Window.partitionBy("__s").orderBy("__chunk")) - F.col("__n")).alias("__base"))
     rank = F.row_number().over(Window.partitionBy("__s", "__chunk").orderBy("id"))
-    ranked = taken_by.withColumn("__r", rank).join(F.broadcast(counts), ["__s", "__chunk"]).join(F.broadcast(plan.select("__s", "__blocks")), "__s").where("__blocks > 0")
+    ranked = taken_by.withColumn("__r", rank).join(counts, ["__s", "__chunk"]).join(plan.select("__s", "__blocks"), "__s").where("__blocks > 0")
     ranked = ranked.select("__s", (F.col("__base") + F.col("__r") - 1).alias("__r"), "__blocks").where(F.col("__r") < most * F.col("__blocks"))
     uses = ranked.groupBy("__s", (F.col("__r") % F.col("__blocks")).alias("__block")).agg(F.count("*").alias("__uses"))
 

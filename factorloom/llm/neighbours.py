@@ -244,7 +244,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
 
     placed = written(v.select("vec_id", "vec").mapInArrow(dealt, "vec_id bigint, vec array<double>, cell bigint"), "vectors-cells")
     counts = placed.groupBy("cell").count().collect()  # a row a cell, cells are n / CELL_ROWS
-    salts = lambda: F.broadcast(spark.createDataFrame([(r["cell"], -(-r["count"] // CELL_ROWS)) for r in counts], "cell bigint, salts bigint"))
+    salts = lambda: spark.createDataFrame([(r["cell"], -(-r["count"] // CELL_ROWS)) for r in counts], "cell bigint, salts bigint")
     block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     candidates = placed.join(salts(), "cell").select("cell", F.pmod(F.xxhash64("vec_id"), "salts").alias("salt"), block.alias("block"), "vec_id", "vec")
     asked = v.where("query").select("vec_id", "vec").mapInArrow(routed, "query_id bigint, vec array<double>, bound double, cells array<bigint>")
