@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import string
+import unicodedata
 import uuid
 from collections.abc import Iterator
 from functools import cache, partial
@@ -21,9 +22,9 @@ from pyspark.sql.window import Window
 from .common import id_bucket, partitions, workspace, written
 
 #: Documents whose ids train the dictionary (first by a hash of the id), and its bytes.
-DICTIONARY_DOCUMENTS, DICTIONARY_BYTES = 2000, 32 << 10
+DICTIONARY_DOCUMENTS, SAMPLE_CHARS, DICTIONARY_BYTES = 1000, 20_000, 32 << 10
 #: Words whose ids a worker remembers.
-_REMEMBERED = 400_000
+_REMEMBERED = 800_000
 
 #: File format: MAGIC, version and bytes to an id (4 bytes each, little-endian, as all numbers), the
 #: dictionary's SHA-256; each document's frame; then, as 8-byte integers, ids (null: least integer),
@@ -44,7 +45,7 @@ def _byte_chars() -> dict[int, str]:
 
 
 class WordIds(dict):
-    """Ids of words between white space, by the tokenizers library; remembered, as most words come again.
+    """Ids of words between white space, as stored, by the tokenizers library; remembered, as most come again.
 
     Words of letters only, with or without punctuation behind, go straight to the library's model, which
     gets what its normalizer and pre-tokenizer would give; all others through the whole tokenizer.
@@ -56,30 +57,39 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model
-        self.map = {b: c for b, c in _byte_chars().items()}
+        self.map = _byte_chars()
+        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
 
-    def whole(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def stored(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.dtype).tobytes()
 
-    def __missing__(self, word: str) -> list[int]:
-        import unicodedata
+    def whole(self, text: str) -> bytes:
+        return self.stored(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
+    def __missing__(self, word: str) -> bytes:
         if len(self) >= _REMEMBERED:
             self.clear()
         core = word.rstrip(string.punctuation)
         if core and len(core) < len(word) and core.isalpha():
-            ids = [*self[core], *self[word[len(core) :]]]
-        elif word.isalpha() and unicodedata.is_normalized("NFC", word) and (low := "".join(map(str.lower, word))).isalpha():
-            ids = [t.id for t in self.model.tokenize("".join(map(self.map.__getitem__, low.encode())))]
+            found = self[core] + self[word[len(core) :]]
+        elif word.isalpha() and (word.isascii() or unicodedata.is_normalized("NFC", word)):
+            low = word.lower() if word.isascii() else "".join(map(str.lower, word))
+            if not low.isalpha():
+                found = self.whole(word)
+            elif low != word and (low.isascii() or unicodedata.is_normalized("NFC", low)):
+                found = self[low]
+            else:
+                found = self.stored([t.id for t in self.model.tokenize("".join(map(self.map.__getitem__, low.encode())))])
         else:
-            ids = self.whole(word)
-        self[word] = ids
-        return ids
+            found = self.whole(word)
+        self[word] = found
+        return found
 
     def ids(self, text: str) -> np.ndarray:
+        """Whole texts, whatever their length."""
         if _ODD.search(text):
-            return np.array(self.whole(text), np.uint32)
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, text.split())), np.uint32)
+            return np.frombuffer(self.whole(text), self.dtype)
+        return np.frombuffer(b"".join(map(self.__getitem__, text.split())), self.dtype)
 
 
 @cache
@@ -91,7 +101,7 @@ def _words(path: str) -> WordIds:
 
 
 def _ids(path: str, text: str | None, end: int) -> np.ndarray:
-    return np.r_[_words(path).ids(text or ""), np.uint32(end)]
+    return np.append(_words(path).ids(text or ""), np.array(end, _words(path).dtype))
 
 
 def _frames(batches: Iterator[pa.RecordBatch], path: str, end: int, width: int, dictionary: bytes) -> Iterator[pa.RecordBatch]:
@@ -191,8 +201,9 @@ def _read(batches: Iterator[pa.RecordBatch], dictionary: bytes) -> Iterator[pa.R
 
 
 def _dictionary(docs: DataFrame, path: str, end: int, width: int) -> bytes:
-    """Trained on a bounded sample; empty where there is too little to train on."""
-    some = [r[0] for r in docs.orderBy(F.xxhash64("id"), "id", "text").limit(DICTIONARY_DOCUMENTS).select(F.substring("text", 1, 20_000)).collect()]
+    """Trained on a bounded sample, at most SAMPLE_CHARS of each text; empty where there is too little to train on."""
+    first = docs.select("id").where("id is not null").orderBy(F.xxhash64("id"), "id").limit(DICTIONARY_DOCUMENTS).distinct()
+    some = [r[0] for r in docs.join(F.broadcast(first), "id").select(F.substring("text", 1, SAMPLE_CHARS).alias("t"), "id").orderBy("id", "t").limit(DICTIONARY_DOCUMENTS).select("t").collect()]
     samples = [_ids(path, t, end).astype(f"<u{width}").tobytes() for t in some]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=3).as_bytes()
