@@ -11,7 +11,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import ratio
 from ..plans.compile import evaluate_batch
 from ..plans.expr import Node, Registry
 from .score import daily_ic, forward_returns, long_short_returns, mean_ic, sharpe
@@ -134,4 +133,4 @@ def judge(panel: DataFrame, best: Node, population: Sequence[Node], research: Da
     return {"oos_ic": oos, "sharpe": b["sharpe"], "dsr": dsr, "pbo": over["pbo"], "trials": trials, "significant": dsr > 0.95 and over["pbo"] < 0.5}
 
 
-__all__ = ["block_moments", "deflated_sharpe", "effective_trials", "expected_max_sharpe", "judge", "moments", "pbo", "probabilistic_sharpe", "ratio", "tree_returns"]
+__all__ = ["block_moments", "deflated_sharpe", "effective_trials", "expected_max_sharpe", "judge", "moments", "pbo", "probabilistic_sharpe", "tree_returns"]

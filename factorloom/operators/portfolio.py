@@ -25,17 +25,14 @@ def quantile_weights(value: Column, q: float = 0.2, keys: Sequence[str] = ("date
     return F.coalesce(w, F.lit(0.0))
 
 
-def rank_weights(value: Column, keys: Sequence[str] = ("date",)) -> Column:
-    """Demeaned average rank over the sum of its sizes; missing, or a date without spread, weighs 0."""
-    over = Window.partitionBy(*keys)
-    r = average_rank(value, *keys)
-    n = F.count(value).over(over)
-    d = r - (n + 1) / 2.0  # the mean of average ranks
-    return d
+def centred_rank(value: Column, keys: Sequence[str] = ("date",)) -> Column:
+    """Average rank less the date's mean rank; NULL where the value is missing."""
+    return average_rank(value, *keys) - (F.count(value).over(Window.partitionBy(*keys)) + 1) / 2.0
 
 
 def _rank_frame(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
-    d = df.withColumn("__d", rank_weights(F.col(value), keys))
+    """Centred rank over the sum of its sizes; a missing value, or a date without spread, weighs 0."""
+    d = df.withColumn("__d", centred_rank(F.col(value), keys))
     return d.withColumn("weight", F.coalesce(ratio(F.col("__d"), F.sum(F.abs("__d")).over(Window.partitionBy(*keys))), F.lit(0.0))).drop("__d")
 
 
