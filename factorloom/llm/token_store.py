@@ -9,7 +9,6 @@ import unicodedata
 import uuid
 from collections.abc import Iterator
 from functools import cache, partial
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
