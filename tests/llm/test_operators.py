@@ -14,7 +14,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from factorloom.llm import bpe, brown, common, fingerprints, lines, mixing, neighbours, quality, queries, simhash, substrings, token_store
+from factorloom.llm import bpe, brown, common, fingerprints, lines, minhash, mixing, neighbours, quality, queries, simhash, substrings, token_store
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, block bigint, part int, id string, data binary, fp bigint, size bigint, target double, rank int, score double"
 WORDS = ["the", "of", "Und", "éauré", "thering", "ention", "a", "ing.", "is,", "x1", "zu", "nicht"]
@@ -212,6 +212,70 @@ def test_simhash_large_group(spark):
     assert [sets.root(x) for x in low.tolist()] == [want.root(x) for x in low.tolist()]
 
 
+def brute_jaccard(data):
+    """Roots of the components of (id, text) linked at a similarity of 0.8 over five words."""
+    sets, joined = {}, common.Sets()
+    for k, t in data:
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x]
+        sets[k] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    for a, x in sets.items():
+        for b, y in sets.items():
+            if a < b and 5 * len(x & y) >= 4 * len(x | y):
+                joined.join(a, b)
+    return joined
+
+
+def test_near_dedup_stage(spark, docs, empty, odd):
+    """Near copies that differ by more bits than op6 allows; chains of them; one group of many."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(8)
+    say = lambda n: [f"w{rng.randrange(300)}" for _ in range(n)]
+    data = []
+    for size in (40, 90, 200, 200, 120, 60):
+        base = say(size)
+        for _ in range(25):
+            edited = list(base)
+            for _ in range(rng.randint(0, max(1, size // 20))):
+                edited[rng.randrange(size)] = f"x{rng.randrange(1000)}"
+            data.append(" ".join(edited))
+            base = edited if size == 120 else base
+    rng.shuffle(data)
+    data = list(enumerate(data))
+    want = brute_jaccard(data)
+    df = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in data], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(4)
+    assert by_id(minhash.near_duplicates(df), "doc_id", "component_id") == [(k, want.root(k)) for k, _ in data]
+    kept = pipeline.STAGES[2][1](spark, df, "")
+    assert {r.doc_id for r in kept.collect()} == {want.root(k) for k, _ in data}
+    want = brute_jaccard(ordered())
+    assert by_id(minhash.near_duplicates(docs), "doc_id", "component_id") == [(k, want.root(k)) for k, _ in ordered()]
+    assert minhash.near_duplicates(empty).count() == 0
+    assert {r.component_id for r in minhash.near_duplicates(odd).where("doc_id is null").collect()} == {None}
+
+
+def test_candidates_settle_each_bucket():
+    """Rounds over one bucket, read in small batches, leave the same components as all pairs."""
+    rng = random.Random(6)
+    key = np.sort(np.array([rng.randrange(9) for _ in range(120)], np.int64))
+    fp = np.array(rng.sample(range(-500, 500), 120), np.int64)
+    near = lambda a, b: abs(a - b) <= 6
+    rows, found, want, tested = list(zip(key.tolist(), fp.tolist(), strict=True)), common.Sets(), common.Sets(), 0
+    for k, a in rows:
+        for m, b in rows:
+            if k == m and near(a, b):
+                want.join(a, b)
+    pivots, left = 1, rows
+    while left:
+        table = [(k, a, found.root(a)) for k, a in left]
+        size = rng.randint(1, 9)
+        batches = [minhash.pa.RecordBatch.from_arrays([minhash.pa.array(c, minhash.pa.int64()) for c in zip(*table[i : i + size], strict=True)], ["key", "fp", "root"]) for i in range(0, len(table), size)]
+        out = [r for b in minhash._paired(iter(batches), pivots) for r in b.to_pylist()]
+        for r in out:
+            if r["kind"] == 0 and near(r["x"], r["y"]):
+                found.join(r["x"], r["y"])
+        tested, left, pivots = tested + 1, sorted((r["x"], r["y"]) for r in out if r["kind"] == 1), pivots * 2
+    assert [found.root(a) for _, a in rows] == [want.root(a) for _, a in rows] and tested > 2
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40) if i % 10 != 9] + [(100, x) for x in range(101, 130)] + [(5, 5)]
     got = {r.node: r.root for r in common.components(spark.createDataFrame(edges, "a bigint, b bigint"), "test").collect()}
