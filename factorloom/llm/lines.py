@@ -19,8 +19,8 @@ from .common import grouped, partitions, written
 
 #: Most edits (insert, delete, substitute a code point) between lines that count as repeated.
 MOST_EDITS = 2
-#: Shorter lines (code points) are never compared and always stay.
-LEAST_CHARS = 20
+#: Shorter lines (code points) go only if they repeat an earlier one exactly.
+LEAST_CHARS = 15
 #: In groups of more lines, counts of code points (in so many classes) are compared before lines.
 _LARGE, _BAG = 48, 32
 
@@ -129,15 +129,15 @@ def signatures(line: str, most: int) -> list[int]:
     return list({digest(line[s : s + size], (length << 8) | i) for length, i, s, size in plan})
 
 
-def _lines(raw: np.ndarray, cuts: np.ndarray, least: int) -> tuple[dict[str, int], list[list[str]]]:
-    """A block's distinct lines of at least ``least`` code points, numbered as they come; all lines by document."""
+def _lines(raw: np.ndarray, cuts: np.ndarray) -> tuple[dict[str, int], list[list[str]]]:
+    """A block's distinct lines that are not blank, numbered as they come; all lines by document."""
     number: dict[str, int] = {}
     documents = []
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         lines = raw[a:b].tobytes().decode("utf-8", "surrogatepass").split("\n")
         documents.append(lines)
         for x in lines:
-            if len(x) >= least and x not in number:
+            if x not in number and x.strip():
                 number[x] = len(number)
     return number, documents
 
@@ -161,12 +161,12 @@ def _signed(batches: Iterator[pa.RecordBatch], most: int, least: int, parts: int
     for b in batches:
         for block, ids, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
             raw, cuts = blocks.open_texts(data)
-            number, documents = _lines(raw, cuts, least)
+            number, documents = _lines(raw, cuts)
             first = _firsts(number, documents, ids)
             hashes = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in number), ">u8").reshape(-1, 2).astype(np.uint64)
             sizes, keys = [], []
             for x in number:
-                k = signatures(x, most)
+                k = signatures(x, most) if len(x) >= least else []
                 sizes.append(len(k))
                 keys += k
             keys, owner = np.array(keys, np.uint64), np.repeat(np.arange(len(sizes)), np.array(sizes, np.int64))
@@ -227,19 +227,19 @@ def _answered(table: pa.Table, kind: int) -> list[tuple[int, np.ndarray, np.ndar
     return out
 
 
-def _open(table: pa.Table, least: int):
+def _open(table: pa.Table):
     at = table["kind"].to_pylist().index(-1)
     ids = table["ids"][at].as_py()
     raw, cuts = blocks.open_texts(table["data"][at].as_py())
-    number, documents = _lines(raw, cuts, least)
+    number, documents = _lines(raw, cuts)
     return ids, number, documents, _firsts(number, documents, ids)
 
 
-def _told(table: pa.Table, least: int, out: pa.Schema) -> pa.Table:
+def _told(table: pa.Table, out: pa.Schema) -> pa.Table:
     """A block's first occurrences of lines that share a signature with other lines, by the signature's part."""
     rows = []
     if asked := _answered(table, 1):
-        _, number, _, first = _open(table, least)
+        _, number, _, first = _open(table)
         stays = np.ones(len(number), bool)
         for _, line, _ in _answered(table, 0):
             stays[line] = False
@@ -339,9 +339,9 @@ def _verified(table: pa.Table, most: int, out: pa.Schema) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(out.types)], schema=out)
 
 
-def _kept(table: pa.Table, least: int, out: pa.Schema) -> pa.Table:
+def _kept(table: pa.Table, out: pa.Schema) -> pa.Table:
     """A block's documents without repeated lines."""
-    ids, number, documents, first = _open(table, least)
+    ids, number, documents, first = _open(table)
     extra = table["extra"][table["kind"].to_pylist().index(-1)].as_py() if "extra" in table.column_names else None
     gone = np.zeros(len(number), bool)
     for kind in (0, 2):
@@ -362,7 +362,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Takes out each line (between line feeds) that has an earlier line within ``most`` edits.
 
     Earlier: in a row of smaller id, or before it in the same row; exact repeats have 0 edits; lines are
-    those of the input, whether they stay or not; lines of fewer than ``least`` code points always stay.
+    those of the input, whether they stay or not. Lines of fewer than ``least`` code points go only as
+    exact repeats, and are no other line's earlier one; blank lines (white space only) always stay.
     Returns id_col, n_lines, n_removed, text (the lines that stay) and the columns to ``keep``.
 
     Lines are cut into ``most`` + 1 segments, of which two lines within that many edits share one, at a
@@ -386,9 +387,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     met = written(found.groupBy("part").applyInArrow(grouped(_met, out=arrow(answer)), answer), "lines-met")
     text = whole.select("block", F.lit(-1).alias("part"), F.lit(-1).alias("kind"), "ids", "data", *(["extra"] if keep else []))
     line = "block bigint, part int, data binary, text binary"
-    told = text.drop("extra").unionByName(met, allowMissingColumns=True).groupBy("block").applyInArrow(grouped(_told, least=least, out=arrow(line)), line)
+    told = text.drop("extra").unionByName(met, allowMissingColumns=True).groupBy("block").applyInArrow(grouped(_told, out=arrow(line)), line)
     near = written(told.groupBy("part").applyInArrow(grouped(_verified, most=most, out=arrow(answer)), answer), "lines-near")
     gone = met.where("kind = 0").unionByName(near)
     out = "id bigint, n_lines bigint, n_removed bigint, text string" + (f", extra {d.schema['extra'].dataType.simpleString()}" if keep else "")
-    kept = text.unionByName(gone, allowMissingColumns=True).groupBy("block").applyInArrow(grouped(_kept, least=least, out=arrow(out)), out)
+    kept = text.unionByName(gone, allowMissingColumns=True).groupBy("block").applyInArrow(grouped(_kept, out=arrow(out)), out)
     return kept.select(F.col("id").alias(id_col), "n_lines", "n_removed", "text", *(F.col("extra").getField(c).alias(c) for c in keep))

@@ -370,6 +370,12 @@ def test_lines(spark, docs, empty, odd):
     assert lines.dedup_lines(empty).count() == 0 and lines.dedup_lines(odd).where("text = ''").count() == 2
 
 
+def test_short_lines_go_as_exact_repeats(spark):
+    data = [(1, "ab\n\nab\nTitle 1\n日本"), (2, "Title 2\n \nab\n \n日本\nx"), (3, None), (4, "X\nx\nTitle 1\nTitle 1.\n\n"), (5, "Fifteen points.\nFifteen, point."), (None, "x\nnew")]
+    got = lines.dedup_lines(spark.createDataFrame(data, "doc_id bigint, text string").repartition(3))
+    assert by_id(got, "doc_id", "n_removed", "text") == [(1, 1, "ab\n\nTitle 1\n日本"), (2, 2, "Title 2\n \n \nx"), (3, 0, ""), (4, 2, "X\nTitle 1.\n\n"), (5, 1, "Fifteen points."), (None, 1, "new")]
+
+
 def test_large_line_groups():
     rng = random.Random(5)
     head = "".join(rng.choice("abcdefgh") for _ in range(40))
