@@ -139,11 +139,19 @@ def survivorship(memberships: DataFrame) -> DataFrame:
 
 
 def survivorship_report(name: str, memberships: DataFrame) -> str:
-    """The same as Markdown, with the delisted named; raises no alarm where there are some."""
+    """The same as Markdown, with every delisted member's entry and exit and every active name; raises no
+    alarm where there are delisted ones. Members come in order, part by part."""
     r = survivorship(memberships).first()
-    gone = [x["symbol"] for x in memberships.where("exit is not null").orderBy("symbol").limit(200).collect()]
-    lines = [f"# Survivorship: {name}", "", f"- members: {r['total']}", f"- active: {r['active']}", f"- delisted: {r['delisted']}"]
-    return "\n".join([*lines, f"- names: {', '.join(gone)}" if gone else "- no delisted member: results may be biased", ""])
+    gone = memberships.where("exit is not null").select("symbol", "entry", "exit").orderBy("symbol", "entry", "exit")
+    lines = [f"# Survivorship: {name}", "", f"- members: {r['total']}", f"- active: {r['active']}", f"- delisted: {r['delisted']}", "", "## Delisted names", ""]
+    if r["delisted"]:
+        lines += ["| Symbol | Entry | Exit |", "| --- | --- | --- |"]
+        lines += [f"| {x['symbol']} | {x['entry']} | {x['exit']} |" for x in gone.toLocalIterator()]
+    else:
+        lines.append("- no delisted member: results may be biased")
+    active = memberships.where("exit is null").select("symbol").orderBy("symbol")
+    names = [x["symbol"] for x in active.toLocalIterator()]
+    return "\n".join([*lines, "", "## Active names", "", ", ".join(names) or "none", ""])
 
 
 def coverage(requested: DataFrame, prices: DataFrame, start: str, end: str) -> DataFrame:

@@ -49,6 +49,14 @@ def test_dense_grid_and_members(spark):
     assert prices.sample_universe(spark).count() == 9
 
 
+def test_survivorship_report_names_all(spark):
+    m = spark.sql("select 'u' universe, concat('S', lpad(id, 3, '0')) symbol, date'2015-01-01' entry, if(id < 250, date'2019-01-01', null) exit from range(253)")
+    lines = panel.survivorship_report("u", m).split("\n")
+    assert [x for x in lines if x.startswith("| S0") or x.startswith("| S1") or x.startswith("| S2")] == [f"| S{i:03d} | 2015-01-01 | 2019-01-01 |" for i in range(250)]
+    assert "S250, S251, S252" in lines
+    assert "none" in panel.survivorship_report("u", m.where("exit is not null")) and "biased" in panel.survivorship_report("u", m.where("exit is null"))
+
+
 def toy(spark):
     rng = np.random.default_rng(1)
     rows = [(f"2020-02-{d + 1:02d}", f"S{s}", None if rng.random() < 0.1 else float(rng.normal()), float(rng.normal()), None) for d in range(20) for s in range(10)]
