@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 
@@ -127,9 +128,11 @@ class Sets:
         return True
 
 
-def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, name: str, rounds: int | None = None) -> DataFrame:
     """Connected components of ``edges`` (a, b): (node, root), root the smallest node reachable.
 
+    Goes on until a round changes nothing; if ``rounds`` are given and don't suffice, raises.
+
     Large-star and small-star rounds (Kiveris et al. 2014) as aggregates and joins; each round is
     written to the shared folder, so no plan grows and a lost executor costs one round at most. The
     per-node minimum is pre-aggregated before its shuffle and the join back to the edges is one that
@@ -137,7 +140,9 @@ def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     """
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     before = None
-    for _ in range(rounds):
+    for i in itertools.count():
+        if i == rounds:
+            raise RuntimeError(f"links still change after {rounds} rounds")
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))

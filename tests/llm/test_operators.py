@@ -285,6 +285,12 @@ def test_components(spark):
     assert got == {x: want.root(x) for x in want.up if want.root(x) != x}
 
 
+def test_components_never_end_early(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a bigint, b bigint")
+    with pytest.raises(RuntimeError):
+        common.components(chain, "test", rounds=1)
+
+
 def test_mixing(docs, empty, odd):
     got = mixing.mix(docs, block_words=8).toPandas()
     sizes = {}
