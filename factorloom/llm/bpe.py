@@ -151,7 +151,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.lit(False).alias("flag"))
     id_type = d.schema["id"].dataType.simpleString()
     rows = _rows(d, partial(_words, pattern), n, blocks.schema(id_type), "bpe-blocks")
-    coded = rows.where("part >= 0").select("block", "part", "data").repartition(n, "part")
+    coded = rows.where("part >= 0").select("block", "part", "data").repartitionById(n, F.col("part"))
     coded = coded.mapInArrow(partial(_encode_words, path=path, pattern=pattern), "block bigint, part int, data binary")
     both = rows.where("part < 0").select("block", "part", "ids", "sizes", "data").unionByName(coded, allowMissingColumns=True)
     out = f"id {id_type}, n_tokens bigint, ids binary" + (", decoded binary" if decoded else "")

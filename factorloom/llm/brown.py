@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from . import blocks
-from .common import grouped, partitions, written
+from .common import by_part, grouped, partitions, written
 
 #: Classes; class 0 is the end token's, the last takes the words that aren't seeds before the first sweep.
 CLASSES = 48
@@ -244,7 +244,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = written(d.mapInArrow(partial(_built, parts=n, out=_arrow(ddl)), ddl), "brown-blocks")
     n_docs = rows.where("part = -1").agg(F.sum(F.size(F.filter("flags", lambda x: ~x)))).first()[0] or 0
     words = rows.where("part >= 0").select("block", "part", "data")
-    state = written(words.groupBy("part").applyInArrow(grouped(_counted, seeds=k - 2, out=_arrow(_STATE)), _STATE), "brown-counts")
+    state = written(by_part(words, n).applyInArrow(grouped(_counted, seeds=k - 2, out=_arrow(_STATE)), _STATE), "brown-counts")
     sums = state.where("block = -1").agg(F.sum("tokens"), F.sum("types")).first()
     n_all, v_all = (sums[0] or 0) + n_docs, (sums[1] or 0) + (n_docs > 0)
     tops = state.where("block = -1").select("part", F.inline("top")).orderBy(F.desc("n"), "w").limit(k - 2).collect()
@@ -256,7 +256,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         matrix = _matrix(found, k)
         both = state.where("block >= 0").select("block", "part", "data", F.lit(0).alias("kind"))
         both = both.unionByName(found.where("part >= 0").select("block", "part", "data", F.lit(1).alias("kind")))
-        state = written(both.groupBy("part").applyInArrow(grouped(_exchanged, seeds=seeds, matrix=matrix, out=_arrow(_STATE)), _STATE), "brown-classes")
+        state = written(by_part(both, n).applyInArrow(grouped(_exchanged, seeds=seeds, matrix=matrix, out=_arrow(_STATE)), _STATE), "brown-classes")
         seeds = None
         got = state.where("block = -1").select(F.posexplode("vocab")).groupBy("pos").agg(F.sum("col").alias("n")).collect()
         vocab = np.zeros(k, np.int64)

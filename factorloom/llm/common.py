@@ -55,27 +55,52 @@ def text_of(text_col: str = "text") -> Column:
     return F.coalesce(F.col(text_col), F.lit(""))
 
 
-def id_bucket(df: DataFrame, id_col: str, n: int) -> Column:
-    """About ``n`` ranges of ``id_col`` of about equal row counts, as an int that grows with the id.
+def id_bucket(df: DataFrame, id_col: str, n: int, tie: Column) -> tuple[Column, int]:
+    """About ``n`` ranges of (``id_col``, ``tie``) of about equal row counts: an int from 0 that grows with
+    both, and how many there are. Null ids come first; ``tie`` is a 64-bit hash.
 
-    Two levels, so that the expression stays small: at most 256 quantile ranges found by an
-    approximate percentile over all rows, each cut evenly into equal widths. Null ids get -1.
+    Two levels, so that the expression stays small: at most 256 quantile ranges found by an approximate
+    percentile over all rows, each cut evenly into equal widths. Null, and an id that alone holds several
+    quantiles, are cut by ``tie`` into as many ranges as they hold.
     """
     coarse = max(1, min(n, 256))
     fine = -(-max(n, 1) // coarse)
-    found = df.agg(F.percentile_approx(id_col, [i / coarse for i in range(coarse + 1)], 10000).alias("b")).first()["b"]
-    bounds = sorted(set(found or [0]))
-
-    def tree(lo: int, hi: int) -> Column:  # ranges lo..hi-1, range i starts at bounds[i]
+    found = df.agg(F.percentile_approx(id_col, [i / coarse for i in range(coarse + 1)], 10000).alias("b"), F.count("*").alias("n"), F.count(id_col).alias("ids")).first()
+    bounds = found["b"] or []
+    unit = tie.cast("double") / F.lit(2.0**64) + F.lit(0.5)
+
+    def cut(share: Column, base: int, ranges: int) -> Column:
+        return F.lit(base) + F.least(F.greatest(F.floor(share * F.lit(float(ranges))), F.lit(0)), F.lit(ranges - 1))
+
+    nulls = -(-n * (found["n"] - found["ids"]) // max(found["n"], 1)) if found["n"] else 0
+    top = max(1, nulls)
+    null_ids = cut(unit, 0, top)
+    steps: list[tuple[object, bool, Column]] = []  # (from, whether beyond it, bucket)
+    distinct = sorted(set(bounds))
+    for i, v in enumerate(distinct):
+        if (times := bounds.count(v)) > 1:
+            steps.append((v, False, cut(unit, top, (times - 1) * fine)))
+            top += (times - 1) * fine
+        if i + 1 < len(distinct):
+            width = F.lit(float(max(1, distinct[i + 1] - v)))
+            steps.append((v, bounds.count(v) > 1, cut((F.col(id_col) - F.lit(v)).cast("double") / width, top, fine)))
+            top += fine
+    if not steps:
+        steps, top = [(None, False, F.lit(top))], top + 1
+
+    def tree(lo: int, hi: int) -> Column:
         if hi - lo <= 1:
-            left, right = bounds[lo], bounds[min(lo + 1, len(bounds) - 1)]
-            width = max(1.0, (right - left) / fine)
-            sub = F.least(F.greatest(F.floor((F.col(id_col) - F.lit(left)) / F.lit(width)), F.lit(0)), F.lit(fine - 1))
-            return (F.lit(lo * fine) + sub).cast("int")
+            return steps[lo][2]
         mid = (lo + hi) // 2
-        return F.when(F.col(id_col) < F.lit(bounds[mid]), tree(lo, mid)).otherwise(tree(mid, hi))
+        at, beyond, _ = steps[mid]
+        return F.when(F.col(id_col) <= F.lit(at) if beyond else F.col(id_col) < F.lit(at), tree(lo, mid)).otherwise(tree(mid, hi))
+
+    return F.when(F.col(id_col).isNull(), null_ids).otherwise(tree(0, len(steps))).cast("int"), top
+
 
-    return F.when(F.col(id_col).isNull(), F.lit(-1)).otherwise(tree(0, max(1, len(bounds) - 1)))
+def by_part(rows: DataFrame, n: int):
+    """Rows grouped by their ``part`` (0 to n - 1, or below), each number dealt to the task of that number."""
+    return rows.repartitionById(n, F.col("part")).groupBy("part")
 
 
 def grouped(fn, **options):
@@ -102,6 +127,22 @@ def streamed(fn, **options):
     return call
 
 
+#: A key is hot if it holds more than this share of all rows; so there are at most 1 / HOT hot keys.
+HOT = 1e-4
+
+
+def join_copies(rows: DataFrame, named: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined to ``named``, which has one row for each ``key`` and counts its rows in ``copies``.
+
+    Hot keys (at most 1 / HOT, whatever the size of the table) are broadcast and their rows stay where
+    they are; all other rows meet their key by a shuffle in which no key is large.
+    """
+    least = HOT * (named.agg(F.sum("copies")).first()[0] or 0)
+    hot, cold = named.where(F.col("copies") > least), named.where(F.col("copies") <= least)
+    many = rows.join(F.broadcast(hot.drop("copies")), key)
+    return many.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold.drop("copies"), key))
+
+
 class Sets:
     """Union-find over any keys; the root of a set is its smallest key."""
 

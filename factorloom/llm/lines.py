@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from . import blocks
-from .common import grouped, partitions, written
+from .common import by_part, grouped, partitions, written
 
 #: Most edits (insert, delete, substitute a code point) between lines that count as repeated.
 MOST_EDITS = 2
@@ -384,11 +384,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     signed = "block bigint, part int, kind int, data binary"
     found = whole.mapInArrow(partial(_signed, most=most, least=least, parts=n, out=arrow(signed)), signed)
     answer = "block bigint, part int, kind int, data binary, keys binary"
-    met = written(found.groupBy("part").applyInArrow(grouped(_met, out=arrow(answer)), answer), "lines-met")
+    met = written(by_part(found, n).applyInArrow(grouped(_met, out=arrow(answer)), answer), "lines-met")
     text = whole.select("block", F.lit(-1).alias("part"), F.lit(-1).alias("kind"), "ids", "data", *(["extra"] if keep else []))
     line = "block bigint, part int, data binary, text binary"
     told = text.drop("extra").unionByName(met, allowMissingColumns=True).groupBy("block").applyInArrow(grouped(_told, out=arrow(line)), line)
-    near = written(told.groupBy("part").applyInArrow(grouped(_verified, most=most, out=arrow(answer)), answer), "lines-near")
+    near = written(by_part(told, n).applyInArrow(grouped(_verified, most=most, out=arrow(answer)), answer), "lines-near")
     gone = met.where("kind = 0").unionByName(near)
     out = "id bigint, n_lines bigint, n_removed bigint, text string" + (f", extra {d.schema['extra'].dataType.simpleString()}" if keep else "")
     kept = text.unionByName(gone, allowMissingColumns=True).groupBy("block").applyInArrow(grouped(_kept, out=arrow(out)), out)

@@ -11,8 +11,8 @@ from pyspark.sql.window import Window
 
 from .common import partitions, written
 
-#: Words to a block of the schedule.
-BLOCK_WORDS = 64
+#: Words to a block of the schedule, about.
+BLOCK_WORDS = 256
 #: Most times that a source's words are used.
 MOST_EPOCHS = 3
 
@@ -44,15 +44,66 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = (1
     return out
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), block_words: int = BLOCK_WORDS, most: int = MOST_EPOCHS) -> DataFrame:
+def source_plan(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = (1, 2, 3), block_words: int = BLOCK_WORDS, most: int = MOST_EPOCHS) -> list[tuple]:
+    """A row for each source: number, source, size, target, blocks, from, to, whole, part.
+
+    A source's line of words is cut into ``blocks`` equal blocks (of about ``block_words``, sizes differ by
+    one word at most; a shorter line is one block). ``from`` and ``to`` bound its interval of [0, 1):
+    sources have intervals in proportion to the blocks that their targets take. The target is ``whole``
+    blocks, beginning again after the last, and ``part`` words of one more.
+    """
+    goal = targets(sizes, weights, most)
+    rows, at = [], 0.0
+    for i, (s, n) in enumerate(sorted(sizes, key=lambda x: (x[0] is None, [*map(ord, x[0] or "")]))):
+        blocks = max(1, round(n / block_words)) if n else 0
+        words = min(round(goal[s]), most * n)
+        epochs, rest = divmod(words, n) if n else (0, 0)
+        base, extra = divmod(n, blocks) if blocks else (0, 0)
+        inside = rest // (base + 1) if rest < extra * (base + 1) else extra + (rest - extra * (base + 1)) // max(base, 1) if rest else 0
+        share = goal[s] * blocks / n if n else 0.0
+        rows.append((i, s, n, goal[s], blocks, at, at + share, epochs * blocks + inside, rest - inside * base - min(inside, extra)))
+        at += share
+    return [(*r[:5], r[5] / at if at else 0.0, r[6] / at if at else 0.0, *r[7:]) for r in rows]
+
+
+def schedule(plan: DataFrame, slots: int, n: int) -> DataFrame:
+    """The mix, slot by slot: id (from 1) and the source __s in whose interval the slot's van der Corput point falls.
+
+    Points and intervals meet by equality of a cell of [0, 1), several to a source, then by comparison.
+    """
+    cells = min(1 << 22, max(256, 4 * plan.count()))
+    cell = lambda x: F.floor(F.col(x) * F.lit(float(cells))).cast("int")
+    spans = plan.where("__to > __from").select("__s", "__from", "__to", F.explode(F.sequence(cell("__from"), F.least(cell("__to"), F.lit(cells - 1)))).alias("__cell"))
+    points = plan.sparkSession.range(1, slots + 1, 1, n).withColumn("__u", van_der_corput(F.col("id"))).withColumn("__cell", cell("__u"))
+    return points.join(spans, "__cell").where("__u >= __from and __u < __to").select("id", "__s")
+
+
+def _starts(block: Column, size: Column, blocks: Column) -> Column:
+    """First word of a block of a line of ``size`` words in ``blocks`` equal blocks, the longer ones first."""
+    base = F.floor(size / blocks)
+    return block * base + F.least(block, size - base * blocks)
+
+
+def _block_of(word: Column, size: Column, blocks: Column) -> Column:
+    base = F.expr("source_size div __blocks")
+    head = (size - base * blocks) * (base + 1)
+    return F.when(word < head, F.floor(word / (base + 1))).otherwise(size - base * blocks + F.floor((word - head) / base))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), block_words: int = BLOCK_WORDS, most: int = MOST_EPOCHS, alike: tuple[str, ...] = ()) -> DataFrame:
     """How many words of each document the mix takes: id_col, source, size, source_size,
-    target, taken, row_hash (of id and text).
+    target, taken, row_hash, row_check (two hashes of id, source, text and the columns ``alike``).
+
+    Each source's documents are put in a hashed order, and their line of words is cut into equal blocks
+    (source_plan). Slot t of the mix belongs to the source in whose interval the t-th van der Corput
+    point falls; the r-th slot of a source takes its r-th block, and begins again after the last. Points
+    fall in an interval to within a few slots of its share, so at the end a source that is short of its
+    target takes its next blocks, the last one in part, and one beyond it gives up its last slots: what
+    is taken of a source is its target to within a word, however small the source.
 
-    Each source's documents are put in a hashed order and cut into blocks of ``block_words`` words
-    (the last may be shorter). Slot t of the mix belongs to the source in whose interval of cumulative
-    target weight the t-th van der Corput point falls; the r-th slot of a source takes its r-th
-    block, and begins again after the last. Null text: no words. Null source: a source of its own.
-    Repeated rows, and rows without id, count each for itself. An empty table gives an empty result.
+    Null text: no words. Null source: a source of its own. Repeated rows, and rows without id, count each
+    for itself; among equal rows it isn't said which has the words. Texts count whole, whatever their
+    length. An empty table gives an empty result; other columns are not read, whatever their names.
 
     The order within a source is a prefix sum in two levels (hash ranges, then rows), and slots are
     ranked in two levels too, so a source with most rows fills no single task. Only figures per source
@@ -60,51 +111,46 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     spark = docs.sparkSession
     n = partitions(docs)
-    d = docs.select(F.col(id_col).alias("__id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.lit(17), id_col, text_col).alias("__h"))
-    d = written(d.withColumn("__range", F.pmod(F.shiftrightunsigned("__h", 44), F.lit(n)).cast("int")), "mix-sizes")
+    same = [F.col(id_col), F.col(source_col), F.col(text_col), *(F.col(c) for c in alike)]
+    d = docs.select(F.col(id_col).alias("__id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.lit(17), *same).alias("__h"), F.xxhash64(F.lit(18), *same).alias("__c"))
+    d = written(d.withColumn("__range", F.least(F.floor((F.col("__h").cast("double") / F.lit(2.0**64) + 0.5) * n), F.lit(n - 1)).cast("int")), "mix-sizes")
     by_source = [(r["source"], r["n"]) for r in d.groupBy("source").agg(F.sum("size").alias("n")).collect()]
-    goal = targets(by_source, weights, most)
-    total = sum(x for _, x in by_source)
-    slots = -(-total // block_words) if total else 0
-    bounds, at = [], 0.0
-    for i, (s, size) in enumerate(sorted(by_source, key=lambda x: (x[0] is None, [*map(ord, x[0] or "")]))):
-        share = goal[s] / total if total else 0.0
-        bounds.append((i, s, size, -(-size // block_words), goal[s], at, at + share))
-        at += share
-    plan = spark.createDataFrame(bounds, "__s int, source string, source_size bigint, __blocks bigint, target double, __from double, __to double")
-    d = d.join(plan, d["source"].eqNullSafe(plan["source"])).select(d["*"], "__s", "source_size", "__blocks", "target")
+    planned = source_plan(by_source, weights, block_words, most)
+    plan = spark.createDataFrame(planned, "__s int, source string, source_size bigint, target double, __blocks bigint, __from double, __to double, __whole bigint, __part bigint")
+    plan = written(plan, "mix-plan")
+    slots = sum(r[7] for r in planned)
+    d = d.join(plan, d["source"].eqNullSafe(plan["source"])).select(d["*"], "__s", "source_size", "__blocks", "target", "__whole", "__part")
 
     # Each document's first word in its source's order.
     ranges = d.groupBy("__s", "__range").agg(F.sum("size").alias("__n"))
     ranges = ranges.select("__s", "__range", (F.sum("__n").over(Window.partitionBy("__s").orderBy("__range")) - F.col("__n")).alias("__base"))
-    w = Window.partitionBy("__s", "__range").orderBy("__h", F.col("__id").asc_nulls_last(), "size")
+    w = Window.partitionBy("__s", "__range").orderBy("__h", "__c", F.col("__id").asc_nulls_last(), "size")
     placed = d.withColumn("__in", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     placed = placed.join(ranges, ["__s", "__range"]).withColumn("__start", F.col("__base") + F.col("__in"))
-    placed = written(placed.select("__id", "__h", "source", "size", "source_size", "target", "__s", "__blocks", "__start", F.monotonically_increasing_id().alias("__row")), "mix-placed")
+    placed = written(placed.drop("__range", "__base", "__in").withColumn("__row", F.monotonically_increasing_id()), "mix-placed")
 
     # The schedule: slot -> source -> rank -> block.
-    if slots:
-        points = spark.range(1, slots + 1, 1, n)
-        taken_by = points.select("id", _interval(van_der_corput(F.col("id")), [b[6] for b in bounds], [b[0] for b in bounds]).alias("__s"))
-    else:
-        taken_by = spark.createDataFrame([], "id bigint, __s int")
-    chunk = max(1, -(-slots // n))
-    taken_by = taken_by.withColumn("__chunk", F.floor((F.col("id") - 1) / chunk).cast("int"))
-    counts = taken_by.groupBy("__s", "__chunk").agg(F.count("*").alias("__n"))
-    counts = counts.select("__s", "__chunk", (F.sum("__n").over(Window.partitionBy("__s").orderBy("__chunk")) - F.col("__n")).alias("__base"))
+    dealt = schedule(plan, slots, n).withColumn("__chunk", F.floor((F.col("id") - 1) / max(1, -(-slots // n))).cast("int"))
+    counts = dealt.groupBy("__s", "__chunk").agg(F.count("*").alias("__n"))
+    counts = written(counts.select("__s", "__chunk", "__n", (F.sum("__n").over(Window.partitionBy("__s").orderBy("__chunk")) - F.col("__n")).alias("__base")), "mix-counts")
     rank = F.row_number().over(Window.partitionBy("__s", "__chunk").orderBy("id"))
-    ranked = taken_by.withColumn("__r", rank).join(counts, ["__s", "__chunk"]).join(plan.select("__s", "__blocks"), "__s").where("__blocks > 0")
-    ranked = ranked.select("__s", (F.col("__base") + F.col("__r") - 1).alias("__r"), "__blocks").where(F.col("__r") < most * F.col("__blocks"))
+    ranked = dealt.withColumn("__r", rank).join(counts.drop("__n"), ["__s", "__chunk"]).select("__s", (F.col("__base") + F.col("__r") - 1).alias("__r"))
+    got = plan.join(counts.groupBy("__s").agg(F.sum("__n").alias("__got")), "__s", "left").where("coalesce(__got, 0) < __whole")
+    missing = got.select("__s", F.explode(F.sequence(F.coalesce("__got", F.lit(0).cast("bigint")), F.col("__whole") - 1)).alias("__r"))
+    ranked = ranked.unionByName(missing).join(plan.select("__s", "__blocks", "__whole"), "__s").where("__r < __whole")
     uses = ranked.groupBy("__s", (F.col("__r") % F.col("__blocks")).alias("__block")).agg(F.count("*").alias("__uses"))
 
-    # Each document's words by block, joined to the uses of that block.
-    last = F.floor((F.col("__start") + F.col("size") - 1) / block_words)
-    parts = placed.where("size > 0").select("*", F.explode(F.sequence(F.floor(F.col("__start") / block_words), last)).alias("__block"))
-    words = F.least(F.col("__start") + F.col("size"), (F.col("__block") + 1) * block_words) - F.greatest(F.col("__start"), F.col("__block") * block_words)
-    parts = parts.select("__row", "__s", "__block", words.alias("__words"))
-    sums = parts.join(uses, ["__s", "__block"]).groupBy("__row").agg(F.sum(F.col("__words") * F.col("__uses")).alias("__taken"))
+    # Each document's words by block, joined to the uses of that block; the last block is taken in part.
+    size, blocks = F.col("source_size"), F.col("__blocks")
+    first, last = _block_of(F.col("__start"), size, blocks), _block_of(F.col("__start") + F.col("size") - 1, size, blocks)
+    parts = placed.where("size > 0").select("*", F.explode(F.sequence(first, last)).alias("__block"))
+    words = lambda lo, hi: F.greatest(F.least(F.col("__start") + F.col("size"), hi) - F.greatest(F.col("__start"), lo), F.lit(0))
+    lo, hi = _starts(F.col("__block"), size, blocks), _starts(F.col("__block") + 1, size, blocks)
+    started = F.when(F.col("__block") == F.col("__whole") % blocks, words(lo, lo + F.col("__part"))).otherwise(F.lit(0))
+    parts = parts.select("__row", "__s", "__block", words(lo, hi).alias("__words"), started.alias("__started"))
+    sums = parts.join(uses, ["__s", "__block"], "left").groupBy("__row").agg(F.sum(F.col("__words") * F.coalesce("__uses", F.lit(0)) + F.col("__started")).alias("__taken"))
     out = placed.join(sums, "__row", "left")
-    return out.select(F.col("__id").alias(id_col), "source", "size", "source_size", "target", F.coalesce("__taken", F.lit(0)).cast("bigint").alias("taken"), F.col("__h").alias("row_hash"))
+    return out.select(F.col("__id").alias(id_col), "source", "size", "source_size", "target", F.coalesce("__taken", F.lit(0)).cast("bigint").alias("taken"), F.col("__h").alias("row_hash"), F.col("__c").alias("row_check"))
 
 
 def van_der_corput(slot: Column) -> Column:
@@ -113,18 +159,6 @@ def van_der_corput(slot: Column) -> Column:
     return F.conv(F.reverse(digits), 2, 10).cast("double") / F.pow(F.lit(2.0), F.length(digits))
 
 
-def _interval(u: Column, ends: list[float], keys: list[int]) -> Column:
-    """The key of the first interval whose end is above ``u`` (the last, if none), by binary search."""
-
-    def tree(lo: int, hi: int) -> Column:
-        if hi - lo <= 1:
-            return F.lit(keys[lo])
-        mid = (lo + hi) // 2
-        return F.when(u < F.lit(ends[mid - 1]), tree(lo, mid)).otherwise(tree(mid, hi))
-
-    return tree(0, len(keys))
-
-
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -136,15 +170,25 @@ def leading_words(text: str, n: int) -> str:
     return text
 
 
-def taken_text(docs: DataFrame, mixed: DataFrame, columns: tuple[str, ...], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document that the mix takes words of, its text as often as it is taken: whole, line
-    by line, and the leading words of a started epoch. Rows alike in id and text share their words evenly."""
-    uses = mixed.groupBy("row_hash").agg(F.max("size").alias("__size"), F.floor(F.avg("taken")).alias("__taken")).where("__taken > 0")
-    j = docs.withColumn("row_hash", F.xxhash64(F.lit(17), id_col, text_col)).join(uses, "row_hash")
+def taken_text(docs: DataFrame, columns: tuple[str, ...], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mix as rows: a row of ``columns`` for each time that a document is taken whole, and one for the words
+    of its started block (in the line of a source these are a document's leading words).
+
+    Rows alike in all of ``columns`` are as one that is taken as often as they are together, so no word is
+    lost. Documents that nothing is taken of go; those without words take none. Null texts and empty
+    tables give no rows. Columns not in ``columns`` are not read.
+    """
+    mixed = mix(docs, id_col, text_col, source_col, alike=columns, **options)
+    keys = ["__h", "__c"]
+    uses = mixed.where("taken > 0").select(F.col("row_hash").alias("__h"), F.col("row_check").alias("__c"), F.floor(F.col("taken") / F.col("size")).alias("__n"), (F.col("taken") % F.col("size")).alias("__rest"))
+    uses = uses.groupBy(*keys).agg(F.sum("__n").alias("__n"), F.max("__rest").alias("__rest"))
+    same = [F.col(id_col), F.col(source_col), F.col(text_col), *(F.col(c) for c in columns)]
+    j = docs.select(*columns, F.xxhash64(F.lit(17), *same).alias("__h"), F.xxhash64(F.lit(18), *same).alias("__c")).dropDuplicates(keys).join(uses, keys)
 
     @F.pandas_udf("string")
-    def cut(text: pd.Series, size: pd.Series, taken: pd.Series) -> pd.Series:
-        return pd.Series(["\n".join([t] * (n // s) + ([leading_words(t, n % s)] if n % s else [])) for t, s, n in zip(text, size, taken, strict=True)])
+    def cut(text: pd.Series, words: pd.Series) -> pd.Series:
+        return pd.Series([leading_words(t, n) for t, n in zip(text, words, strict=True)])
 
-    text = F.when(F.col("__taken") == F.col("__size"), F.col(text_col)).otherwise(cut(F.col(text_col), "__size", "__taken"))
-    return j.select(*(text.alias(c) if c == text_col else F.col(c) for c in columns))
+    whole = j.where("__n > 0").select(*columns, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__n"))).alias("__copy")).select(*columns)
+    part = j.where("__rest > 0").withColumn(text_col, cut(F.col(text_col), "__rest")).select(*columns)
+    return whole.unionByName(part)

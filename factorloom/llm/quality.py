@@ -12,6 +12,8 @@ from .common import text_of
 
 #: Most labelled rows that a fit reads, taken in the order of a hash of their ids.
 FIT_ROWS = 20_000
+#: Rows that each tree is grown on, drawn anew for each.
+TREE_ROWS = 4000
 #: A document is kept from this score on.
 KEEP_SCORE = 0.3
 
@@ -92,10 +94,12 @@ def _paths(x: np.ndarray, g: np.ndarray, depth: int, least: int, sofar: tuple, o
     _paths(x, g, depth - 1, least, (*sofar, (j, True, at)), out, pred, rows[above])
 
 
-def fit_rules(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 30, depth: int = 3, lasso: float = 0.002, steps: int = 600) -> Rules:
+def fit_rules(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 30, depth: int = 3, lasso: float = 0.002, steps: int = 600, tree_rows: int = TREE_ROWS) -> Rules:
     """Boosted trees give candidate rules; lasso logistic regression (proximal gradient) weighs them.
 
-    With no rows, or rows of one label, the ensemble is a constant: the smoothed share of label 1.
+    Each tree is grown on ``tree_rows`` rows drawn anew (stochastic boosting); weights are fit on all rows.
+    With no rows, rows of one label, or so few that no tree can split them, the ensemble is a constant:
+    the smoothed share of label 1.
     """
     n = len(y)
     prior = float(np.clip((y.sum() + 1) / (n + 2), 1e-6, 1 - 1e-6)) if n else 0.5
@@ -106,7 +110,7 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 30, d
     z, found = np.full(n, bias), []
     for _ in range(trees):
         p = 1 / (1 + np.exp(-z))
-        pick = np.sort(rng.choice(n, size=min(n, 4000), replace=False))
+        pick = np.sort(rng.choice(n, size=min(n, tree_rows), replace=False))
         pred = np.zeros(len(pick))
         own: list = []
         _paths(x[pick], (y - p)[pick], depth, max(3, len(pick) // 400), (), own, pred, np.arange(len(pick)))
@@ -117,6 +121,8 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 30, d
                 if hit.any():
                     z[hit] += 1.5 * (y - p)[hit].mean()
     rules = list(dict.fromkeys(found))
+    if not rules:
+        return Rules(bias, ())
     m = np.stack([_hit(x, r) for r in rules], 1).astype(np.float64)
     mean = m.mean(0)
     scale = np.sqrt(np.maximum(mean * (1 - mean), 1e-4))
@@ -166,7 +172,9 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 def score_quality(docs: DataFrame, rules: Rules, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with the probability that its text is good; null texts count as empty.
 
-    The statistics are a step of their own, so that each is computed once and not once per rule.
+    All columns stay; one named ``score_col`` is replaced, and so is ``__stats``, which goes. The
+    statistics are a step of their own, so that each is computed once and not once per rule. Texts are
+    taken whole, whatever their length. An empty table gives an empty result.
     """
     names = list(statistics(F.lit("")))
     stats = F.struct(*(c.alias(k) for k, c in statistics(text_of(text_col)).items()))
@@ -178,7 +186,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """Scores all documents: id_col, held_out, score (0 to 1), predicted (1 from KEEP_SCORE on).
 
     Labels, language, source and id never enter a score. Null texts count as empty; repeated rows are
-    scored alike; without usable labels the score is 0.5. A null id isn't held out.
+    scored alike; without usable labels the score is 0.5. A null id isn't held out. Texts are scored
+    whole, whatever their length; an empty table gives an empty result; other columns of either table
+    are not read, whatever their names.
     """
     rules = train_quality(docs, labels, id_col, text_col)
     d = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Sets, components, partitions, written
+from .common import Sets, components, join_copies, partitions, written
 
 #: Words to a shingle, most differing bits of linked fingerprints, seed of the shingles' hash.
 SHINGLE_WORDS, MOST_BITS, SEED = 3, 2, 42
@@ -124,7 +124,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null texts count as empty; texts without words have fingerprint 0, linked like any other. Rows
     with a null id keep their row and take part; if no linked row has an id, component_id is null.
-    Repeated rows stay. An empty table gives an empty result.
+    Repeated rows stay. Texts count whole, whatever their length. An empty table gives an empty result;
+    other columns of ``docs`` are not read, whatever their names.
     """
     if not 1 <= bits <= 3:
         raise ValueError("two segments serve 1 to 3 differing bits")
@@ -132,13 +133,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     id_type = d.schema["id"].dataType.simpleString()
     d = written(d.mapInArrow(partial(_fingerprints, words=words), f"id {id_type}, fp bigint"), "simhash")
-    distinct = d.groupBy("fp").agg(F.min("id").alias("rep"))
+    # Written and dealt anew: the fingerprints are small, but each becomes 64 variants.
+    distinct = written(d.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "simhash-distinct")
     low = F.lit(0xFFFFFFFF)
     keys = []
     for seg in (0, 1):
         half = F.shiftrightunsigned("fp", 32 * seg).bitwiseAND(low)
         keys += [half.bitwiseAND(F.lit(0xFFFFFFFF ^ (1 << p))).bitwiseOR(F.lit((seg << 37) | (p << 32))) for p in range(32)]
-    variants = distinct.select(F.explode(F.array(*keys)).alias("key"), "fp")
+    variants = distinct.repartition(n).select(F.explode(F.array(*keys)).alias("key"), "fp")
     links = variants.repartition(n, "key").sortWithinPartitions("key").mapInArrow(partial(_links, bits=bits), "a bigint, b bigint")
     links = written(links.distinct(), "simhash-links")
     reps = distinct.join(links.select(F.col("a").alias("fp")).union(links.select("b")).distinct(), "fp", "left_semi")
@@ -147,8 +149,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     in_groups = roots.select(F.col("node").alias("fp"), "root").union(roots.select(F.col("root").alias("fp"), "root")).distinct()
     least = in_groups.join(reps, "fp").groupBy("root").agg(F.min("rep").alias("component"))
     in_groups = in_groups.join(least, "root").select("fp", "component")
-    # Written, so that the join to the documents is one of two plain shuffles, whose large partitions (many
-    # copies of one text) adaptive execution splits.
-    named = distinct.join(in_groups, "fp", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    out = d.join(written(named, "simhash-named"), "fp")
+    named = distinct.join(in_groups, "fp", "left").select("fp", "copies", F.coalesce("component", "rep").alias("component_id"))
+    out = join_copies(d, written(named, "simhash-named"), "fp")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings: radix passes over suffixes, only to the threshold's depth."""
+"""Removal of repeated byte strings: most-significant-digit passes over suffixes, only to the threshold's depth."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from . import blocks
-from .common import grouped, partitions, written
+from .common import by_part, grouped, partitions, written
 
 #: Bytes of a repeated string, and of the first digit that suffixes are dealt by.
 LENGTH, DIGIT = 100, 32
@@ -22,13 +22,18 @@ LENGTH, DIGIT = 100, 32
 _CHUNK = 1 << 20
 _LOW = np.uint64((1 << 22) - 1)
 
-_RUN = np.dtype([("gram", "<u8"), ("span", "<u8"), ("doc", "<u4"), ("start", "<u4"), ("n", "<u1")])
+#: Runs of one first digit beyond which its windows are dealt one by one.
+_LARGE = 256
+#: Bytes to a digit of the last passes.
+_WORD = 8
+
+_RUN = np.dtype([("gram", "<u8"), ("span", "<u8"), ("doc", "<u4"), ("start", "<u4"), ("n", "<u4")])
 
 
 @cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _powers(n: int, seed: int = 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte values, powers of an odd base and their inverses, modulo 2**64."""
-    rng = np.random.default_rng(20)
+    rng = np.random.default_rng(seed)
     base = int(rng.integers(1 << 62)) * 2 + 1
     with np.errstate(over="ignore"):
         up = np.cumprod(np.r_[np.uint64(1), np.full(n, base, np.uint64)])
@@ -43,9 +48,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _prefix(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _prefix(raw: np.ndarray, seed: int = 20) -> tuple[np.ndarray, np.ndarray]:
     """Prefix sums of byte values times powers; with the inverse powers they hash any range."""
-    values, up, down = _powers(_CHUNK + (1 << 12) if len(raw) <= _CHUNK + (1 << 12) else len(raw))
+    values, up, down = _powers(_CHUNK + (1 << 12) if len(raw) <= _CHUNK + (1 << 12) else len(raw), seed)
     with np.errstate(over="ignore"):
         return np.r_[np.uint64(0), np.cumsum(values[raw] * up[: len(raw)])], down
 
@@ -84,7 +89,7 @@ def runs_of(raw: np.ndarray, length: int, digit: int) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     n = np.diff(np.r_[first, len(at)])
     span = _range_hash(sums, down, first, n + length - 1)
-    span = _mix(span ^ _mix((((at[first] - first) << 8) | n).astype(np.uint64)))
+    span = _mix(span ^ _mix((((at[first] - first) << 32) | n).astype(np.uint64)))
     return grams[at[first]], span, first, n
 
 
@@ -98,7 +103,7 @@ def _document_runs(raw: np.ndarray, length: int, digit: int) -> Iterator[tuple[n
 def _scan(batches: Iterator[pa.RecordBatch], length: int, digit: int, parts: int, out: pa.Schema) -> Iterator[pa.RecordBatch]:
     """First pass, block by block: rows of runs by part; runs met before in the block are removed at once.
 
-    The row of part -1 - block holds what is removed already: document, start, windows.
+    The row of a part below 0 holds what is removed already: document, start, windows.
     """
     for b in batches:
         for block, ids, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
@@ -116,7 +121,7 @@ def _scan(batches: Iterator[pa.RecordBatch], length: int, digit: int, parts: int
             again = np.r_[False, (runs["gram"][1:] == runs["gram"][:-1]) & (runs["span"][1:] == runs["span"][:-1])] if len(runs) else np.zeros(0, bool)
             gone, kept = runs[again], runs[~again]
             gone = gone[np.argsort(gone["doc"], kind="stable")]
-            rows = [(block, -1 - block, None, blocks.pack_runs(gone["doc"], gone["start"], gone["n"]))]
+            rows = [(block, -1 - block % (1 << 30), None, blocks.pack_runs(gone["doc"], gone["start"], gone["n"]))]
             part = (kept["gram"] >> np.uint64(20)) % np.uint64(parts)
             o = np.lexsort((kept["start"], kept["doc"], part))
             kept, part = kept[o], part[o]
@@ -128,8 +133,8 @@ def _scan(batches: Iterator[pa.RecordBatch], length: int, digit: int, parts: int
 
 
 def _dealt(table: pa.Table, out: pa.Schema) -> pa.Table:
-    """Second pass, part by part: equal runs keep their first; first ones that share a string with others are
-    asked for (kind 1), all others' runs are removed (kind 0)."""
+    """Second pass, part by part: equal runs keep their first, all others are removed (kind 0). First ones whose
+    digit others have too are asked for: kind 1, or kind 2 where the digit has very many of them."""
     if table["part"][0].as_py() < 0:
         rows = [(b, p, 0, d) for b, p, d in zip(table["block"].to_pylist(), table["part"].to_pylist(), table["data"].to_pylist(), strict=True)]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), out.types, strict=True)], schema=out)
@@ -147,7 +152,7 @@ def _dealt(table: pa.Table, out: pa.Schema) -> pa.Table:
     first = new_gram | np.r_[True, span[1:] != span[:-1]]
     spans = np.add.reduceat(first.astype(np.int64), np.flatnonzero(new_gram))[np.cumsum(new_gram) - 1]
     out_rows = []
-    for kind, pick in ((0, ~first), (1, first & (spans > 1))):
+    for kind, pick in ((0, ~first), (1, first & (spans > 1) & (spans <= _LARGE)), (2, first & (spans > _LARGE))):
         x = np.flatnonzero(pick)
         x = x[np.lexsort((start[x], doc[x], owner[x]))]
         cuts = np.searchsorted(owner[x], np.arange(len(names) + 1))
@@ -158,51 +163,134 @@ def _dealt(table: pa.Table, out: pa.Schema) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r[c] for r in out_rows], t) for c, t in enumerate(out.types)], schema=out)
 
 
-def _asked(table: pa.Table, length: int, digit: int, out: pa.Schema) -> pa.Table:
-    """Third pass, block by block: the bytes of the runs asked for, by part."""
+def _in_turn(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring items of about _CHUNK bytes in all, so that powers stay few."""
+    ends, lo = np.cumsum(sizes), 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + _CHUNK, "right")))
+        yield lo, hi
+        lo = hi
+
+
+def second_digit(text: np.ndarray, begin: np.ndarray, n: np.ndarray, length: int, digit: int) -> tuple[np.ndarray, ...]:
+    """Cuts runs (of ``n`` windows, their bytes at ``begin`` of ``text``) at the place of their first digit:
+    run, first window, windows, key.
+
+    Windows with most of what they hold beside the first digit behind it have the bytes there for their
+    second digit, the others the bytes before it. Equal windows have equal keys.
+    """
+    sums, down = _prefix(text)
+    half = (length - digit) // 2
+    grams = _mix(_range_hash(sums, down, np.arange(len(text) - digit + 1), digit))
+    place = begin + (grams[begin[:, None] + np.arange(length - digit + 1)] >> np.uint64(22)).argmin(1)
+    cut = np.clip(place - begin - half, 0, n)
+    behind = _mix(_range_hash(sums, down, np.minimum(place + digit, len(text) - (length - digit - half)), length - digit - half))
+    before = _mix(_range_hash(sums, down, np.maximum(place - half, 0), half) + np.uint64(1))
+    run = np.arange(len(n))
+    first = np.r_[np.zeros(len(n), np.int64), cut]
+    many = np.r_[cut, n - cut]
+    key = _mix(np.r_[grams[place], grams[place]] ^ np.r_[before, behind])
+    there = many > 0
+    return np.r_[run, run][there], first[there], many[there], key[there]
+
+
+def _asked(table: pa.Table, length: int, digit: int, parts: int, out: pa.Schema) -> pa.Table:
+    """Third pass, block by block: the runs asked for, dealt by their second digit with their bytes (kind 1), or as
+    single windows by 128 bits of their hashes (kind 2)."""
     kinds, data = table["kind"].to_pylist(), table["data"].to_pylist()
-    rows = []
-    if 1 in kinds:
-        at = kinds.index(-1)
+    block, rows = table["block"][0].as_py(), []
+    at = kinds.index(-1)
+    for kind in (1, 2):
+        asked = [blocks.unpack_runs(d)[:3] for k, d in zip(kinds, data, strict=True) if k == kind]
+        if not asked:
+            continue
         ids = table["ids"][at].as_py()
         raw, cuts = blocks.open_texts(data[at])
-        for part, kind, d in zip(table["part"].to_pylist(), kinds, data, strict=True):
+        doc, start, n = (np.concatenate(x) for x in zip(*asked, strict=True))
+        found = []
+        for lo, hi in _in_turn(n + length - 1):
+            size = n[lo:hi] + length - 1
+            text = raw[blocks.ragged(cuts[doc[lo:hi]] + start[lo:hi], size)]
+            begin = np.r_[0, np.cumsum(size)[:-1]]
             if kind == 1:
-                doc, start, n, _ = blocks.unpack_runs(d)
-                text = raw[blocks.ragged(cuts[doc] + start, n + length - 1)].tobytes()
-                mine = doc[np.r_[True, doc[1:] != doc[:-1]]]
-                rows.append((table["block"][0].as_py(), part, [ids[i] for i in mine], blocks.pack_runs(doc, start, n), zstandard.ZstdCompressor(level=1).compress(text)))
+                run, first, many, key = second_digit(text, begin, n[lo:hi], length, digit)
+                other = key
+            else:
+                run = np.repeat(np.arange(hi - lo), n[lo:hi])
+                first, many, place = blocks.ragged(np.zeros(hi - lo, np.int64), n[lo:hi]), np.ones(len(run), np.int64), blocks.ragged(begin, n[lo:hi])
+                key, other = (_mix(_range_hash(*_prefix(text, seed), place, length)) for seed in (20, 21))
+            found.append((doc[lo:hi][run], start[lo:hi][run] + first, many, key, other))
+        doc, start, n, key, other = (np.concatenate(x) for x in zip(*found, strict=True))
+        part = ((key >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+        o = np.lexsort((start, doc, part))
+        doc, start, n, key, other, part = (x[o] for x in (doc, start, n, key, other, part))
+        for p, y in blocks.places(part).items():
+            mine = doc[y][np.r_[True, doc[y][1:] != doc[y][:-1]]]
+            keys = key[y].tobytes() + (other[y].tobytes() if kind == 2 else b"")
+            text = zstandard.ZstdCompressor(level=1).compress(raw[blocks.ragged(cuts[doc[y]] + start[y], n[y] + length - 1)].tobytes()) if kind == 1 else None
+            rows.append((block, p, kind, [ids[i] for i in mine], keys + blocks.pack_runs(doc[y], start[y], n[y]), text))
     return pa.Table.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(out.types)], schema=out)
 
 
+def repeated_suffixes(raw: np.ndarray, start: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Orders suffixes (at ``start``, those of one ``group`` together) through their first ``length`` bytes.
+
+    Most significant digit first, _WORD bytes to a digit: each pass orders what is left by group and
+    digit, groups of one go no further, and groups that are left after the last pass are exactly the
+    suffixes that have ``length`` bytes in common. Returns their places in ``start``, and groups.
+    """
+    left = np.arange(len(start))
+    for at in range(0, length, _WORD):
+        word = np.zeros(len(left), np.uint64)
+        for j in range(at, min(at + _WORD, length)):
+            word = (word << np.uint64(8)) | raw[start[left] + j]
+        o = np.lexsort((word, group))
+        group, word = group[o], word[o]
+        number = np.cumsum(np.r_[False, (group[1:] != group[:-1]) | (word[1:] != word[:-1])]) if len(o) else o
+        many = np.bincount(number, minlength=1)[number] > 1
+        left, group = left[o][many], number[many]
+    return left, group
+
+
 def _windows(table: pa.Table, length: int, out: pa.Schema) -> pa.Table:
-    """Last pass, part by part: of equal windows of those runs, all but the first are removed."""
-    found, names = [], table["block"].to_pylist()
-    for i, (ids, data, text) in enumerate(zip(table["ids"].to_pylist(), table["data"].to_pylist(), table["text"].to_pylist(), strict=True)):
-        doc, start, n, _ = blocks.unpack_runs(data)
-        raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(text), np.uint8)
-        key = blocks.id_order(ids)[np.cumsum(np.r_[False, doc[1:] != doc[:-1]])]
-        ends = np.cumsum(n + length - 1)
-        lo = 0
-        while lo < len(n):  # some runs at a time, so that powers stay few
-            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + _CHUNK, "right")))
-            from_ = ends[lo - 1] if lo else 0
-            sums, down = _prefix(raw[from_ : ends[hi - 1]])
-            begin = ends[lo:hi] - from_ - (n[lo:hi] + length - 1)
-            h = _mix(_range_hash(sums, down, blocks.ragged(begin, n[lo:hi]), length))
-            found.append((h, np.repeat(key[lo:hi], n[lo:hi]), np.repeat(doc[lo:hi], n[lo:hi]), blocks.ragged(start[lo:hi], n[lo:hi]), np.full(len(h), i)))
-            lo = hi
-    h, key, doc, start, owner = (np.concatenate(x) for x in zip(*found, strict=True))
-    o = np.lexsort((start, doc, owner, key, h))
-    again = np.r_[False, h[o][1:] == h[o][:-1]]
-    x = o[again]
-    x = x[np.lexsort((start[x], doc[x], owner[x]))]
-    cuts = np.searchsorted(owner[x], np.arange(len(names) + 1))
-    rows = []
-    for i, block in enumerate(names):
-        y = x[cuts[i] : cuts[i + 1]]
-        if len(y):
-            rows.append((block, table["part"][0].as_py(), 0, blocks.pack_runs(doc[y], start[y], np.ones(len(y), np.int64))))
+    """Last passes, part by part: of equal windows of the runs that were asked for, all but the first are removed."""
+    names, rows = table["block"].to_pylist(), []
+    for kind in (1, 2):
+        found, texts = [], []
+        for i, (k, ids, data, text) in enumerate(zip(*(table[c].to_pylist() for c in ("kind", "ids", "data", "text")), strict=True)):
+            if k != kind:
+                continue
+            m = int.from_bytes(data[-8:], "little")
+            doc, start, n, _ = blocks.unpack_runs(data[8 * kind * m :])
+            own = blocks.id_order(ids)[np.cumsum(np.r_[False, doc[1:] != doc[:-1]])]
+            found.append((np.frombuffer(data, np.uint64, m), np.frombuffer(data, np.uint64, m, 8 * (kind - 1) * m), own, doc, start, n, np.full(m, i)))
+            if kind == 1:
+                texts.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(text), np.uint8))
+        if not found:
+            continue
+        key, other, own, doc, start, n, owner = (np.concatenate(x) for x in zip(*found, strict=True))
+        if kind == 1:
+            raw = np.concatenate(texts)
+            begin = np.r_[0, np.cumsum(n + length - 1)[:-1]]
+            _, group, times = np.unique(key, return_inverse=True, return_counts=True)
+            open_ = np.flatnonzero(times[group] > 1)
+            run = np.repeat(open_, n[open_])
+            inside = blocks.ragged(np.zeros(len(open_), np.int64), n[open_])
+            left, group = repeated_suffixes(raw, begin[run] + inside, group[run], length)
+            run, start = run[left], start[run[left]] + inside[left]
+            own, doc, owner = own[run], doc[run], owner[run]
+        else:
+            o = np.lexsort((other, key))
+            group = np.empty(len(o), np.int64)
+            group[o] = np.cumsum(np.r_[False, (key[o][1:] != key[o][:-1]) | (other[o][1:] != other[o][:-1])])
+        o = np.lexsort((start, doc, np.array(names, np.int64)[owner], own, group))
+        x = o[np.r_[False, group[o][1:] == group[o][:-1]]] if len(o) else o
+        x = x[np.lexsort((start[x], doc[x], owner[x]))]
+        cuts = np.searchsorted(owner[x], np.arange(len(names) + 1))
+        for i, block in enumerate(names):
+            y = x[cuts[i] : cuts[i + 1]]
+            if len(y):
+                rows.append((block, table["part"][0].as_py(), 0, blocks.pack_runs(doc[y], start[y], np.ones(len(y), np.int64))))
     return pa.Table.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(out.types)], schema=out)
 
 
@@ -236,32 +324,40 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     count, matches lie within one row. Returns id_col, n_bytes, spans (array of start, end: the
     removed runs), kept (the other bytes).
 
-    Suffixes are ordered only as deep as ``length``, in passes of most significant digit first, digits
-    being hashed, as only equality counts: the first digit of a window is its least ``digit``-byte
-    string, so one row stands for a run of windows (about 35) and suffixes whose first digit is unique go
-    no further; the second digit is the whole run, whose equal copies are settled at once; only runs that
-    share the first digit but not the second are opened to their single windows, and equal groups of
-    those are exactly the repeated strings. Copies within a block are settled before anything moves, so
-    a passage that all documents share moves once a block. Hashes have 128 bits for runs, 64 for windows.
+    Suffixes are ordered only as deep as ``length``, in passes of most significant digit first; suffixes
+    that are alone with their digits go no further, and equal groups of the last pass are exactly the
+    repeated strings. To order every suffix moves several times the text, so neighbours that are bound
+    to part together go as one: the first digit of a window is its least ``digit``-byte string (least by
+    hash), wherever in the window it is, and one row stands for a run of neighbouring windows (about 35)
+    that share it. Runs whose first digit is unique are done. Of equal runs (by 128 bits) the first stays
+    and goes on; runs that share the first digit only go on to the second, the bytes next to it on the
+    side where a window holds more of them, by which they are dealt with their bytes; there windows are
+    ordered byte by byte, _WORD bytes a pass. Where a first digit has very many different runs (a line
+    that all documents have), its windows are dealt one by one by their own hash, 128 bits, so no group
+    is large. Copies within a block are settled before anything moves, so a passage that all documents
+    share moves once a block.
 
     Ids are integers. Null ids come last; rows of one id, or of none, follow the order in which their
-    blocks were read. Null and empty texts lose nothing. An empty table gives an empty result.
+    blocks were read. Null and empty texts lose nothing. Texts are taken whole, whatever their length. An
+    empty table gives an empty result; other columns are not read, whatever their names.
     """
+    if not 8 <= digit <= length <= 1024:
+        raise ValueError("strings of 8 to 1024 bytes, with a digit of 8 bytes to as many, are served")
     n = partitions(docs)
     d = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     arrow = lambda ddl: to_arrow_schema(StructType.fromDDL(ddl))
     body = "block bigint, ids array<bigint>, data binary"
     whole = written(d.mapInArrow(partial(blocks.texts, out=arrow(body)), body), "repeats-blocks", "uncompressed")
-    runs = "block bigint, part bigint, ids array<bigint>, data binary"
+    runs = "block bigint, part int, ids array<bigint>, data binary"
     found = whole.mapInArrow(partial(_scan, length=length, digit=digit, parts=n, out=arrow(runs)), runs)
-    answer = "block bigint, part bigint, kind int, data binary"
-    dealt = written(found.groupBy("part").applyInArrow(grouped(_dealt, out=arrow(answer)), answer), "repeats-runs", "uncompressed")
-    text = whole.select("block", F.lit(-1).cast("bigint").alias("part"), F.lit(-1).alias("kind"), "ids", "data")
-    request = "block bigint, part bigint, ids array<bigint>, data binary, text binary"
-    asked = text.unionByName(dealt.where("kind = 1"), allowMissingColumns=True).groupBy("block").applyInArrow(grouped(_asked, length=length, digit=digit, out=arrow(request)), request)
-    single = asked.groupBy("part").applyInArrow(grouped(_windows, length=length, out=arrow(answer)), answer)
+    answer = "block bigint, part int, kind int, data binary"
+    dealt = written(by_part(found, n).applyInArrow(grouped(_dealt, out=arrow(answer)), answer), "repeats-runs", "uncompressed")
+    text = whole.select("block", F.lit(-1).alias("part"), F.lit(-1).alias("kind"), "ids", "data")
+    request = "block bigint, part int, kind int, ids array<bigint>, data binary, text binary"
+    asked = text.unionByName(dealt.where("kind > 0"), allowMissingColumns=True).groupBy("block").applyInArrow(grouped(_asked, length=length, digit=digit, parts=n, out=arrow(request)), request)
+    single = by_part(asked, n).applyInArrow(grouped(_windows, length=length, out=arrow(answer)), answer)
     single = written(single, "repeats-windows", "uncompressed")
     gone = dealt.where("kind = 0").unionByName(single)
-    out = "id bigint, n_bytes bigint, spans array<struct<start:int,end:int>>, kept binary"
+    out = "id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
     kept = text.unionByName(gone, allowMissingColumns=True).groupBy("block").applyInArrow(grouped(_cut, length=length, out=arrow(out)), out)
     return kept.withColumnRenamed("id", id_col)

@@ -20,8 +20,11 @@ from pyspark.sql.window import Window
 
 from .common import id_bucket, partitions, workspace, written
 
-#: Documents whose ids train the dictionary (first by a hash of the id), and its bytes.
+#: Documents whose ids train the dictionary (first by a hash of the id), most code points of each (a window
+#: at a hashed place of a longer text), and the dictionary's bytes: some hundred times fewer than the sample's.
 DICTIONARY_DOCUMENTS, SAMPLE_CHARS, DICTIONARY_BYTES = 1000, 20_000, 32 << 10
+#: Bytes of frames that a reader asks of the store at once.
+_READ = 4 << 20
 #: Words whose ids a worker remembers.
 _REMEMBERED = 800_000
 
@@ -43,18 +46,24 @@ def _byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
 
 
+def _lower(word: str) -> str:
+    """Lower case of each code point by itself."""
+    return "".join(map(str.lower, word))
+
+
 class WordIds(dict):
     """Ids of words between white space, as stored, by the tokenizers library; remembered, as most come again.
 
-    Words of letters only, with or without punctuation behind, go straight to the library's model, which
-    gets what its normalizer and pre-tokenizer would give; all others through the whole tokenizer.
+    Words of letters only go straight to the library's model, which gets what its normalizer and
+    pre-tokenizer would give; punctuation behind them is encoded apart, as the pre-tokenizer would cut it,
+    unless the lower-cased word ends in a mark that would go with it; all others go through the whole
+    tokenizer. The strings of special tokens in a text are those tokens, as the library has it by default.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model
         self.map = _byte_chars()
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
@@ -69,10 +78,10 @@ class WordIds(dict):
         if len(self) >= _REMEMBERED:
             self.clear()
         core = word.rstrip(string.punctuation)
-        if core and len(core) < len(word) and core.isalpha():
+        if core and len(core) < len(word) and core.isalpha() and (core.isascii() or _lower(unicodedata.normalize("NFC", core)).isalpha()):
             found = self[core] + self[word[len(core) :]]
         elif word.isalpha() and (word.isascii() or unicodedata.is_normalized("NFC", word)):
-            low = word.lower() if word.isascii() else "".join(map(str.lower, word))
+            low = word.lower() if word.isascii() else _lower(word)
             if not low.isalpha():
                 found = self.whole(word)
             elif low != word and (low.isascii() or unicodedata.is_normalized("NFC", low)):
@@ -104,7 +113,7 @@ def _ids(path: str, text: str | None, end: int) -> np.ndarray:
 
 
 def _frames(batches: Iterator[pa.RecordBatch], path: str, end: int, width: int, dictionary: bytes) -> Iterator[pa.RecordBatch]:
-    """(bucket, id, text) to (bucket, id, tokens, frame)."""
+    """(bucket, id, text, tie) to (bucket, id, tokens, frame, tie)."""
     shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
     press = zstandard.ZstdCompressor(level=3, dict_data=shared) if shared else zstandard.ZstdCompressor(level=3)
     for b in batches:
@@ -113,7 +122,7 @@ def _frames(batches: Iterator[pa.RecordBatch], path: str, end: int, width: int,
             ids = _ids(path, t.as_py(), end)
             tokens.append(len(ids))
             frames.append(press.compress(ids.astype(f"<u{width}").tobytes()))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(tokens, pa.int64()), pa.array(frames, pa.binary())], ["bucket", "id", "tokens", "frame"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(tokens, pa.int64()), pa.array(frames, pa.binary()), b.column(3)], ["bucket", "id", "tokens", "frame", "tie"])
 
 
 def _save(batches: Iterator[pa.RecordBatch], folder: str, width: int, dictionary_hash: bytes) -> Iterator[pa.RecordBatch]:
@@ -135,7 +144,7 @@ def _save(batches: Iterator[pa.RecordBatch], folder: str, width: int, dictionary
             if k != bucket:
                 if out:
                     yield finish()
-                bucket, ids, ends, tokens, name = k, [], [], [], f"{k + 1:08d}-{uuid.uuid4().hex}.tok"
+                bucket, ids, ends, tokens, name = k, [], [], [], f"{k:08d}-{uuid.uuid4().hex}.tok"
                 out = store.open_output_stream(f"{root}/{name}")
                 out.write(head := MAGIC + np.array([1, width], "<u4").tobytes() + dictionary_hash)
                 at = len(head)
@@ -175,8 +184,14 @@ class TokenFile:
 
     def document(self, i: int) -> np.ndarray:
         """Token ids of the i-th document of the file."""
-        raw = self.press.decompress(self._at(int(self.starts[i]), int(self.ends[i] - self.starts[i])))
-        return np.frombuffer(raw, f"<u{self.width}").astype("<u4")
+        return self.documents(i, i + 1)[0]
+
+    def documents(self, lo: int, hi: int) -> list[np.ndarray]:
+        """Token ids of the documents from the lo-th to before the hi-th, by one range read."""
+        at = int(self.starts[lo])
+        raw = memoryview(self._at(at, int(self.ends[hi - 1]) - at))
+        cut = [(int(a) - at, int(b) - at) for a, b in zip(self.starts[lo:hi], self.ends[lo:hi], strict=True)]
+        return [np.frombuffer(self.press.decompress(raw[a:b]), f"<u{self.width}").astype("<u4") for a, b in cut]
 
     def find(self, doc_id: int) -> np.ndarray:
         """Token ids of the document with this id."""
@@ -192,17 +207,23 @@ def _read(batches: Iterator[pa.RecordBatch], dictionary: bytes) -> Iterator[pa.R
         for path, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             f = TokenFile(path, dictionary)
             start = base + np.r_[0, np.cumsum(f.counts)[:-1]].astype(np.int64)
-            for lo in range(0, len(f), 500):
-                hi = min(lo + 500, len(f))
+            lo = 0
+            while lo < len(f):  # some frames at a time, by their bytes
+                hi = max(lo + 1, min(lo + 500, int(np.searchsorted(f.ends, f.starts[lo] + _READ, "right"))))
                 ids = [None if x == _NULL else x for x in f.ids[lo:hi].tolist()]
-                raw = [f.document(i).tobytes() for i in range(lo, hi)]
+                raw = [x.tobytes() for x in f.documents(lo, hi)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(start[lo:hi]), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array(raw, pa.binary())], ["id", "start", "n_tokens", "ids"])
+                lo = hi
 
 
 def _dictionary(docs: DataFrame, path: str, end: int, width: int) -> bytes:
-    """Trained on a bounded sample, at most SAMPLE_CHARS of each text; empty where there is too little to train on."""
+    """Trained on a bounded sample, at most SAMPLE_CHARS of each text; empty where there is too little to train on.
+
+    Only compression hangs on the sample: every document is encoded and stored whole."""
     first = docs.select("id").where("id is not null").orderBy(F.xxhash64("id"), "id").limit(DICTIONARY_DOCUMENTS).distinct()
-    some = [r[0] for r in docs.join(F.broadcast(first), "id").select(F.substring("text", 1, SAMPLE_CHARS).alias("t"), "id").orderBy("id", "t").limit(DICTIONARY_DOCUMENTS).select("t").collect()]
+    room = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1
+    piece = F.substring("text", (F.pmod(F.xxhash64(F.lit(5), "id"), room) + 1).cast("int"), F.lit(SAMPLE_CHARS))
+    some = [r[0] for r in docs.join(F.broadcast(first), "id").select(piece.alias("t"), "id").orderBy("id", "t").limit(DICTIONARY_DOCUMENTS).select("t").collect()]
     samples = [_ids(path, t, end).astype(f"<u{width}").tobytes() for t in some]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=3).as_bytes()
@@ -219,8 +240,10 @@ def save(docs: DataFrame, path: str, end: int = 2, id_col: str = "doc_id", text_
     each file, from totals per file. Texts are encoded before the only shuffle, which moves the frames.
     The dictionary is also written to the folder, as ``dictionary``.
 
-    Null texts count as empty (the end id alone). Null ids come first. Rows of one id are ordered by
-    their frames. An empty table gives an empty manifest.
+    Null texts count as empty (the end id alone). Null ids come first. Rows of one id, or of none, are
+    ordered by their texts' hash, and dealt by it to several files where they are very many. Texts are
+    encoded whole, whatever their length; an empty table gives an empty manifest; other columns of
+    ``docs`` are not read, whatever their names.
     """
     from tokenizers import Tokenizer
 
@@ -234,8 +257,9 @@ def save(docs: DataFrame, path: str, end: int = 2, id_col: str = "doc_id", text_
     store.create_dir(root, recursive=True)
     with store.open_output_stream(f"{root}/dictionary") as f:
         f.write(dictionary)
-    frames = d.select(id_bucket(d, "id", n).alias("bucket"), "id", "text").mapInArrow(partial(_frames, path=path, end=end, width=width, dictionary=dictionary), "bucket int, id bigint, tokens bigint, frame binary")
-    files = frames.repartition(n, "bucket").sortWithinPartitions("bucket", F.col("id").asc_nulls_first(), "frame")
+    bucket, ranges = id_bucket(d, "id", n, F.xxhash64("text"))
+    frames = d.select(bucket.alias("bucket"), "id", "text", F.xxhash64("text").alias("tie")).mapInArrow(partial(_frames, path=path, end=end, width=width, dictionary=dictionary), "bucket int, id bigint, tokens bigint, frame binary, tie bigint")
+    files = frames.repartitionById(ranges, F.col("bucket")).sortWithinPartitions("bucket", F.col("id").asc_nulls_first(), "tie", "frame")
     files = files.mapInArrow(partial(_save, folder=folder, width=width, dictionary_hash=hashlib.sha256(dictionary).digest()), "bucket bigint, path string, documents bigint, tokens bigint")
     manifest = written(files, "token-files")  # one row a file: few, whatever the number of documents
     base = F.sum("tokens").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))

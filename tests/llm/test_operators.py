@@ -63,29 +63,76 @@ def sha(b):
     return hashlib.sha256(b).hexdigest()
 
 
+def x64(s):
+    return f"{xxhash.xxh64_intdigest(s.encode(), 42):016X}"
+
+
+def brute_tree(text):
+    """(root, [(section hash, [(paragraph hash, leaves)])]), and the string of the whole tree."""
+    pieces = re.findall(r"[^.!?\n]{1,48}[.!?]*\n*|[.!?]+\n*|\n+", text)
+    tree, paragraphs, leaves = [], [], ""
+    for i, p in enumerate(pieces):
+        h = x64(p)[-12:]
+        end = "." if not p.endswith("\n") else ";" if p.endswith("\n\n") or h[-1] in "08" else ","
+        leaves += h + end
+        if end != "." or i == len(pieces) - 1:
+            paragraphs.append((x64(leaves), leaves))
+            leaves = ""
+            if end == ";" or i == len(pieces) - 1:
+                tree.append((x64("".join(h for h, _ in paragraphs)), paragraphs))
+                paragraphs = []
+    root = x64("".join(h for h, _ in tree))
+    return root, tree, root + ":" + "".join(f"S{h}" + "".join(f"P{a}{b}" for a, b in ps) for h, ps in tree)
+
+
+def brute_likeness(a, b):
+    if a[0] == b[0]:
+        return 1.0
+    names = lambda ps: {x for _, leaves in ps for x in re.split("[.,;]", leaves) if x}
+    every = [names([p for _, ps in t[1] for p in ps]) for t in (a, b)]
+    left = []
+    for x, y in ((a, b), (b, a)):
+        left.append([(h, str(ps), ps) for h, ps in x[1] if (h, ps) not in y[1]])
+    paragraphs = [{(h, v) for _, _, ps in part for h, v in ps} for part in left]
+    leaves = [names(paragraphs[0] - paragraphs[1]), names(paragraphs[1] - paragraphs[0])]
+    return 1 - (len(leaves[0] - leaves[1]) + len(leaves[1] - leaves[0])) / (len(every[0]) + len(every[1]))
+
+
 def test_fingerprints(docs, empty, odd):
     got = fingerprints.document_fingerprints(docs).collect()
     order = ordered()[::-1]
     want = []
     for i, (k, t) in enumerate(order):
         nxt, half = order[(i + 1) % len(order)][1], len(t) // 2
-        want.append((k, len(t), sha((t[: len(t) - half] + nxt[:half]).encode())))
-    assert sorted((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == sorted(want)
-    text = dict(ordered())
-    seen = {}
-    for r in got:
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-        assert seen.setdefault(text[r.doc_id], r.fingerprint) == r.fingerprint
-    assert len(set(seen.values())) == len(seen)
+        edited = t[: len(t) - half] + nxt[:half]
+        own, new, other = brute_tree(t), brute_tree(edited), brute_tree(nxt)
+        want.append((k, len(t), sha(edited.encode()), own[2], new[2], round(brute_likeness(own, new), 9), round(brute_likeness(own, other), 9)))
+    assert sorted((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == sorted(want)
+    assert len({r.fingerprint for r in got}) == len({t for _, t in order})
     assert fingerprints.document_fingerprints(empty).count() == 0 and fingerprints.document_fingerprints(odd).count() == 3
     one = fingerprints.document_fingerprints(odd.where("doc_id = 5")).first()
     assert one.near_next == 1.0
 
 
+def test_fingerprints_of_many_nulls_and_rows_of_one_id(spark):
+    """One id, and null, with a third of all rows each: cut by the text's hash, in the order of the whole."""
+    rng = random.Random(6)
+    data = [(i, f"text {i} " + "x" * rng.randrange(40)) for i in range(60)] + [(7, f"seven {i}") for i in range(60)] + [(None, f"none {i}") for i in range(60)]
+    got = fingerprints.document_fingerprints(spark.createDataFrame(data, "doc_id bigint, text string").repartition(3)).collect()
+    signed = lambda t: (h := xxhash.xxh64_intdigest(t.encode(), 42)) - (1 << 64 if h >> 63 else 0)
+    order = sorted(data, key=lambda x: (x[0] is not None, x[0] or 0, signed(x[1])), reverse=True)
+    edited = []
+    for i, (k, t) in enumerate(order):
+        half = len(t) // 2
+        edited.append((str(k), sha((t[: len(t) - half] + order[(i + 1) % len(order)][1][:half]).encode())))
+    assert sorted((str(r.doc_id), r.edited_sha256) for r in got) == sorted(edited)
+
+
 def test_fingerprint_locates_edits(spark):
-    a, b = "First part.\n\nSecond part.\n\nThird part.", "First part.\n\nSecond pert.\n\nThird part."
+    a, b = "First part.\n\nMiddle part.\nAnd more.\n\nThird part.", "First part.\n\nMiddle pert.\nAnd more.\n\nThird part."
     d = spark.createDataFrame([(a, b)], "a string, b string").select(fingerprints.fingerprint(fingerprints.leaves(F.col("a"))).alias("a"), fingerprints.fingerprint(fingerprints.leaves(F.col("b"))).alias("b"))
-    assert d.select(fingerprints.differing(F.col("a"), F.col("b")).alias("x")).first().x == [1]
+    at = d.select(fingerprints.differing(F.col("a"), F.col("b")).alias("x"), fingerprints.differing(F.col("a"), F.col("a")).alias("y")).first()
+    assert [(r.section, r.paragraphs) for r in at.x] == [(1, [0])] and at.y == []
 
 
 def test_quality(spark, docs, empty, odd):
@@ -102,42 +149,68 @@ def test_quality(spark, docs, empty, odd):
         assert out.count() == df.count() and out.where("score is null or score < 0 or score > 1").count() == 0
 
 
-def test_neighbours(spark):
+def brute_nearest(ids, x, q, k):
+    s = neighbours.exact(x, x[q])
+    return [i for i in np.lexsort((ids, -s)) if ids[i] != ids[q]][:k]
+
+
+@pytest.mark.parametrize(("cell", "sample", "tree"), [(8192, 2048, 1 << 17), (64, 40, 1 << 17), (64, 40, 4), (10, 0, 64)])
+def test_neighbours(spark, monkeypatch, cell, sample, tree):
+    """Ties (60 equal vectors), odd rows, one cell and many, cells cut by a hash, with and without a sample."""
+    for name, value in (("CELL_ROWS", cell), ("SAMPLE", sample), ("TREE_SAMPLE", tree), ("LEAF", 16)):
+        monkeypatch.setattr(neighbours, name, value)
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, 8))
     x[300:360] = x[0]
     data = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1001, [0.0] * 8), (1002, [1.0, None] + [0.0] * 6), (1003, [float("nan")] * 8), (1004, [1.0]), (None, [1.0] * 8)]
     df = spark.createDataFrame(data, "vec_id bigint, embedding array<double>").withColumn("cell", F.lit(1)).withColumn("norm", F.lit("x"))
-    hit = 0
-    for cells in (8192, 64):
-        neighbours.CELL_ROWS = cells
-        got = neighbours.nearest(df, F.col("vec_id") % 20 == 0, 20).toPandas().sort_values(["query_id", "rank"])
-        neighbours.CELL_ROWS = 8192
-        for q, g in got.groupby("query_id"):
-            s = x @ x[q]
-            want = [i for i in np.lexsort((np.arange(400), -np.round(s, 12))) if i != q][:20]
-            hit += len(set(want) & set(g.vec_id))
-            assert np.allclose(g.score, s[g.vec_id]) and g["rank"].tolist() == list(range(1, 21))
-    assert hit / (2 * 20 * 20) >= 0.95
-    few = neighbours.nearest(df.where("vec_id < 3"), F.col("vec_id") == 0, 20)
-    assert few.count() == 2
-    assert neighbours.nearest(df.where("false"), F.col("vec_id") == 0).count() == 0
+    hit, ids = 0, np.arange(400)
+    got = neighbours.nearest(df, F.col("vec_id") % 20 == 0, 20).toPandas().sort_values(["query_id", "rank"])
+    assert sorted(got.query_id.unique()) == list(range(0, 400, 20))
+    for q, g in got.groupby("query_id"):
+        hit += len(set(brute_nearest(ids, x, q, 20)) & set(g.vec_id))
+        assert (g.score.to_numpy() == neighbours.exact(x[g.vec_id], x[q])).all() and g["rank"].tolist() == list(range(1, 21))
+    assert hit / 400 >= 0.95
     top = neighbours.nearest(df, F.col("vec_id") == 0, 5).orderBy("rank").toPandas()
     assert top.vec_id.tolist() == [300, 301, 302, 303, 304]
 
 
+def test_neighbours_of_few_and_none(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.0, 2.0])], "vec_id bigint, embedding array<double>")
+    assert neighbours.nearest(df, F.col("vec_id") == 0, 20).count() == 2
+    assert neighbours.nearest(df.where("false"), F.col("vec_id") == 0).count() == 0
+    assert neighbours.nearest(df, F.lit(False)).count() == 0
+    none = spark.createDataFrame([(1, None), (None, None)], "vec_id bigint, embedding array<double>")
+    assert neighbours.nearest(none, F.col("vec_id") == 1).count() == 0
+
+
+def test_neighbour_search_leaves_most_vectors_out():
+    """Isotropic vectors, the hardest case: at most a fifth is verified at a recall of 0.95."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(30_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    ids, queries_ = np.arange(len(x)), np.arange(0, len(x), 300)
+    space = neighbours.Space(64, 1.0, neighbours.PROJECTIONS)
+    cell = neighbours.Cell(space, ids, x, neighbours.LEAF)
+    sample = x[queries_] @ x[: neighbours.SAMPLE].T
+    sample[queries_[:, None] == ids[None, : neighbours.SAMPLE]] = -1
+    best = cell.search(queries_, x[queries_], np.sort(sample, 1)[:, -20], 20, space.limit(neighbours.CONFIDENCE))
+    hit = sum(len(set(brute_nearest(ids, x, q, 20)) & set(best.ids[i].tolist())) for i, q in enumerate(queries_))
+    assert hit / (20 * len(queries_)) >= 0.95 and cell.verified / (len(x) * len(queries_)) <= 0.2
+
+
 def test_token_files(docs, empty, odd):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path(queries.WORD_BPE)
     tk = Tokenizer.from_file(path)
-    tk.encode_special_tokens = True
     manifest, dictionary = token_store.save(docs, path)
     got = token_store.load(manifest, dictionary).orderBy("start").collect()
     want = [np.array([*tk.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes() for _, t in ordered()]
     assert [r.doc_id for r in got] == [k for k, _ in ordered()] and [bytes(r.ids) for r in got] == want
     assert [r.start for r in got] == np.r_[0, np.cumsum([len(w) // 4 for w in want])[:-1]].tolist()
     f = token_store.TokenFile(manifest.first().path, dictionary)
+    assert sum(r.documents for r in manifest.collect()) == len(want)
     assert f.find(int(f.ids[0])).tobytes() == want[[k for k, _ in ordered()].index(int(f.ids[0]))]
     with pytest.raises(KeyError):
         f.find(1)
@@ -147,6 +220,19 @@ def test_token_files(docs, empty, odd):
     assert token_store.load(*token_store.save(odd, path)).where("doc_id is null and n_tokens = 1").count() == 2
 
 
+def test_token_ids_are_the_librarys():
+    """Strings of marks, letters that grow when lower-cased, special tokens, every kind of space."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(queries.WORD_BPE)
+    tokenizer, words, rng = Tokenizer.from_file(path), token_store._words(path), random.Random(1)
+    marks = [*"abcdeXYZIi'\"<.,!?-13K", "\u0130", "\u0131", "\u00df", "\u1e9e", "\u03a3", "\u03c2", "e\u0301", "\u0301", "\u0307", "\u0338", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "'s", "'LL", "\u00b2", "\u65e5", "\u0e01\u0e47", "\ufb01", "\u2167", "\u00aa", "\u02b0", "\u212a", "\u212b", "\u1100\u1161", "\uac00", "\u0345", "\u01c5", "\U0001f600", "\u200d", "\u00ad", "\x00", "\x1c", "\x1f"]
+    spaces = [*" \n\t\r\x0b\x0c\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000\u200b\u180e", *map(chr, range(0x2000, 0x200B))]
+    for _ in range(20):
+        some = ["".join(rng.choice(spaces) if rng.random() < 0.15 else rng.choice(marks) for _ in range(rng.randint(0, 14))) for _ in range(5000)]
+        assert [words.ids(t).tolist() for t in some] == [e.ids for e in tokenizer.encode_batch(some, add_special_tokens=False)]
+
+
 def test_brown(docs, empty, odd):
     got = {r.doc_id: r for r in brown.score_documents(docs).collect()}
     words = [(k, t.encode().translate(brown._LOWER).split()) for k, t in ordered()]
@@ -253,27 +339,33 @@ def test_near_dedup_stage(spark, docs, empty, odd):
 
 
 def test_candidates_settle_each_bucket():
-    """Rounds over one bucket, read in small batches, leave the same components as all pairs."""
-    rng = random.Random(6)
-    key = np.sort(np.array([rng.randrange(9) for _ in range(120)], np.int64))
-    fp = np.array(rng.sample(range(-500, 500), 120), np.int64)
-    near = lambda a, b: abs(a - b) <= 6
-    rows, found, want, tested = list(zip(key.tolist(), fp.tolist(), strict=True)), common.Sets(), common.Sets(), 0
-    for k, a in rows:
-        for m, b in rows:
-            if k == m and near(a, b):
-                want.join(a, b)
-    pivots, left = 1, rows
-    while left:
-        table = [(k, a, found.root(a)) for k, a in left]
-        size = rng.randint(1, 9)
-        batches = [minhash.pa.RecordBatch.from_arrays([minhash.pa.array(c, minhash.pa.int64()) for c in zip(*table[i : i + size], strict=True)], ["key", "fp", "root"]) for i in range(0, len(table), size)]
-        out = [r for b in minhash._paired(iter(batches), pivots) for r in b.to_pylist()]
-        for r in out:
-            if r["kind"] == 0 and near(r["x"], r["y"]):
-                found.join(r["x"], r["y"])
-        tested, left, pivots = tested + 1, sorted((r["x"], r["y"]) for r in out if r["kind"] == 1), pivots * 2
-    assert [found.root(a) for _, a in rows] == [want.root(a) for _, a in rows] and tested > 2
+    """Rounds over one bucket leave the same components as all likely pairs."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 256, (4, 200)).astype(np.uint8)
+    sketch = base[rng.integers(0, 4, 150)].copy()
+    for row in sketch:
+        row[rng.choice(200, rng.integers(0, 60), replace=False)] = rng.integers(0, 256)
+    fp = rng.permutation(10_000)[:150]
+    share = minhash.agreement(sketch, sketch)
+    assert np.allclose(share[3], [(x == sketch[3]).mean() for x in sketch])
+    near = lambda i, j: share[i, j] >= 0.8
+    want, found, at = common.Sets(), common.Sets(), {int(f): i for i, f in enumerate(fp)}
+    for i in range(150):
+        for j in range(i):
+            if near(i, j):
+                want.join(int(fp[i]), int(fp[j]))
+    whole, most, rounds = False, 1, 0
+    while not whole:
+        pairs, whole = minhash.closest(fp, np.array([found.root(int(f)) for f in fp]), sketch, most)
+        for x, y in pairs:
+            if near(at[x], at[y]):
+                found.join(x, y)
+        most, rounds = most * 2, rounds + 1
+    assert [found.root(int(f)) for f in fp] == [want.root(int(f)) for f in fp] and rounds > 2
+    batch = minhash.pa.RecordBatch.from_pydict({"key": [1] * 100 + [2] * 50, "fp": fp, "root": fp, "sketch": [s.tobytes() for s in sketch]})
+    out = [r for b in minhash._closest(iter([batch.slice(0, 70), batch.slice(70)]), 1000) for r in b.to_pylist()]
+    one, two = (minhash.closest(fp[i:j], fp[i:j], sketch[i:j], 1000)[0] for i, j in ((0, 100), (100, 150)))
+    assert sorted((r["x"], r["y"]) for r in out) == sorted((min(p), max(p)) for p in [*one, *two])
 
 
 def test_components(spark):
@@ -291,39 +383,133 @@ def test_components_never_end_early(spark):
         common.components(chain, "test", rounds=1)
 
 
-def test_mixing(docs, empty, odd):
-    got = mixing.mix(docs, block_words=8).toPandas()
+def van_der_corput(i):
+    return int(bin(i)[:1:-1], 2) / 2 ** (i.bit_length())
+
+
+def brute_mix(sizes, block_words):
+    """Words that the schedule takes of each word of each source's line: slots dealt to sources, ranked, blocks joined."""
+    plan = mixing.source_plan(list(sizes.items()), block_words=block_words)
+    ranks = {p[0]: 0 for p in plan}
+    used = {p[1]: np.zeros(p[2], int) for p in plan}
+    edges = {p[1]: np.cumsum([0] + [p[2] // p[4] + (b < p[2] % p[4]) for b in range(p[4])]) if p[4] else [0] for p in plan}
+
+    def take(p, r, words=None):
+        e = edges[p[1]]
+        b = r % p[4]
+        used[p[1]][e[b] : e[b + 1] if words is None else e[b] + words] += 1
+
+    for slot in range(1, sum(p[7] for p in plan) + 1):
+        u = van_der_corput(slot)
+        p = next(p for p in plan if p[5] <= u < p[6])
+        if ranks[p[0]] < p[7]:
+            take(p, ranks[p[0]])
+        ranks[p[0]] += 1
+    for p in plan:
+        for r in range(ranks[p[0]], p[7]):
+            take(p, r)
+        if p[8]:
+            take(p, p[7], p[8])
+    return used
+
+
+@pytest.mark.parametrize("block_words", [8, 256])
+def test_mixing(docs, empty, odd, block_words):
+    got = mixing.mix(docs, block_words=block_words).toPandas()
     sizes = {}
     for r in rows():
         sizes.setdefault(r[3], []).append(len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")))
-    goal = mixing.targets([(k, sum(v)) for k, v in sizes.items()])
-    assert math.isclose(sum(goal.values()), sum(map(sum, sizes.values())))
+    total = {k: sum(v) for k, v in sizes.items()}
+    goal = mixing.targets(list(total.items()))
+    assert math.isclose(sum(goal.values()), sum(total.values()))
+    used = brute_mix(total, block_words)
     for s, g in got.groupby("source", dropna=False):
         s = s if isinstance(s, str) else None
-        assert sorted(g["size"]) == sorted(sizes[s]) and set(g.source_size) == {sum(sizes[s])}
-        assert abs(g.taken.sum() - goal[s]) <= max(0.1 * goal[s], 64) and (g.taken <= 3 * g["size"]).all()
-    again = mixing.mix(docs.repartition(2), block_words=8).toPandas()
+        assert sorted(g["size"]) == sorted(sizes[s]) and set(g.source_size) == {total[s]}
+        assert abs(g.taken.sum() - goal[s]) <= 1 and (g.taken <= 3 * g["size"]).all()
+        signed = g.sort_values(["row_hash", "row_check"])  # the source's line: what the schedule takes of each row
+        ends = np.cumsum(signed["size"])
+        alike = {}
+        for h, n, lo, hi in zip(signed.row_hash, signed.taken, ends - signed["size"], ends, strict=True):
+            x = alike.setdefault(h, [0, 0])
+            x[0] += n
+            x[1] += used[s][lo:hi].sum()
+        assert all(a == b for a, b in alike.values())
+    again = mixing.mix(docs.repartition(2), block_words=block_words).toPandas()
     assert sorted(zip(got.doc_id, got.taken, strict=True)) == sorted(zip(again.doc_id, again.taken, strict=True))
     assert mixing.mix(empty).count() == 0 and mixing.mix(odd).count() == 3
     assert mixing.targets([("a", 1), ("b", 1000), (None, 10)]) == {"a": 3.0, "b": 978.0, None: 30.0}
     assert mixing.leading_words(" a  b\nc ", 2) == " a  b"
-    taken = mixing.taken_text(docs, mixing.mix(docs, block_words=8), ("doc_id", "text"))
-    assert taken.count() == got[got.taken > 0].shape[0]
+    taken = mixing.taken_text(docs, ("doc_id", "text"), block_words=block_words).collect()
+    assert sum(len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for r in taken) == got.taken.sum()
+    whole = dict(ordered())
+    assert all(whole[r.doc_id].startswith(r.text) for r in taken)
+    assert mixing.taken_text(empty, ("doc_id", "text")).count() == 0 and mixing.taken_text(odd, ("doc_id", "text")).count() == 1
+
+
+@pytest.mark.parametrize("sizes", [[1, 6, 64, 70, 200, 5000], [10, 100_000], [6] * 2000, [3, 0, 0, 1]])
+def test_mixing_meets_targets_of_any_size(spark, sizes):
+    data = [(i, " ".join(["w"] * n), f"s{i:05d}") for i, n in enumerate(sizes)]
+    got = mixing.mix(spark.createDataFrame(data, "doc_id bigint, text string, source string").repartition(4)).collect()
+    assert len(got) == len(sizes)
+    assert all(abs(r.taken - r.target) <= 0.5 and r.taken <= 3 * r["size"] for r in got)
 
 
-def test_substrings(docs, empty, odd):
+def brute_repeats(data, length):
     seen, want = set(), []
-    for k, t in ordered():
+    for k, t in data:
         b = t.encode()
         gone = np.zeros(len(b), bool)
-        for i in range(len(b) - 99):
-            if b[i : i + 100] in seen:
-                gone[i : i + 100] = True
-            seen.add(b[i : i + 100])
-        want.append((k, len(b), sha(np.frombuffer(b, np.uint8)[~gone].tobytes()), int(gone.sum())))
-    got = [(r.doc_id, r.n_bytes, sha(bytes(r.kept)), sum(s["end"] - s["start"] for s in r.spans)) for r in substrings.remove_repeats(docs).collect()]
-    assert sorted(got) == sorted(want)
+        for i in range(len(b) - length + 1):
+            if b[i : i + length] in seen:
+                gone[i : i + length] = True
+            seen.add(b[i : i + length])
+        edge = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(int)))
+        want.append((k, len(b), sha(np.frombuffer(b, np.uint8)[~gone].tobytes()), list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))))
+    return sorted(want)
+
+
+def removed(df):
+    return sorted((r.doc_id, r.n_bytes, sha(bytes(r.kept)), [(s["start"], s["end"]) for s in r.spans]) for r in df.collect())
+
+
+@pytest.mark.parametrize(("length", "digit", "large", "chunk"), [(100, 32, 256, 1 << 20), (100, 32, 0, 1 << 20), (40, 16, 2, 1000), (400, 32, 256, 1000), (9, 8, 4, 1 << 20)])
+def test_substrings(docs, empty, odd, monkeypatch, length, digit, large, chunk):
+    monkeypatch.setattr(substrings, "_LARGE", large)
+    monkeypatch.setattr(substrings, "_CHUNK", chunk)
+    substrings._powers.cache_clear()
+    if length == 100 or large == 256:
+        assert removed(substrings.remove_repeats(docs, length=length, digit=digit)) == brute_repeats(ordered(), length)
+    else:
+        few = docs.where("doc_id < 48 and length(text) < 5000")
+        assert removed(substrings.remove_repeats(few, length=length, digit=digit)) == brute_repeats([x for x in ordered() if x[0] < 48 and len(x[1]) < 5000 and dict((r[0], r[1]) for r in rows())[x[0]] is not None], length)
     assert substrings.remove_repeats(empty).count() == 0 and substrings.remove_repeats(odd).count() == 3
+    substrings._powers.cache_clear()
+
+
+def test_substrings_of_a_line_that_all_have(spark, monkeypatch):
+    """One short passage in every text, whose surroundings differ, repeat in part or in whole."""
+    monkeypatch.setattr(substrings, "_LARGE", 8)
+    rng = random.Random(7)
+    say = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line, heads, tails = say(60), [say(50) for _ in range(4)], [say(50) for _ in range(4)]
+    data = [(i, say(20) + rng.choice(heads)[rng.randrange(40) :] + line + rng.choice(tails)[: rng.randrange(50)] + say(30)) for i in range(200)]
+    got = substrings.remove_repeats(spark.createDataFrame(data, "doc_id bigint, text string").repartition(5))
+    assert removed(got) == brute_repeats(data, 100)
+
+
+def test_suffix_order():
+    rng = np.random.default_rng(3)
+    raw = rng.integers(97, 99, 3000).astype(np.uint8)
+    start = np.arange(len(raw) - 20)
+    for length in (5, 8, 13, 20):
+        left, group = substrings.repeated_suffixes(raw, start, np.zeros(len(start), np.int64), length)
+        want = Counter(raw[i : i + length].tobytes() for i in start)
+        assert sorted(left.tolist()) == [i for i in start if want[raw[i : i + length].tobytes()] > 1]
+        names = [raw[i : i + length].tobytes() for i in left]
+        assert names == sorted(names) and len(set(group.tolist())) == len(set(names))
+    with pytest.raises(ValueError):
+        substrings.remove_repeats(None, length=4, digit=8)
 
 
 def distance(a, b):
@@ -405,49 +591,3 @@ def test_bpe(docs, empty, odd):
     assert sorted((r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in fused) == want
     assert bpe.encode(empty, path, public_tokenizers.PATTERN).count() == 0
     assert bpe.encode(odd, path, public_tokenizers.PATTERN).where("n_tokens = 0").count() == 2
-
-
-def test_pipeline(spark, tmp_path):
-    pipeline = pytest.importorskip("corpus_pipeline")
-    rng = random.Random(2)
-    data = [(i, " ".join(rng.choice(WORDS) for _ in range(60)) + f" number {i}.", "en", f"s{i % 2}", 0) for i in range(60)]
-    data += [(i, " ".join(rng.choice(WORDS) + "$$$" for _ in range(60)), "en", "s0", 0) for i in range(60, 80)]
-    data += [(90, data[0][1], "en", "s1", 0)]
-    spark.createDataFrame(data, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(d[0], int(d[0] < 60)) for d in data if d[0] != 90], "doc_id bigint, quality int").write.parquet(str(tmp_path / "labels.parquet"))
-    docs, tables = spark.read.parquet(str(tmp_path / "documents.parquet")), []
-    for i, (_, stage) in enumerate(pipeline.STAGES):
-        docs = common.written(stage(spark, docs, str(tmp_path)), f"test-{i}")
-        tables.append({r.doc_id: r for r in docs.collect()})
-        if i < 4:
-            assert docs.columns == list(pipeline.COLUMNS) and all(r.n_chars == len(r.text) for r in tables[-1].values() if i)
-    kept, deduped, distinct, mixed, coded = tables
-    assert set(kept) == {d[0] for d in data if not 60 <= d[0] < 80}
-    before = []
-    for k in sorted(kept):
-        want = []
-        for x in kept[k].text.split("\n"):
-            if len(x) < lines.LEAST_CHARS or not any(distance(x, y) <= lines.MOST_EDITS for y in before if abs(len(x) - len(y)) <= lines.MOST_EDITS):
-                want.append(x)
-            if len(x) >= lines.LEAST_CHARS:
-                before.append(x)
-        assert deduped[k].text == "\n".join(want)
-    fps = {k: brute_simhash(r.text) for k, r in deduped.items()}
-    sets = common.Sets()
-    for a, x in fps.items():
-        for b, y in fps.items():
-            if (x ^ y).bit_count() <= simhash.MOST_BITS:
-                sets.join(a, b)
-    assert set(distinct) == {sets.root(k) for k in fps}
-    sizes = {}
-    for r in distinct.values():
-        sizes[r.source] = sizes.get(r.source, 0) + len(r.text.split())
-    goal, took = mixing.targets(list(sizes.items())), dict.fromkeys(sizes, 0)
-    for k, r in mixed.items():
-        took[r.source] += len(r.text.split())
-        assert len(r.text.split()) <= 3 * len(distinct[k].text.split())
-        assert r.text.startswith(distinct[k].text) or distinct[k].text.startswith(r.text)
-    assert all(abs(took[s] - goal[s]) <= 2 * mixing.BLOCK_WORDS for s in goal)
-    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe._ranks(public_tokenizers.path(queries.BYTE_BPE)), special_tokens={})
-    assert {k: (sha(bytes(r.ids)), r.decoded_sha256) for k, r in coded.items()} == {k: (sha(np.array(enc.encode_ordinary(r.text), "<u4").tobytes()), sha(r.text.encode())) for k, r in mixed.items()}
-    assert pipeline.run(spark, str(tmp_path)).count() == len(coded)
