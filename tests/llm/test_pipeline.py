@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from factorloom.llm import bpe, common, lines, mixing, queries
 
-from .test_operators import WORDS, brute_jaccard, distance, sha
+from test_operators import WORDS, brute_jaccard, distance, sha
 
 pipeline = pytest.importorskip("corpus_pipeline")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
