@@ -24,6 +24,12 @@ def ratio(a: Column, b: Column) -> Column:
     return fin(a / F.nullif(b, F.lit(0.0)))
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """a / b as floating point has it: infinite over zero, and NULL for 0 / 0."""
+    over_zero = F.when(a > 0, F.lit(INF)).when(a < 0, F.lit(-INF))
+    return nn(F.when(b == 0, over_zero).otherwise(a / F.nullif(b, F.lit(0.0))))
+
+
 def by_symbol(*more: str) -> WindowSpec:
     return Window.partitionBy(*more, "symbol").orderBy("date")
 

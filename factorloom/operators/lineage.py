@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SCHEMA = "run_id string, id bigint, generation int, op string, parents array<bigint>, tree string, fitness double"
@@ -31,14 +31,38 @@ def layout(lineage: DataFrame) -> DataFrame:
     return lineage.select("run_id", "id", "generation", (F.row_number().over(Window.partitionBy("run_id", "generation").orderBy("id")) - 1).alias("place"))
 
 
+def save(lineage: DataFrame, path: str) -> None:
+    """Adds a run's records to a table by run; a run that is saved again replaces its records."""
+    lineage.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+
+
+def load(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
+    df = spark.read.schema(SCHEMA).parquet(path).select(*(c.split()[0] for c in SCHEMA.split(", ")))
+    return df if run_id is None else df.where(F.col("run_id") == run_id)
+
+
+def replay(lineage: DataFrame, run_id: str) -> list[list[str]]:
+    """A run's trees, generation by generation, in the order of the population."""
+    rows = lineage.where(F.col("run_id") == run_id).groupBy("generation").agg(F.array_sort(F.collect_list(F.struct("id", "tree"))).alias("x")).orderBy("generation")
+    return [[r["tree"] for r in g["x"]] for g in rows.collect()]
+
+
+def current(lineage: DataFrame, run_id: str, generation: int | None = None) -> list[int]:
+    """Ids of a generation (the last), in the order of the population: the parents that a run taken up refers to."""
+    own = lineage.where(F.col("run_id") == run_id)
+    if generation is None:
+        generation = own.agg(F.max("generation")).first()[0]
+    return [r["id"] for r in own.where(F.col("generation") == generation).orderBy("id").collect()]
+
+
 def ancestors(lineage: DataFrame, start: int, run_id: str | None = None) -> DataFrame:
-    """All nodes that led to a node, itself included: frontier joins, one a generation."""
+    """All nodes that led to a node, itself included: frontier joins, one a generation, each kept for the next."""
     if run_id is not None:
         lineage = lineage.where(F.col("run_id") == run_id)
     e = edges(lineage).select("parent", "child").distinct()
     found = lineage.where(F.col("id") == start).select(F.col("id").alias("node")).distinct()
     frontier = found
     for _ in range(lineage.agg(F.max("generation")).first()[0] or 0):
-        frontier = e.join(frontier, e["child"] == frontier["node"], "left_semi").select(F.col("parent").alias("node")).distinct()
+        frontier = e.join(frontier, e["child"] == frontier["node"], "left_semi").select(F.col("parent").alias("node")).distinct().cache()
         found = found.union(frontier)
     return found.distinct()

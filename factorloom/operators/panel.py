@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import by_symbol, fin, nn, ratio
+from ..functions.columns import by_symbol, nn, quotient, ratio
 
 PRICE_FIELDS = ("open", "high", "low", "close", "volume", "div_cash", "split_factor")
 PRICE_SCHEMA = T.StructType([T.StructField("symbol", T.StringType()), T.StructField("date", T.DateType()), *(T.StructField(f, T.DoubleType()) for f in PRICE_FIELDS)])
@@ -68,9 +68,10 @@ def densify(bars: DataFrame, groups: tuple[str, ...] = ()) -> DataFrame:
 
 
 def derive(dense: DataFrame) -> DataFrame:
-    """vwap (high + low + close) / 3 and returns over the row before in the grid; 0 before it gives NULL."""
+    """vwap (high + low + close) / 3 and returns over the row before in the grid. A close of 0 before gives an
+    infinite return (NULL for 0 over 0); rolling operators take infinities for missing."""
     before = F.lag("close").over(by_symbol())
-    return dense.withColumns({"vwap": (F.col("high") + F.col("low") + F.col("close")) / 3.0, "returns": fin(F.col("close") / F.nullif(before, F.lit(0.0)) - 1.0)})
+    return dense.withColumns({"vwap": (F.col("high") + F.col("low") + F.col("close")) / 3.0, "returns": nn(quotient(F.col("close"), before) - 1.0)})
 
 
 def panel(prices: DataFrame, start: str | None = None, end: str | None = None, symbols: DataFrame | None = None) -> DataFrame:
@@ -99,7 +100,8 @@ def event_bars(events: DataFrame) -> DataFrame:
 def weekly_bars(lineitem: DataFrame, part: DataFrame) -> DataFrame:
     """Weekly bars of brands: unit price of line items, by ship date."""
     j = lineitem.join(part, lineitem["l_partkey"] == part["p_partkey"])
-    price, at = F.col("l_extendedprice") / F.col("l_quantity"), F.struct("l_shipdate", "l_orderkey", "l_linenumber")
+    price = F.col("l_extendedprice") / F.col("l_quantity")
+    at = F.struct("l_shipdate", "l_orderkey", "l_linenumber", price.alias("p"))
     rows = j.select(F.col("p_brand").alias("symbol"), F.to_date(F.date_trunc("week", "l_shipdate")).alias("date"), price.alias("p"), at.alias("at"), "l_quantity")
     return rows.groupBy("symbol", "date").agg(F.min_by("p", "at").alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", "at").alias("close"), F.sum("l_quantity").alias("volume"))
 

@@ -89,10 +89,15 @@ def rank_correlation(values: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def pairwise_rank_correlation(long: DataFrame) -> DataFrame:
-    """The same for all pairs of factors of (fid, date, symbol, value): fid_a < fid_b, corr."""
+    """The same for all pairs of factors of (fid, date, symbol, value): fid_a < fid_b, corr.
+
+    A cell's ranks come together once; its pairs are added up where they are made, so what moves then is a
+    row for each pair of factors and task.
+    """
     r = long.select("fid", "date", "symbol", average_rank(F.col("value"), "fid", "date").alias("r")).where("r is not null")
-    a, b = r.select(F.col("fid").alias("fid_a"), "date", "symbol", F.col("r").alias("a")), r.select(F.col("fid").alias("fid_b"), "date", "symbol", F.col("r").alias("b"))
-    j = a.join(b, ["date", "symbol"]).where("fid_a < fid_b")
+    cells = r.groupBy("date", "symbol").agg(F.array_sort(F.collect_list(F.struct("fid", "r"))).alias("x"))  # a cell's factors
+    later = lambda x, i: F.transform(F.slice(F.col("x"), i + 2, F.size("x")), lambda y: F.struct(x["fid"].alias("fid_a"), y["fid"].alias("fid_b"), x["r"].alias("a"), y["r"].alias("b")))
+    j = cells.select(F.inline(F.flatten(F.transform("x", later))))
     return j.groupBy("fid_a", "fid_b").agg(F.coalesce(pearson(F.col("a"), F.col("b"), 3), F.lit(0.0)).alias("corr"))
 
 
@@ -106,6 +111,12 @@ def prune(long: DataFrame, fitness: dict[int, float], limit: float = 0.7) -> lis
     return kept
 
 
+def combine_trees(panel: DataFrame, trees: Sequence[Node], train_end: str | None = None, horizon: int = 1, registry: Registry | None = None) -> DataFrame:
+    """The combined signal of trees over a panel: date, symbol, value."""
+    p = forward_returns(panel, horizon)
+    return combine(evaluate_batch(p, trees, registry), p.select("date", "symbol", "fwd"), train_end)
+
+
 def combine(long: DataFrame, fwd: DataFrame, train_end: str | None = None) -> DataFrame:
     """One signal of many: the sum of per-date z-scores, each times its mean signed rank IC in training.
 

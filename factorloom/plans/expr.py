@@ -127,6 +127,19 @@ class Registry:
             raise ExprError(f"{name!r} is registered with another definition")
         return old
 
+    def clear(self) -> int:
+        """Takes out all macros; built-in operators stay."""
+        n = len(self.macros)
+        self.macros.clear()
+        return n
+
+    def counts(self) -> dict[str, int]:
+        """Operators by category."""
+        out: dict[str, int] = {}
+        for n in (*BUILTINS, *self.macros):
+            out[self.category(n)] = out.get(self.category(n), 0) + 1
+        return out
+
     def unregister(self, name: str) -> bool:
         return self.macros.pop(name, None) is not None
 

@@ -174,24 +174,26 @@ class Search:
 
     def _mutate_point(self, a: Node) -> Node:
         path, slot, old = self.rng.choice(list(positions(a, self.registry)))
+        if old.name in OPERANDS:
+            return replace_at(a, path, Node(self.rng.choice([x for x in OPERANDS if x != old.name])))
         if not old.children:
             return replace_at(a, path, self.generate.terminal(slot) or old)
         own = self.registry.op(old.name)
-        same = [o.name for o in self.generate.ops if o.args == own.args and o.out == own.out]
+        same = [o.name for o in self.generate.ops if o.args == own.args and o.out == own.out and o.name != old.name]
         return replace_at(a, path, Node(self.rng.choice(same) if same else old.name, old.children))
 
     def _offspring(self) -> tuple[Node, list[int], str]:
         c, i = self.config, self._tournament()
-        tree, parents, ops = self.population[i].tree, [i], []
+        tree, parents, ops = self.population[i].tree, [i], ["reproduction"]
         if self.rng.random() < c.crossover_rate:
             j = self._tournament()
             tree, ops = self._crossover(tree, self.population[j].tree), ["crossover"]
             parents.append(j)
         if self.rng.random() < c.subtree_mutation_rate:
-            tree, ops = self._mutate_subtree(tree), [*ops, "subtree"]
+            tree, ops = self._mutate_subtree(tree), [*ops, "subtree_mut"]
         if self.rng.random() < c.point_mutation_rate:
-            tree, ops = self._mutate_point(tree), [*ops, "point"]
-        return tree, parents, "+".join(ops) or "copy"
+            tree, ops = self._mutate_point(tree), [*ops, "point_mut"]
+        return tree, parents, "+".join(ops)
 
     def _adopt(self, entries: list[tuple[Node, list[int], str]]) -> None:
         ids = [p.id for p in self.population]
@@ -217,16 +219,25 @@ class Search:
         self.generation += 1
         self._adopt(entries)
 
-    def run(self, seeds: Sequence[Node] = (), stop: Callable[[], bool] | None = None) -> Individual:
+    def run(self, seeds: Sequence[Node] = (), stop: Callable[[], bool] | None = None, observe: Callable[[dict], None] | None = None) -> Individual:
+        """To the last generation, or until ``stop`` or the time budget; ``observe`` gets each one's figures."""
         began = time.monotonic()
+        seen = observe or (lambda _: None)
         if not self.population:
             self.initialize(seeds)
+            seen(self.progress())
         while self.generation < self.config.generations and not (stop and stop()):
             if self.config.time_budget_s is not None and time.monotonic() - began > self.config.time_budget_s:
                 break
             self.step()
+            seen(self.progress())
         return self.best()
 
+    def progress(self) -> dict:
+        """Generation, generations to go to, and the best tree so far."""
+        best = self.best()
+        return {"generation": self.generation, "target": self.config.generations, **self.history[-1], "best_tree": to_json(best.tree)}
+
     def best(self) -> Individual:
         """The first of largest fitness, simplified."""
         b = max(self.population, key=lambda p: p.fitness)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Sequence
-from dataclasses import asdict, dataclass, field
+from concurrent.futures import Future, ThreadPoolExecutor
+from dataclasses import asdict, dataclass, field, replace
+from threading import Event
 from datetime import date
 
 from pyspark.sql import DataFrame
@@ -45,12 +47,12 @@ def build_report(panel: DataFrame, search: Search, segments: DataFrame, trials:
     return {"best": show(best.tree), "tree": to_dict(best.tree), "fitness": best.fitness, "history": search.history, "raw_trials": trials, **verdict}
 
 
-def run_search(panel: DataFrame, config: Config, registry: Registry | None = None, seeds: Sequence[Node] = (), stop: Callable[[], bool] | None = None, train: float = 0.6, valid: float = 0.2, embargo: int = 5) -> tuple[dict, Search]:
+def run_search(panel: DataFrame, config: Config, registry: Registry | None = None, seeds: Sequence[Node] = (), stop: Callable[[], bool] | None = None, train: float = 0.6, valid: float = 0.2, embargo: int = 5, observe: Callable[[dict], None] | None = None) -> tuple[dict, Search]:
     """Splits the dates, searches on training dates only (their labels stay inside), and judges on all."""
     segments = splits.time_split(splits.date_line(panel), train, valid, embargo).cache()
     own = panel.join(segments.where("segment = 'train'").select("date"), "date", "left_semi").cache()
     search = Search(own, config, registry or Registry())
-    search.run(seeds, stop)
+    search.run(seeds, stop, observe)
     report = build_report(panel, search, segments, search.trials)
     own.unpersist()
     segments.unpersist()
@@ -68,13 +70,14 @@ class Session:
     test_reads: int = 0
     reports: list[dict] = field(default_factory=list)
     checkpoint: str | None = None
+    operators: list[str] = field(default_factory=list)
     running: bool = False
 
     @classmethod
     def start(cls, name: str, documents: Documents, panel: DataFrame, train: float = 0.6, valid: float = 0.2, embargo: int = 5) -> Session:
         return cls(name, documents, splits.boundaries(splits.time_split(splits.date_line(panel), train, valid, embargo)))
 
-    def segment(self, panel: DataFrame, config: Config, registry: Registry | None = None, seeds: Sequence[Node] = (), stop: Callable[[], bool] | None = None) -> dict:
+    def segment(self, panel: DataFrame, config: Config, registry: Registry | None = None, seeds: Sequence[Node] = (), stop: Callable[[], bool] | None = None, observe: Callable[[dict], None] | None = None) -> dict:
         """A first or further segment. A further one goes on from the checkpoint; scores are taken anew if
         scoring changed. Trials add up over segments."""
         if self.running:
@@ -94,13 +97,14 @@ class Session:
                 search.prior_trials = 0
                 if any(getattr(before, k) != getattr(config, k) for k in ("parsimony", "ic_method", "min_names", "horizon")):
                     search.rescore()
-                config.generations += search.generation
-            search.run(stop=stop)
+                search.config = replace(config, generations=config.generations + search.generation)
+            search.run(stop=stop, observe=observe)
             self.counter.add(search.trials)
             self.test_reads += 1
             report = build_report(panel, search, segments, self.counter.total)
             report |= {"test_reads": self.test_reads, "warning": "the test dates have been read before" if self.test_reads > 1 else None}
             self.checkpoint = search.save()
+            self.operators = sorted(set(search.registry.macros) & {n.name for p in search.population for n in p.tree})
             self.reports.append(report)
             self.save()
             own.unpersist()
@@ -110,13 +114,13 @@ class Session:
             self.running = False
 
     def save(self) -> None:
-        self.documents.put(self.name, {"frozen": {k: [str(a), str(b)] for k, (a, b) in self.frozen.items()}, "trials": self.counter.total, "test_reads": self.test_reads, "reports": self.reports, "checkpoint": self.checkpoint})
+        self.documents.put(self.name, {"frozen": {k: [str(a), str(b)] for k, (a, b) in self.frozen.items()}, "trials": self.counter.total, "test_reads": self.test_reads, "reports": self.reports, "checkpoint": self.checkpoint, "operators": self.operators})
 
     @classmethod
     def load(cls, name: str, documents: Documents) -> Session:
         d = documents.get(name)
         frozen = {k: (date.fromisoformat(a), date.fromisoformat(b)) for k, (a, b) in d["frozen"].items()}
-        return cls(name, documents, frozen, TrialCounter(d["trials"]), d["test_reads"], d["reports"], d["checkpoint"])
+        return cls(name, documents, frozen, TrialCounter(d["trials"]), d["test_reads"], d["reports"], d["checkpoint"], d.get("operators", []))
 
 
 def export_run(report: dict, search: Search) -> str:
@@ -128,10 +132,59 @@ def export_run(report: dict, search: Search) -> str:
     return json.dumps({"report": report, "config": asdict(search.config), "history": search.history, "lineage": [dict(zip(keys, r, strict=True)) for r in search.records]})
 
 
+def validate_export(text: str) -> dict:
+    """The document, if its report is whole and all its trees can be read; else raises."""
+    data = json.loads(text)
+    for key in ("best", "tree", "dsr", "pbo", "oos_ic"):
+        if key not in data.get("report", {}):
+            raise ValueError(f"the report lacks {key}")
+    from_dict(data["report"]["tree"])
+    for r in data["lineage"]:
+        if missing := {"id", "generation", "op", "parents", "tree"} - set(r):
+            raise ValueError(f"a lineage record lacks {sorted(missing)}")
+        from_dict(json.loads(r["tree"]))
+    return data
+
+
+@dataclass
+class Jobs:
+    """Long calls in the background, by name: state, figures so far, result or error; they stop when asked to."""
+
+    workers: int = 2
+
+    def __post_init__(self) -> None:
+        self._pool = ThreadPoolExecutor(self.workers)
+        self._jobs: dict[str, tuple[Future, Event, list]] = {}
+
+    def submit(self, name: str, call: Callable, *args, **options) -> str:
+        """Runs ``call(*args, stop=, observe=, **options)``, which asks stop() and tells observe(figures)."""
+        if name in self._jobs and not self._jobs[name][0].done():
+            raise RuntimeError(f"{name} is running")
+        stop, seen = Event(), []
+        self._jobs[name] = (self._pool.submit(call, *args, stop=stop.is_set, observe=seen.append, **options), stop, seen)
+        return name
+
+    def poll(self, name: str) -> dict:
+        future, stop, seen = self._jobs[name]
+        error = future.exception() if future.done() else None
+        state = "failed" if error else "done" if future.done() else "running" if future.running() or seen else "queued"
+        return {"state": state, "stopping": stop.is_set(), "progress": seen[-1] if seen else None, "history": list(seen), "error": repr(error) if error else None}
+
+    def result(self, name: str, timeout: float | None = None):
+        return self._jobs[name][0].result(timeout)
+
+    def cancel(self, name: str) -> bool:
+        """Asks a job to stop; a search does after its generation."""
+        if name not in self._jobs:
+            return False
+        self._jobs[name][1].set()
+        return True
+
+
 def catalogue(registry: Registry | None = None) -> list[dict]:
-    """All operators for display: name, category, arguments, result, help."""
+    """All operators for display: name, label, category, arguments, result, help."""
     registry = registry or Registry()
-    return [{"name": n, "category": registry.category(n), "args": list(o.args), "out": o.out, "doc": o.doc, "macro": n not in BUILTINS} for n, o in {**BUILTINS, **registry.macros}.items()]
+    return [{"name": n, "label": n.strip("_").replace("ts_", "rolling ").replace("_", " "), "category": registry.category(n), "args": list(o.args), "out": o.out, "doc": o.doc, "macro": n not in BUILTINS} for n, o in {**BUILTINS, **registry.macros}.items()]
 
 
-__all__ = ["Session", "TrialCounter", "build_report", "catalogue", "export_run", "from_dict", "net_returns", "run_search"]
+__all__ = ["Jobs", "Session", "TrialCounter", "build_report", "catalogue", "export_run", "from_dict", "net_returns", "run_search", "validate_export"]

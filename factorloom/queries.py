@@ -148,13 +148,13 @@ def bars(spark, sf_dir):
 
 
 @_query("""WITH w AS (SELECT p_brand AS symbol, CAST(date_trunc('week', l_shipdate) AS DATE) AS date, l_extendedprice / l_quantity AS p, l_quantity,
-  row_number() OVER (PARTITION BY p_brand, date_trunc('week', l_shipdate) ORDER BY l_shipdate, l_orderkey, l_linenumber) AS a,
-  row_number() OVER (PARTITION BY p_brand, date_trunc('week', l_shipdate) ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC) AS b
+  row_number() OVER (PARTITION BY p_brand, date_trunc('week', l_shipdate) ORDER BY l_shipdate, l_orderkey, l_linenumber, l_extendedprice / l_quantity) AS a,
+  row_number() OVER (PARTITION BY p_brand, date_trunc('week', l_shipdate) ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC, l_extendedprice / l_quantity DESC) AS b
   FROM lineitem JOIN part ON l_partkey = p_partkey)
-SELECT symbol, date, max(p) AS high, min(p) AS low, sum(l_quantity) AS volume FROM w GROUP BY 1, 2""")
+SELECT symbol, date, max(p) FILTER (WHERE a = 1) AS open, max(p) AS high, min(p) AS low, max(p) FILTER (WHERE b = 1) AS close, sum(l_quantity) AS volume FROM w GROUP BY 1, 2""")
 def weekly_bars(spark, sf_dir):
     b = panel.weekly_bars(_table(spark, sf_dir, "lineitem"), _table(spark, sf_dir, "part"))
-    return b.select("symbol", "date", "high", "low", "volume")
+    return b
 
 
 @_query("""WITH w AS (SELECT p_brand AS symbol, CAST(date_trunc('week', l_shipdate) AS DATE) AS date, sum(l_quantity) AS volume FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
@@ -494,40 +494,88 @@ def lineage_ancestors(spark, sf_dir):
     return lineage.ancestors(_lineage(spark, sf_dir), 23)
 
 
-# beyond SQL
+# batches of trees
 
 
 _TREES = (_FACTOR, "zscore(ts_mean(returns, 3))", "rank(close)", "neg(rank(close))", "rank(delta(volume, 2))", "rank(ts_std(returns, 5))")
 
 
-@_query()
+def _z(x: str) -> str:
+    return f"({x} - avg({x}) OVER (PARTITION BY date)) / nullif(stddev_samp({x}) OVER (PARTITION BY date), 0)"
+
+
+_INNER = f"""{_PANEL}, inner_ AS (SELECT date, symbol, close, lead(returns, 1) OVER {_T} AS fwd, {_MEAN3} AS a, {_roll("avg", "returns", 3)} AS b, volume - lag(volume, 2) OVER {_T} AS d, {_roll("stddev_samp", "returns", 5)} AS e FROM panel),
+long AS (
+  SELECT 0 AS fid, date, symbol, fwd, {_pct("a")} AS value FROM inner_ UNION ALL SELECT 1, date, symbol, fwd, {_z("b")} FROM inner_ UNION ALL SELECT 2, date, symbol, fwd, {_pct("close")} FROM inner_
+  UNION ALL SELECT 3, date, symbol, fwd, -({_pct("close")}) FROM inner_ UNION ALL SELECT 4, date, symbol, fwd, {_pct("d")} FROM inner_ UNION ALL SELECT 5, date, symbol, fwd, {_pct("e")} FROM inner_)"""
+_PEARSON = "covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0)"
+_BATCH_IC = f"""pair AS (SELECT * FROM long WHERE value IS NOT NULL AND fwd IS NOT NULL),
+r AS (SELECT fid, date, {_avg_rank("value", "fid, date")} AS x, {_avg_rank("fwd", "fid, date")} AS y FROM pair),
+ic AS (SELECT fid, date, CASE WHEN count(*) >= 5 THEN {_PEARSON} END AS ic FROM r GROUP BY fid, date),
+s AS (SELECT fid, coalesce(avg(abs(ic)), 0) AS ic, count(ic) AS days FROM ic GROUP BY fid)"""
+_SIZES = "(VALUES (0, 4), (1, 4), (2, 2), (3, 3), (4, 4), (5, 4)) AS z(fid, size)"
+_BATCH_CORR = f"""q AS (SELECT fid, date, symbol, {_avg_rank("value", "fid, date")} AS r FROM long),
+corr AS (SELECT a.fid AS fid_a, b.fid AS fid_b, coalesce(CASE WHEN count(*) >= 3 THEN covar_pop(a.r, b.r) / nullif(stddev_pop(a.r) * stddev_pop(b.r), 0) END, 0) AS corr
+  FROM q a JOIN q b ON a.date = b.date AND a.symbol = b.symbol AND a.fid < b.fid WHERE a.r IS NOT NULL AND b.r IS NOT NULL GROUP BY 1, 2)"""
+_BATCH_RETURNS = """dm AS (SELECT fid, date, fwd, value - avg(value) OVER (PARTITION BY fid, date) AS d FROM long),
+ret AS (SELECT fid, date, sum(d / nullif(g, 0) * fwd) AS ret FROM (SELECT *, sum(abs(d)) OVER (PARTITION BY fid, date) AS g FROM dm) GROUP BY fid, date)"""
+#: Cross-validation over 16 blocks: all halves of the blocks as bits, each half's moments merged from the blocks'.
+_PBO = """line AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos, count(*) OVER () AS t FROM (SELECT DISTINCT date FROM ret)),
+cell AS (SELECT r.fid, coalesce(r.ret, 0) AS r, (SELECT count(*) FROM range(1, 16) AS e(i) WHERE pos >= t * i // 16) AS block FROM ret r JOIN line USING (date)),
+blk AS (SELECT fid, block, count(*) AS n, avg(r) AS mean, var_pop(r) * count(*) AS m2 FROM cell GROUP BY 1, 2),
+half AS (SELECT range AS bits FROM range(65536) WHERE bit_count(range) = 8),
+side AS (SELECT bits, fid, (bits >> block) & 1 AS own, sum(n) AS n, sum(n * mean) AS s1, sum(m2 + n * mean * mean) AS s2 FROM half, blk GROUP BY 1, 2, 3),
+sharpe AS (SELECT bits, fid, own, CASE WHEN s2 - s1 * s1 / n > 1e-30 THEN s1 / n / sqrt((s2 - s1 * s1 / n) / (n - 1)) ELSE 0 END AS sr FROM side),
+best AS (SELECT bits, arg_max(fid, (sr, -fid)) AS fid FROM sharpe WHERE own = 1 GROUP BY bits),
+placed AS (SELECT o.bits, count(*) FILTER (WHERE o.sr < m.sr) + (count(*) FILTER (WHERE o.sr = m.sr) + 1) / 2.0 AS rank, count(*) AS strategies
+  FROM best b JOIN sharpe m ON m.bits = b.bits AND m.fid = b.fid AND m.own = 0 JOIN sharpe o ON o.bits = b.bits AND o.own = 0 GROUP BY o.bits)"""
+
+
+def _trees():
+    return [parse(t) for t in _TREES]
+
+
+@_query(_with(f"{_INNER}, {_BATCH_RETURNS}", "SELECT fid, date, round(ret, 6) AS ret FROM ret"))
+def tree_returns(spark, sf_dir):
+    return _r(overfit.tree_returns(events_panel(spark, sf_dir), _trees()), "ret")
+
+
+@_query(_with(f"{_INNER}, {_BATCH_RETURNS}, {_PBO}", "SELECT round(avg(CASE WHEN rank / (strategies + 1) <= 0.5 THEN 1.0 ELSE 0.0 END), 6) AS pbo, count(*) AS splits, CAST(max(strategies) AS BIGINT) AS strategies FROM placed"))
 def pbo(spark, sf_dir):
-    returns = overfit.tree_returns(events_panel(spark, sf_dir), [parse(t) for t in _TREES])
-    return spark.createDataFrame([overfit.pbo(returns, 8)])
+    got = overfit.pbo(overfit.tree_returns(events_panel(spark, sf_dir), _trees()))
+    return _r(spark.createDataFrame([tuple(got.values())], "pbo double, splits bigint, strategies bigint"), "pbo")
 
 
 @_query()
 def judge(spark, sf_dir):
     p = events_panel(spark, sf_dir)
     parts = splits.time_split(splits.date_line(p), embargo=1)
-    trees = [parse(t) for t in _TREES]
-    verdict = overfit.judge(p, trees[0], trees, parts.where("segment <> 'test'"), parts.where("segment = 'test'"), 100, blocks=8)
+    trees = _trees()
+    verdict = overfit.judge(p, trees[0], trees, parts.where("segment <> 'test'"), parts.where("segment = 'test'"), 100)
     return spark.createDataFrame([{k: float(v) for k, v in verdict.items()}])
 
 
-@_query()
+@_query(_with(f"{_INNER}, {_BATCH_CORR}", "SELECT fid_a, fid_b, round(corr, 6) AS corr FROM corr"))
+def pairwise_corr(spark, sf_dir):
+    return _r(score.pairwise_rank_correlation(evaluate_batch(events_panel(spark, sf_dir), _trees())), "corr")
+
+
+@_query("WITH RECURSIVE " + f"{_INNER}, {_BATCH_CORR}" + """, m AS (SELECT fid_b AS fid, list(fid_a) FILTER (WHERE abs(corr) >= 0.7) AS near FROM corr GROUP BY fid_b),
+greedy AS (SELECT 0 AS fid, [0] AS kept UNION ALL SELECT g.fid + 1, CASE WHEN len(list_intersect(coalesce(m.near, []), g.kept)) = 0 THEN list_append(g.kept, g.fid + 1) ELSE g.kept END FROM greedy g LEFT JOIN m ON m.fid = g.fid + 1 WHERE g.fid < 5)
+SELECT CAST(unnest(kept) AS INTEGER) AS fid FROM greedy WHERE fid = 5""")
 def prune(spark, sf_dir):
-    long = evaluate_batch(events_panel(spark, sf_dir), [parse(t) for t in _TREES])
+    long = evaluate_batch(events_panel(spark, sf_dir), _trees())
     return spark.createDataFrame([(f,) for f in score.prune(long, {i: -float(i) for i in range(len(_TREES))})], "fid int")
 
 
-@_query()
+@_query(_with(f"{_INNER}, {_BATCH_IC}", f"SELECT z.fid, round(CASE WHEN coalesce(days, 0) < 5 THEN 0 ELSE ic END, 6) AS ic, round(CASE WHEN coalesce(days, 0) < 5 THEN 0 ELSE ic END - 0.001 * size, 6) AS fitness, coalesce(days, 0) AS days FROM {_SIZES} LEFT JOIN s ON s.fid = z.fid"))
 def score_batch(spark, sf_dir):
-    return score.score_batch(events_panel(spark, sf_dir), [parse(t) for t in _TREES])
+    return _r(score.score_batch(events_panel(spark, sf_dir), _trees()), "ic", "fitness")
 
 
 @_query()
 def gp_search(spark, sf_dir):
+    """A short search (8 trees, one generation): the operator's default of 200 by 25 takes some hours."""
     s = Search(events_panel(spark, sf_dir).cache(), Config(population_size=8, generations=1, max_depth=3, max_nodes=12, seed=1))
     s.run()
     s.panel.unpersist()

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 import re
+import shutil
 from dataclasses import dataclass
+from datetime import UTC, datetime
 from pathlib import Path
 
-from ..plans.expr import ExprError, Node, Registry, from_dict, to_dict
+from ..plans.expr import CATEGORIES, ExprError, Node, Registry, from_dict, parse, to_dict
 
 
 def slug(name: str) -> str:
@@ -66,7 +68,7 @@ class FactorStore:
 
     def save(self, name: str, tree: Node, registry: Registry, **meta) -> dict:
         registry.validate(tree)
-        doc = {"name": name, "tree": to_dict(tree), "expanded": to_dict(registry.expand(tree)), "operators": [macro_dict(registry, m) for m in registry.required(tree)], **meta}
+        doc = {"name": name, "tree": to_dict(tree), "expanded": to_dict(registry.expand(tree)), "operators": [macro_dict(registry, m) for m in registry.required(tree)], "saved_at": datetime.now(UTC).isoformat(), **meta}
         self.documents.put(name, doc)
         return doc
 
@@ -76,8 +78,27 @@ class FactorStore:
             registry.ensure(m["name"], tuple(m["args"]), m["out"], from_dict(m["body"]), m["category"])
         return registry.validate(from_dict(doc["tree"]))
 
+    def update(self, name: str, new_name: str | None = None, notes: str | None = None) -> dict | None:
+        """Renames a factor or changes its notes; None if there is none."""
+        if slug(name) not in self.documents.keys():
+            return None
+        doc = self.documents.get(name)
+        if notes is not None:
+            doc["notes"] = notes
+        if new_name is not None and slug(new_name) != slug(name):
+            if slug(new_name) in self.documents.keys():
+                raise ValueError(f"a factor {new_name!r} is there")
+            doc["name"] = new_name
+            self.documents.put(new_name, doc)
+            self.documents.delete(name)
+        else:
+            doc["name"] = new_name or doc["name"]
+            self.documents.put(name, doc)
+        return doc
+
     def list(self) -> list[dict]:
-        return sorted((self.documents.get(k) for k in self.documents.keys()), key=lambda d: -(d.get("fitness") or 0))
+        """The latest first."""
+        return sorted((self.documents.get(k) for k in self.documents.keys()), key=lambda d: d.get("saved_at", ""), reverse=True)
 
     def delete(self, name: str) -> bool:
         return self.documents.delete(name)
@@ -100,7 +121,7 @@ class FormulaStore:
         revision = len(doc["revisions"]) + 1
         runtime = self.runtime_name(name, revision)
         self.registry.register(runtime, args, out, body, category)
-        doc["revisions"].append(macro_dict(self.registry, runtime))
+        doc["revisions"].append({**macro_dict(self.registry, runtime), "family": name})
         self.documents.put(name, doc)
         return runtime
 
@@ -120,8 +141,15 @@ class FormulaStore:
                 done.append(n)
         return done
 
-    def impact(self, runtime: str, factors: FactorStore | None = None) -> dict[str, list[str]]:
-        """What needs a formula: directly, through others, and saved factors."""
+    def validate(self, text: str, args: tuple[str, ...] = ()) -> dict:
+        """Whether a formula's text can be read and typed, without saving it: its type, or what is wrong."""
+        try:
+            return {"valid": True, "type": self.registry.infer(parse(text, self.registry), args), "error": None}
+        except ExprError as e:
+            return {"valid": False, "type": None, "error": str(e)}
+
+    def impact(self, runtime: str, factors: FactorStore | None = None, sessions: Documents | None = None) -> dict[str, list[str]]:
+        """What needs a formula: directly, through others, saved factors, and sessions."""
         uses = {n: {x.name for x in from_dict(m["body"])} for n, m in self._all().items()}
         direct = sorted(n for n, u in uses.items() if runtime in u)
         reach, todo = set(direct), list(direct)
@@ -131,16 +159,18 @@ class FormulaStore:
             reach |= new
             todo += new
         named = [d["name"] for d in factors.list() if runtime in {m["name"] for m in d["operators"]}] if factors else []
-        return {"direct": direct, "transitive": sorted(reach - set(direct)), "factors": named}
+        held = [k for k in sessions.keys() if ({runtime} | reach) & set(sessions.get(k).get("operators", []))] if sessions else []
+        return {"direct": direct, "transitive": sorted(reach - set(direct)), "factors": named, "sessions": held}
 
-    def upgrade(self, old: str, new: str) -> list[str]:
-        """Formulas that use ``old`` get a revision that uses ``new``; undone as a whole if one doesn't fit."""
+    def upgrade(self, old: str, new: str, only: set[str] | None = None) -> list[str]:
+        """Formulas that use ``old`` (``only`` some of them) get a revision that uses ``new``; undone as a whole if
+        one doesn't fit."""
         made: list[tuple[str, str]] = []
         try:
-            for n in self.impact(old)["direct"]:
+            for n in (x for x in self.impact(old)["direct"] if only is None or x in only):
                 m = self._all()[n]
                 swap = lambda x: Node(new if x.name == old else x.name, tuple(map(swap, x.children)), x.value)
-                family = n.split("__r")[0]
+                family = m["family"]
                 made.append((family, self.save(family, tuple(m["args"]), m["out"], swap(from_dict(m["body"])), m["category"])))
         except ExprError:
             for family, runtime in reversed(made):
@@ -151,11 +181,82 @@ class FormulaStore:
             raise
         return [r for _, r in made]
 
-    def delete(self, name: str, factors: FactorStore | None = None) -> bool:
+    def delete(self, name: str, factors: FactorStore | None = None, sessions: Documents | None = None) -> bool:
         for m in self.documents.get(name)["revisions"]:
-            found = self.impact(m["name"], factors)
-            if found["direct"] or found["factors"]:
+            found = self.impact(m["name"], factors, sessions)
+            if found["direct"] or found["factors"] or found["sessions"]:
                 raise ExprError(f"{m['name']} is in use: {found}")
         for m in self.documents.get(name)["revisions"]:
             self.registry.unregister(m["name"])
         return self.documents.delete(name)
+
+
+#: Folders of a data home by category.
+FOLDERS = {"prices": "prices", "universes": "universe", "sessions": "sessions", "factors": "factors", "workspaces": "workspaces", "lineage": "lineage"}
+
+
+def usage(home: Path) -> dict[str, dict[str, int]]:
+    """Files and bytes of each category of a data home."""
+    out = {}
+    for key, folder in FOLDERS.items():
+        files = [p for p in (Path(home) / folder).rglob("*") if p.is_file()]
+        out[key] = {"files": len(files), "bytes": sum(p.stat().st_size for p in files)}
+    return out
+
+
+def clear(home: Path, category: str) -> None:
+    """Empties one category's folder."""
+    if category not in FOLDERS:
+        raise ValueError(f"unknown category {category!r}")
+    folder = Path(home) / FOLDERS[category]
+    shutil.rmtree(folder, ignore_errors=True)
+    folder.mkdir(parents=True)
+
+
+@dataclass
+class Categories:
+    """Categories in their order and overrides by operator, kept in a document; an override goes before a macro's
+    own category, and that before the built-in one."""
+
+    documents: Documents
+
+    def state(self) -> dict:
+        return self.documents.get("categories") if "categories" in self.documents.keys() else {"order": list(CATEGORIES), "overrides": {}}
+
+    def add(self, name: str) -> dict:
+        state = self.state()
+        if not slug(name) or slug(name) in state["order"]:
+            raise ValueError(f"category {name!r} is there, or has no name")
+        state["order"].append(slug(name))
+        self.documents.put("categories", state)
+        return state
+
+    def remove(self, name: str) -> dict:
+        """Takes out a category that isn't built in, and its overrides."""
+        state = self.state()
+        if name in CATEGORIES or name not in state["order"]:
+            raise ValueError(f"category {name!r} can't be removed")
+        state["order"].remove(name)
+        state["overrides"] = {k: v for k, v in state["overrides"].items() if v != name}
+        self.documents.put("categories", state)
+        return state
+
+    def assign(self, operator: str, category: str | None, registry: Registry) -> dict:
+        """Overrides an operator's category, or takes the override back."""
+        state = self.state()
+        registry.category(operator)  # raises for an unknown one
+        if category is None:
+            state["overrides"].pop(operator, None)
+        elif category in state["order"]:
+            state["overrides"][operator] = category
+        else:
+            raise ValueError(f"unknown category {category!r}")
+        self.documents.put("categories", state)
+        return self.apply(registry)
+
+    def apply(self, registry: Registry) -> dict:
+        """Gives the overrides to a registry."""
+        state = self.state()
+        registry.overrides.clear()
+        registry.overrides.update(state["overrides"])
+        return state

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.panel import PRICE_FIELDS, PRICE_SCHEMA, merge, validate
+from ..operators.panel import PRICE_FIELDS, PRICE_SCHEMA, coverage, merge, normalize, sync_plan, validate
+from . import files
 
 #: Landing columns of the two provider formats, by the price schema's names (fixed values).
 REST_COLUMNS = {"date": "date", "open": "open", "high": "high", "low": "low", "close": "close", "volume": "volume", "div_cash": "divCash", "split_factor": "splitFactor"}
@@ -26,36 +28,133 @@ def store(prices: DataFrame, path: str) -> None:
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol").parquet(path)
 
 
+def _pending(path: str) -> str:
+    return path.rstrip("/") + "__pending"
+
+
+def recover(spark: SparkSession, path: str) -> bool:
+    """Finishes a write that broke off after its merged rows were complete beside the table; True if there was one."""
+    pending = _pending(path)
+    if not files.exists(spark, f"{pending}/_SUCCESS"):
+        return False
+    store(spark.read.schema(PRICE_SCHEMA).parquet(pending), path)
+    files.remove(spark, pending)
+    return True
+
+
 def upsert(spark: SparkSession, path: str, fetched: DataFrame) -> DataFrame:
-    """Adds fetched rows; of one symbol and date the fetched row stays. Only touched symbols are rewritten."""
+    """Adds fetched rows; of one symbol and date the fetched row stays. Only touched symbols are rewritten.
+
+    Merged rows are written beside the table first, and then replace the symbols' files. A run that breaks
+    off in between leaves them whole, and the next upsert puts them in place before it reads.
+    """
+    recover(spark, path)
     touched = fetched.select("symbol").distinct()
-    try:
-        old = load(spark, path).join(touched, "symbol", "left_semi")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        old = spark.createDataFrame([], PRICE_SCHEMA)
-    merged = merge(old, fetched).cache()
-    merged.count()  # read before its files are replaced
-    store(merged, path)
-    merged.unpersist()
+    old = load(spark, path).join(touched, "symbol", "left_semi") if files.exists(spark, path) else spark.createDataFrame([], PRICE_SCHEMA)
+    merge(old, fetched).write.mode("overwrite").parquet(_pending(path))
+    recover(spark, path)
     return load(spark, path)
 
 
 def get_or_fetch(spark: SparkSession, path: str, symbols: Sequence[str], fetch: Callable[[list[str]], DataFrame]) -> DataFrame:
     """Reads through: fetches symbols that aren't there, stores them, and reads all from disk."""
     asked = spark.createDataFrame([(s,) for s in symbols], "symbol string")
-    try:
-        missing = [r[0] for r in asked.join(load(spark, path).select("symbol").distinct(), "symbol", "left_anti").collect()]
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        missing = list(symbols)
+    there = files.exists(spark, path)
+    missing = [r[0] for r in asked.join(load(spark, path).select("symbol").distinct(), "symbol", "left_anti").collect()] if there else list(symbols)
     if missing:
         store(fetch(sorted(missing)), path)
     return load(spark, path, symbols)
 
 
+@dataclass
+class FallbackProvider:
+    """Asks named providers in turn, ``fetch(symbol, start, end) -> DataFrame``, until one answers with rows; keeps
+    which one served each symbol."""
+
+    providers: Sequence[tuple[str, Callable[[str, str, str], DataFrame]]]
+    sources: dict[str, str] = field(default_factory=dict)
+
+    def __call__(self, symbol: str, start: str, end: str) -> DataFrame:
+        errors = []
+        for name, fetch in self.providers:
+            try:
+                found = fetch(symbol, start, end)
+                if found is None or found.isEmpty():
+                    raise ValueError("no rows")
+            except Exception as e:  # noqa: BLE001 - the next provider is asked
+                errors.append(f"{name}: {e!r}")
+                continue
+            self.sources[symbol] = name
+            return found
+        raise RuntimeError(f"no provider has {symbol}: {'; '.join(errors)}")
+
+
+def sync(spark: SparkSession, path: str, symbols: Sequence[str], start: str, end: str, fetch: Callable[[str, str, str], DataFrame], refresh: bool = False, observe: Callable[[dict], None] | None = None, stop: Callable[[], bool] | None = None) -> list[dict]:
+    """Fetches what the table lacks of ``symbols`` from ``start`` to ``end`` and merges it, all symbols in one write.
+
+    A symbol that fails is reported and holds up no other. A row for each symbol: status (fetched, skipped,
+    failed), rows fetched and there, first and last date, provider, error.
+    """
+    recover(spark, path)
+    prices = load(spark, path) if files.exists(spark, path) else spark.createDataFrame([], PRICE_SCHEMA)
+    names = list(dict.fromkeys(s.strip().upper() for s in symbols))
+    asked = spark.createDataFrame([(s,) for s in names], "symbol string")
+    ranges: dict[str, list] = {}
+    for r in sync_plan(coverage(asked, prices, start, end), start, end, refresh).collect():
+        ranges.setdefault(r["symbol"], []).append((str(r["fetch_from"]), str(r["fetch_to"])))
+    frames, errors, fetched = [], {}, {}
+    for i, s in enumerate(sorted(ranges)):
+        if stop and stop():
+            break
+        try:
+            got = [normalize(fetch(s, a, b)).where(F.col("symbol") == s) for a, b in ranges[s]]
+            fetched[s] = sum(g.count() for g in got)
+            if not fetched[s] and not prices.where(F.col("symbol") == s).head(1):
+                raise ValueError("the provider has no rows")
+            frames += got
+        except Exception as e:  # noqa: BLE001 - one symbol's failure is its own
+            errors[s] = str(e)
+        if observe:
+            observe({"done": i + 1, "total": len(ranges), "symbol": s})
+    if frames:
+        both = frames[0]
+        for f in frames[1:]:
+            both = both.unionByName(f)
+        prices = upsert(spark, path, both.select("symbol", "date", *PRICE_FIELDS))
+    sources = getattr(fetch, "sources", {})
+    rows = {r["symbol"]: r for r in coverage(asked, prices, start, end).collect()}
+    status = lambda s: "failed" if s in errors else "fetched" if fetched.get(s) else "skipped"
+    return [{"symbol": s, "status": status(s), "rows_fetched": fetched.get(s, 0), "rows": rows[s]["rows"], "first": rows[s]["first"], "last": rows[s]["last"], "provider": sources.get(s), "error": errors.get(s)} for s in names]
+
+
+def save_universe(memberships: DataFrame, path: str) -> None:
+    """Memberships by universe; a universe that is saved again is replaced, others stay."""
+    out = memberships.select("universe", "symbol", "entry", "exit")
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("universe").parquet(path)
+
+
+def load_universe(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
+    """universe, symbol, entry, exit; raises for a name that isn't there."""
+    df = spark.read.schema("symbol string, entry date, exit date, universe string").parquet(path).select("universe", "symbol", "entry", "exit")
+    if name is None:
+        return df
+    df = df.where(F.col("universe") == name)
+    if df.isEmpty():
+        raise ValueError(f"unknown universe {name!r}")
+    return df
+
+
+def edit_universe(spark: SparkSession, path: str, name: str, add: DataFrame | None = None, drop: Sequence[str] = ()) -> DataFrame:
+    """Adds members (symbol, entry, exit), whose intervals replace those of the same symbols, and takes some out."""
+    old = load_universe(spark, path, name)
+    kept = old.where(~F.col("symbol").isin(list(drop))) if drop else old
+    if add is not None:
+        kept = kept.join(add.select("symbol"), "symbol", "left_anti").select(old.columns).unionByName(add.select(F.lit(name).alias("universe"), "symbol", "entry", "exit"))
+    rows = [tuple(r) for r in kept.collect()]  # one universe's members; read before its files are replaced
+    save_universe(spark.createDataFrame(rows, "universe string, symbol string, entry date, exit date"), path)
+    return load_universe(spark, path, name)
+
+
 def landing(raw: DataFrame, columns: dict[str, str], symbol: str | None = None) -> DataFrame:
     """A provider's rows under the schema's names, with an order of arrival; a split of 0 means none."""
     have = set(raw.columns)
