@@ -5,6 +5,8 @@ from __future__ import annotations
 import itertools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +31,43 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_scopes: list[list[str]] = []
+
+
 def workspace(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; nothing is made there yet."""
-    return f"{shared_dir(spark)}/factorloom/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; nothing is made there yet. It goes with the innermost scratch()."""
+    path = f"{shared_dir(spark)}/factorloom/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are written within go at its end, but for those that the function it gives is called with.
+
+    Results are read from such tables, so a caller that wants them gone puts an operator and the writing
+    of its result within one scope: ``with scratch(spark): near_duplicates(docs).write.parquet(path)``.
+    """
+    own: list[str] = []
+    _scopes.append(own)
+
+    def keep(df: DataFrame) -> DataFrame:
+        for path in own:
+            if any(path.split("://")[-1].lstrip("/") in f for f in df.inputFiles()):
+                own.remove(path)
+                if len(_scopes) > 1:
+                    _scopes[_scopes.index(own) - 1].append(path)
+                break
+        return df
+
+    try:
+        yield keep
+    finally:
+        _scopes.remove(own)
+        for path in own:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
@@ -46,7 +82,11 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
 
 
 def partitions(df: DataFrame) -> int:
-    """Shuffle partitions that grow with the input: the session's number or that of the input's splits."""
+    """Shuffle partitions that grow with the input: the session's number or that of the input's splits.
+
+    Inputs should be scans or narrow steps over them, as of tables and of what written() gives: shuffles in
+    an input's plan would run for its splits to be known.
+    """
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
 
 
@@ -179,21 +219,22 @@ def components(edges: DataFrame, name: str, rounds: int | None = None) -> DataFr
     per-node minimum is pre-aggregated before its shuffle and the join back to the edges is one that
     adaptive execution can split, so a centre with very many links does not fill one task.
     """
-    edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    before = None
-    for i in itertools.count():
-        if i == rounds:
-            raise RuntimeError(f"links still change after {rounds} rounds")
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = written(large.where("a <> b").distinct(), name)
-        low = edges.groupBy("a").agg(F.min("b").alias("m"))
-        near = edges.join(low, "a").select("a", "b", "m")
-        small = near.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(near.select("a", F.col("m").alias("b")))
-        edges = written(small.where("a <> b").distinct(), name)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    return edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
+    spark, before = edges.sparkSession, None
+    with scratch(spark) as keep:
+        edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+        for i in itertools.count():
+            if i == rounds:
+                raise RuntimeError(f"links still change after {rounds} rounds")
+            both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+            large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            edges = written(large.where("a <> b").distinct(), name)
+            low = edges.groupBy("a").agg(F.min("b").alias("m"))
+            near = edges.join(low, "a").select("a", "b", "m")
+            small = near.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(near.select("a", F.col("m").alias("b")))
+            edges = written(small.where("a <> b").distinct(), name)
+            now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+            if now == before:
+                break
+            before = now
+        return keep(written(edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node"), name))

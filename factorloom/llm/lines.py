@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from functools import partial
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,9 @@ from .common import by_part, grouped, partitions, written
 MOST_EDITS = 2
 #: Shorter lines (code points) go only if they repeat an earlier one exactly.
 LEAST_CHARS = 15
-#: In groups of more lines, counts of code points (in so many classes) are compared before lines.
-_LARGE, _BAG = 48, 32
+#: In groups of more lines, counts of code points (in so many classes) are compared before lines; groups of more
+#: pairs are cut by a further segment, so many times at most.
+_LARGE, _BAG, _PAIRS, _CUTS = 48, 32, 1 << 22, 2
 
 
 def edit_distance(a: str, b: str, most: int) -> int:
@@ -120,11 +122,16 @@ def probes(n: int, most: int) -> list[tuple[int, int, int, int]]:
 _PLANS: dict[tuple[int, int], list] = {}
 
 
+def _plan(n: int, most: int) -> list[tuple[int, int, int, int]]:
+    plan = _PLANS.get((n, most))
+    if plan is None:
+        plan = _PLANS[n, most] = probes(n, most)
+    return plan
+
+
 def signatures(line: str, most: int) -> list[int]:
     """64-bit keys, one of which at least two lines within ``most`` edits have in common."""
-    plan = _PLANS.get((len(line), most))
-    if plan is None:
-        plan = _PLANS[len(line), most] = probes(len(line), most)
+    plan = _plan(len(line), most)
     digest = xxhash.xxh64_intdigest
     return list({digest(line[s : s + size], (length << 8) | i) for length, i, s, size in plan})
 
@@ -262,51 +269,83 @@ def _bags(texts: list[str]) -> np.ndarray:
     return out
 
 
-def _alike(bags: np.ndarray, sizes: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each line, the earlier ones whose length and code points don't rule out ``most`` edits."""
-    m = bags.shape[1]
-    step = max(1, (1 << 19) // m)
-    for lo in range(0, m, step):
-        hi = min(lo + step, m)
-        total = np.zeros((hi - lo, hi), np.int16)
-        for row in bags:
-            total += np.abs(row[lo:hi, None] - row[None, :hi])
-        near = (total <= 2 * most) & (np.abs(sizes[lo:hi, None] - sizes[None, :hi]) <= most)
-        for j in range(lo, hi):
-            yield j, np.flatnonzero(near[j - lo, :j])
+class Repeats:
+    """Which lines (numbers in ``texts``, in order of occurrence) are within ``most`` edits of an earlier one.
+
+    A line is settled by the first earlier line found, so pairs are looked at only for lines that aren't.
+    A group of lines that share a segment, if it has many pairs to look at, is cut once more: what the
+    lines have in common at both ends is taken off, the shared segment is taken out, and what is left is
+    within ``most`` edits too, so two such lines share a segment of that. Small groups come first; they
+    settle lines, which larger ones then need not look at.
+    """
+
+    def __init__(self, texts: list[str], most: int) -> None:
+        self.texts, self.most = texts, most
+        self.found: set[int] = set()
+        self.seen: set[tuple[int, ...]] = set()
+        self.bags: dict[int, np.ndarray] = {}
+
+    def settle(self, group: list[tuple[int, str]], cuts: int = 0) -> None:
+        """``group``: lines and what is left of them after so many ``cuts``. Equal groups are settled once."""
+        own = sorted({i for i, _ in group})
+        open_ = [i for i in own[1:] if i not in self.found]
+        if not open_ or (name := tuple(own)) in self.seen:
+            return
+        last = cuts == _CUTS or len(open_) * len(own) <= _PAIRS
+        if last:
+            self.seen.add(name)
+            self._compare(open_, own)
+            return
+        rest = [r for _, r in group]
+        head = len(commonprefix(rest))
+        tail = min(len(commonprefix([r[::-1] for r in rest])), min(map(len, rest)) - head)
+        cut: dict[object, list[tuple[int, str]]] = defaultdict(list)
+        for i, r in group:
+            r = r[head : len(r) - tail]
+            for length, part, at, size in _plan(len(r), self.most):
+                cut[length, part, r[at : at + size]].append((i, r[:at] + r[at + size :]))
+            if len(r) <= 2 * self.most:  # too short for each segment to have a code point
+                cut[None].append((i, r))
+        short = cut.pop(None, [])
+        for _, part in sorted(cut.items(), key=lambda x: len(x[1])):
+            if len(part) > 1:
+                self.settle(part, cuts + 1)
+        if len(short) > 1:
+            names = sorted({i for i, _ in short})
+            self._compare([i for i in names[1:] if i not in self.found], names)
+        if not cuts:
+            self.seen.add(name)
+
+    def _compare(self, open_: list[int], own: list[int]) -> None:
+        """Lines of ``open_`` with the earlier ones of ``own``; among many, lengths and code points rule most out."""
+        texts, most = self.texts, self.most
+        if len(own) <= _LARGE:
+            for j in open_:
+                if any(edit_distance(texts[i], texts[j], most) <= most for i in own if i < j):
+                    self.found.add(j)
+            return
+        if new := [i for i in own if i not in self.bags]:
+            made = _bags([texts[i] for i in new])
+            self.bags.update((i, made[:, k].copy()) for k, i in enumerate(new))
+        bags = np.stack([self.bags[i] for i in own], 1)
+        sizes, names = np.array([len(texts[i]) for i in own]), np.array(own)
+        for j in open_:
+            k = int(np.searchsorted(names, j))
+            near = np.flatnonzero((np.abs(bags[:, :k] - bags[:, k : k + 1]).sum(0) <= 2 * most) & (np.abs(sizes[:k] - sizes[k]) <= most))
+            if any(edit_distance(texts[own[i]], texts[j], most) <= most for i in near.tolist()):
+                self.found.add(j)
 
 
 def repeated(texts: list[str], groups: dict[int, list[int]], most: int) -> set[int]:
-    """Lines (numbers in ``texts``, which are in order of occurrence) within ``most`` edits of an earlier
-    one of a group of theirs.
+    """Lines (numbers in ``texts``, which are in order of occurrence) within ``most`` edits of an earlier one.
 
-    In a large group (many variants of one line, say) lengths and counts of code points rule out most
-    pairs, block by block in arrays, before distances are taken. A line is settled by the first earlier
-    line found, and equal groups of several signatures are looked at once.
+    ``groups`` are those of lines with one of signatures() in common. A large one is opened again by all
+    segments of its lines, so it doesn't matter which of them it stands for.
     """
-    found: set[int] = set()
-    seen: set[tuple[int, ...]] = set()
-    bags: dict[int, np.ndarray] = {}
-    for group in groups.values():
-        own = tuple(sorted(set(group)))
-        if len(own) < 2 or own in seen:
-            continue
-        seen.add(own)
-        if len(own) <= _LARGE:
-            for j in range(1, len(own)):
-                b = own[j]
-                if b not in found and any(edit_distance(texts[a], texts[b], most) <= most for a in own[:j]):
-                    found.add(b)
-            continue
-        if new := [g for g in own if g not in bags]:
-            made = _bags([texts[g] for g in new])
-            bags.update((g, made[:, i]) for i, g in enumerate(new))
-        left = np.stack([bags[g] for g in own], 1)
-        for j, before in _alike(left, np.array([len(texts[g]) for g in own]), most):
-            b = own[j]
-            if b not in found and any(edit_distance(texts[own[i]], texts[b], most) <= most for i in before.tolist()):
-                found.add(b)
-    return found
+    out = Repeats(texts, most)
+    for g in sorted(groups.values(), key=len):
+        out.settle([(i, texts[i]) for i in set(g)])
+    return out.found
 
 
 def _verified(table: pa.Table, most: int, out: pa.Schema) -> pa.Table:
@@ -373,7 +412,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     no pairs are made: what moves is linear in distinct lines.
 
     Ids are integers; null ids come last, rows of one id in the order in which their blocks were read.
-    Null texts count as empty: one empty line, which stays. An empty table gives an empty result.
+    Null texts count as empty: one empty line, which stays. Texts are taken whole, whatever their length.
+    An empty table gives an empty result; columns that aren't named are not read, whatever their names.
     """
     n = partitions(docs)
     d = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"), *([F.struct(*keep).alias("extra")] if keep else []))

@@ -2,8 +2,10 @@
 
 import hashlib
 import math
+import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -338,34 +340,38 @@ def test_near_dedup_stage(spark, docs, empty, odd):
     assert {r.component_id for r in minhash.near_duplicates(odd).where("doc_id is null").collect()} == {None}
 
 
-def test_candidates_settle_each_bucket():
-    """Rounds over one bucket leave the same components as all likely pairs."""
-    rng = np.random.default_rng(6)
-    base = rng.integers(0, 256, (4, 200)).astype(np.uint8)
-    sketch = base[rng.integers(0, 4, 150)].copy()
-    for row in sketch:
-        row[rng.choice(200, rng.integers(0, 60), replace=False)] = rng.integers(0, 256)
-    fp = rng.permutation(10_000)[:150]
-    share = minhash.agreement(sketch, sketch)
-    assert np.allclose(share[3], [(x == sketch[3]).mean() for x in sketch])
-    near = lambda i, j: share[i, j] >= 0.8
-    want, found, at = common.Sets(), common.Sets(), {int(f): i for i, f in enumerate(fp)}
-    for i in range(150):
+def test_buckets_are_settled():
+    """Links of one bucket leave the same components as all pairs; what is joined before isn't linked again."""
+    rng = random.Random(6)
+    texts_ = []
+    for _ in range(4):
+        base = [f"w{rng.randrange(500)}" for _ in range(120)]
+        for _ in range(25):
+            new = list(base)
+            for _ in range(rng.randrange(6)):
+                new[rng.randrange(120)] = f"x{rng.randrange(9999)}"
+            texts_.append(" ".join(new))
+            base = new if rng.random() < 0.3 else base
+    sets = [minhash.shingles(t) for t in texts_]
+    sketch = np.stack([(minhash.minima(h) >> np.uint64(56)).astype(np.uint8) for h in sets])
+    assert np.allclose(minhash.agreement(sketch, sketch)[3], [(x == sketch[3]).mean() for x in sketch])
+    want, found = common.Sets(), common.Sets()
+    for i in range(100):
         for j in range(i):
-            if near(i, j):
-                want.join(int(fp[i]), int(fp[j]))
-    whole, most, rounds = False, 1, 0
-    while not whole:
-        pairs, whole = minhash.closest(fp, np.array([found.root(int(f)) for f in fp]), sketch, most)
-        for x, y in pairs:
-            if near(at[x], at[y]):
-                found.join(x, y)
-        most, rounds = most * 2, rounds + 1
-    assert [found.root(int(f)) for f in fp] == [want.root(int(f)) for f in fp] and rounds > 2
-    batch = minhash.pa.RecordBatch.from_pydict({"key": [1] * 100 + [2] * 50, "fp": fp, "root": fp, "sketch": [s.tobytes() for s in sketch]})
-    out = [r for b in minhash._closest(iter([batch.slice(0, 70), batch.slice(70)]), 1000) for r in b.to_pylist()]
-    one, two = (minhash.closest(fp[i:j], fp[i:j], sketch[i:j], 1000)[0] for i, j in ((0, 100), (100, 150)))
-    assert sorted((r["x"], r["y"]) for r in out) == sorted((min(p), max(p)) for p in [*one, *two])
+            if minhash.similar(sets[i], sets[j]):
+                want.join(i, j)
+                if (i + j) % 3 == 0:
+                    found.join(i, j)
+    fp = np.arange(100)
+    before = np.array([found.root(i) for i in range(100)])
+    links = minhash.settle(fp, before, sketch, sets)
+    assert len(links) == len(set(before.tolist())) - len({want.root(i) for i in range(100)})
+    for a, b in links:
+        assert found.join(a, b)
+    assert [found.root(i) for i in range(100)] == [want.root(i) for i in range(100)]
+    batch = minhash.pa.RecordBatch.from_pydict({"key": [1] * 60 + [2] * 40, "fp": fp, "root": fp, "sketch": [s.tobytes() for s in sketch], "set": [s.tobytes() for s in sets]})
+    out = [(r["a"], r["b"]) for b in minhash._settled(iter([batch.slice(0, 35), batch.slice(35)])) for r in b.to_pylist()]
+    assert out == [x for i, j in ((0, 60), (60, 100)) for x in minhash.settle(fp[i:j], fp[i:j], sketch[i:j], sets[i:j])]
 
 
 def test_components(spark):
@@ -568,17 +574,52 @@ def test_short_lines_go_as_exact_repeats(spark):
     assert by_id(got, "doc_id", "n_removed", "text") == [(1, 1, "ab\n\nTitle 1\n日本"), (2, 2, "Title 2\n \n \nx"), (3, 0, ""), (4, 2, "X\nTitle 1.\n\n"), (5, 1, "Fifteen points."), (None, 1, "new")]
 
 
-def test_large_line_groups():
+@pytest.mark.parametrize(("large", "pairs"), [(48, 1 << 22), (4, 1 << 22), (4, 30), (2, 1)])
+def test_large_line_groups(monkeypatch, large, pairs):
+    """Variants with places that differ in the middle, at both ends, short ones; small and large groups."""
+    monkeypatch.setattr(lines, "_LARGE", large)
+    monkeypatch.setattr(lines, "_PAIRS", pairs)
+    rng = random.Random(5)
+    some = lambda n, letters="ab": "".join(rng.choice(letters) for _ in range(n))
+    head, mid, tail = some(40, "abcdefgh"), some(20, "abcdefgh"), some(15, "abcdefgh")
+    made = [head + some(30) for _ in range(120)] + [some(4, "0123") + mid + some(5, "0123") + tail for _ in range(120)] + [head[:15] + some(rng.randint(0, 4), "01") for _ in range(20)]
+    made += [changed(rng, rng.choice(made), 2) for _ in range(60)]
+    rng.shuffle(made)
+    made = list(dict.fromkeys(made))
+    keys = {}
+    for i, t in enumerate(made):
+        for s in lines.signatures(t, 2):
+            keys.setdefault(s, []).append(i)
+    got = lines.repeated(made, {k: g for k, g in keys.items() if len(g) > 1}, 2)
+    assert got == {j for j in range(len(made)) if any(lines.edit_distance(made[i], made[j], 2) <= 2 for i in range(j))}
+
+
+@pytest.mark.parametrize("letters", ["0123456789", "abcdefghijklmnopqrstuvwxyz"])
+def test_many_variants_of_one_line(letters):
+    """50,000 lines with one place that differs, near each other or not: no time that grows with their square."""
     rng = random.Random(5)
-    head = "".join(rng.choice("abcdefgh") for _ in range(40))
-    texts_ = list(dict.fromkeys(head + "".join(rng.choice("ab") for _ in range(30)) for _ in range(200)))
-    texts_ += [changed(rng, rng.choice(texts_), 2) for _ in range(60)]
+    made = list(dict.fromkeys(f"Page {''.join(rng.choice(letters) for _ in range(5 if letters[0] == '0' else 12))} of the printed volume, all rights reserved" for _ in range(50_000)))
     keys = {}
-    for i, t in enumerate(texts_):
+    for i, t in enumerate(made):
         for s in lines.signatures(t, 2):
             keys.setdefault(s, []).append(i)
-    got = lines.repeated(texts_, {k: g for k, g in keys.items() if len(g) > 1}, 2)
-    assert got == {j for j in range(len(texts_)) if any(lines.edit_distance(texts_[i], texts_[j], 2) <= 2 for i in range(j))}
+    began = time.process_time()
+    got = lines.repeated(made, {k: g for k, g in keys.items() if len(g) > 1}, 2)
+    assert time.process_time() - began < 120
+    for j in rng.sample(range(len(made)), 40):
+        assert (j in got) == any(lines.edit_distance(made[i], made[j], 2) <= 2 for i in range(j))
+
+
+def test_scratch_tables_go(spark):
+    there = lambda path: os.path.exists(re.sub("^file:/+", "/", path))
+    df = spark.range(10)
+    with common.scratch(spark) as keep:
+        first, second = common.written(df, "scratch"), keep(common.written(df, "scratch"))
+        with common.scratch(spark) as inner:
+            third = inner(common.written(df, "scratch"))
+        places = [x.inputFiles()[0] for x in (first, second, third)]
+        assert all(map(there, places))
+    assert [*map(there, places)] == [False, True, False]
 
 
 def test_bpe(docs, empty, odd):
