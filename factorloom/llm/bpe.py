@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from . import blocks
 from .common import partitions, streamed, written
 
+#: Parts of the vocabulary at most, so that a block's row for a part stays some kilobytes; reducers take rows as they come.
+MOST_PARTS = 2048
 #: Most words that a reducer remembers; a word met again later than so many others is encoded again.
 _REMEMBERED = 1 << 20
 #: Longer texts are split into words so many at a time.
@@ -143,11 +145,12 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     by hash over the cluster, where each is encoded once; ids go back to the blocks and are put together
     by position. What moves is the vocabulary of each block and compact positions, never a row a word,
     and a word that is in every document moves once a block. Null texts count as empty (no ids); null
-    ids and repeated rows keep their row. An empty table gives an empty result.
+    ids and repeated rows keep their row. Texts are encoded whole, whatever their length. An empty table
+    gives an empty result; other columns are not read, whatever their names.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    n = partitions(docs)
+    n = min(partitions(docs), MOST_PARTS)
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.lit(False).alias("flag"))
     id_type = d.schema["id"].dataType.simpleString()
     rows = _rows(d, partial(_words, pattern), n, blocks.schema(id_type), "bpe-blocks")

@@ -235,7 +235,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and contexts over all blocks, moves its words (all parts at once, each word against the class pairs
     of the sweep before), and sends classes back by block. Only class pairs (classes ** 2) and the seeds
     come to the driver. Null texts count as empty: one end token. Null ids aren't held out and keep
-    their row, repeated rows too. Without training text all tokens are unknown and scores 0.
+    their row, repeated rows too. Without training text all tokens are unknown and scores 0. Texts are
+    scored whole, whatever their length; an empty table gives an empty result; other columns are not read,
+    whatever their names.
     """
     n, k = partitions(docs), classes
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), (held if held is not None else held_out(id_col)).alias("flag"))

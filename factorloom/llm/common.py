@@ -44,27 +44,25 @@ def workspace(spark: SparkSession, name: str) -> str:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Tables that are written within go at its end, but for those that the function it gives is called with.
+    """Tables that are written within go at its end, but for what written() gave and the function it gives keeps.
 
     Results are read from such tables, so a caller that wants them gone puts an operator and the writing
     of its result within one scope: ``with scratch(spark): near_duplicates(docs).write.parquet(path)``.
     """
     own: list[str] = []
+    outer = _scopes[-1] if _scopes else None
     _scopes.append(own)
 
     def keep(df: DataFrame) -> DataFrame:
-        for path in own:
-            if any(path.split("://")[-1].lstrip("/") in f for f in df.inputFiles()):
-                own.remove(path)
-                if len(_scopes) > 1:
-                    _scopes[_scopes.index(own) - 1].append(path)
-                break
+        own.remove(df.written_to)
+        if outer is not None:
+            outer.append(df.written_to)
         return df
 
     try:
         yield keep
     finally:
-        _scopes.remove(own)
+        _scopes.pop()
         for path in own:
             at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
@@ -78,7 +76,9 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """
     path = workspace(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
 def partitions(df: DataFrame) -> int:

@@ -23,7 +23,7 @@ _CHUNK = 1 << 20
 _LOW = np.uint64((1 << 22) - 1)
 
 #: Runs of one first digit beyond which its windows are dealt one by one.
-_LARGE = 256
+LARGE = 256
 #: Bytes to a digit of the last passes.
 _WORD = 8
 
@@ -132,7 +132,7 @@ def _scan(batches: Iterator[pa.RecordBatch], length: int, digit: int, parts: int
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), out.types, strict=True)], schema=out)
 
 
-def _dealt(table: pa.Table, out: pa.Schema) -> pa.Table:
+def _dealt(table: pa.Table, large: int, out: pa.Schema) -> pa.Table:
     """Second pass, part by part: equal runs keep their first, all others are removed (kind 0). First ones whose
     digit others have too are asked for: kind 1, or kind 2 where the digit has very many of them."""
     if table["part"][0].as_py() < 0:
@@ -152,7 +152,7 @@ def _dealt(table: pa.Table, out: pa.Schema) -> pa.Table:
     first = new_gram | np.r_[True, span[1:] != span[:-1]]
     spans = np.add.reduceat(first.astype(np.int64), np.flatnonzero(new_gram))[np.cumsum(new_gram) - 1]
     out_rows = []
-    for kind, pick in ((0, ~first), (1, first & (spans > 1) & (spans <= _LARGE)), (2, first & (spans > _LARGE))):
+    for kind, pick in ((0, ~first), (1, first & (spans > 1) & (spans <= large)), (2, first & (spans > large))):
         x = np.flatnonzero(pick)
         x = x[np.lexsort((start[x], doc[x], owner[x]))]
         cuts = np.searchsorted(owner[x], np.arange(len(names) + 1))
@@ -317,7 +317,7 @@ def _cut(table: pa.Table, length: int, out: pa.Schema) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(out.types)], schema=out)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, digit: int = DIGIT) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, digit: int = DIGIT, large: int = LARGE) -> DataFrame:
     """Takes out each byte that lies in a ``length``-byte string which also starts earlier.
 
     Earlier: in a row of smaller id, or in the same row before; strings are those of the input, overlaps
@@ -332,8 +332,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     that share it. Runs whose first digit is unique are done. Of equal runs (by 128 bits) the first stays
     and goes on; runs that share the first digit only go on to the second, the bytes next to it on the
     side where a window holds more of them, by which they are dealt with their bytes; there windows are
-    ordered byte by byte, _WORD bytes a pass. Where a first digit has very many different runs (a line
-    that all documents have), its windows are dealt one by one by their own hash, 128 bits, so no group
+    ordered byte by byte, _WORD bytes a pass. Where a first digit has more than ``large`` different runs (a
+    line that all documents have), its windows are dealt one by one by their own hash, 128 bits, so no group
     is large. Copies within a block are settled before anything moves, so a passage that all documents
     share moves once a block.
 
@@ -351,7 +351,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     runs = "block bigint, part int, ids array<bigint>, data binary"
     found = whole.mapInArrow(partial(_scan, length=length, digit=digit, parts=n, out=arrow(runs)), runs)
     answer = "block bigint, part int, kind int, data binary"
-    dealt = written(by_part(found, n).applyInArrow(grouped(_dealt, out=arrow(answer)), answer), "repeats-runs", "uncompressed")
+    dealt = written(by_part(found, n).applyInArrow(grouped(_dealt, large=large, out=arrow(answer)), answer), "repeats-runs", "uncompressed")
     text = whole.select("block", F.lit(-1).alias("part"), F.lit(-1).alias("kind"), "ids", "data")
     request = "block bigint, part int, kind int, ids array<bigint>, data binary, text binary"
     asked = text.unionByName(dealt.where("kind > 0"), allowMissingColumns=True).groupBy("block").applyInArrow(grouped(_asked, length=length, digit=digit, parts=n, out=arrow(request)), request)

@@ -16,7 +16,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from factorloom.llm import bpe, brown, common, fingerprints, lines, minhash, mixing, neighbours, quality, queries, simhash, substrings, token_store
+from factorloom.llm import blocks, bpe, brown, common, fingerprints, lines, minhash, mixing, neighbours, quality, queries, simhash, substrings, token_store
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, block bigint, part int, id string, data binary, fp bigint, size bigint, target double, rank int, score double"
 WORDS = ["the", "of", "Und", "éauré", "thering", "ention", "a", "ing.", "is,", "x1", "zu", "nicht"]
@@ -151,6 +151,43 @@ def test_quality(spark, docs, empty, odd):
         assert out.count() == df.count() and out.where("score is null or score < 0 or score > 1").count() == 0
 
 
+@pytest.mark.parametrize("n", [2, 3, 5, 10])
+def test_quality_of_few_labels(n):
+    """Too few rows for a tree to split: the smoothed share of label 1."""
+    y = np.array([i % 2 for i in range(n)], float)
+    rules = quality.fit_rules(np.arange(n, dtype=float)[:, None], y, ["a"])
+    share = (y.sum() + 1) / (n + 2)
+    if n < 6:
+        assert rules.rules == () and math.isclose(1 / (1 + math.exp(-rules.bias)), share)
+    assert quality.fit_rules(np.zeros((n, 1)), y, ["a"]).rules == ()
+
+
+def test_compiled_rules_are_the_fitted_ones(spark):
+    """Column expressions against the rules in numpy, over statistics counted in plain Python."""
+    rng = random.Random(3)
+    some = [t or "" for t in texts() if t is None or len(t) < 5000] + ["".join(rng.choice("aB1 .,|!\n\u00e9\u00c9\u65e5$") for _ in range(rng.randint(1, 200))) for _ in range(60)]
+
+    def plain(t):
+        import unicodedata
+
+        n, words = max(len(t), 1), re.split(r"[ \t\n\x0b\f\r]+", t)
+        words = [w for w in words if w]
+        count, kind = max(len(words), 1), [unicodedata.category(c) for c in t]
+        symbols = sum(not (k[0] in "LN" or c in ".,;:!?'-" or c in " \t\n\x0b\f\r") for c, k in zip(t, kind, strict=True))
+        return [len(t), n / count, len(set(words)) / count, kind.count("Lu") / n, sum(k[0] == "L" for k in kind) / n, sum(c in "0123456789" for c in t) / n, symbols / n, t.count("|") / count, t.count(".") / count, t.count(",") / count, t.count("!") / count, count / (t.count("\n") + 1)]
+
+    x = np.array([plain(t) for t in some])
+    y = (x[:, 4] + x[:, 7] > np.median(x[:, 4] + x[:, 7])).astype(float)
+    rules = quality.fit_rules(x, y, list(quality.statistics(F.lit(""))))
+    assert len(rules.rules) > 3
+    z = np.full(len(x), rules.bias)
+    names = list(quality.statistics(F.lit("")))
+    for weight, conditions in rules.rules:
+        z += weight * np.all([(x[:, names.index(k)] > at) if up else (x[:, names.index(k)] <= at) for k, up, at in conditions], axis=0)
+    got = quality.score_quality(spark.createDataFrame(list(enumerate(some)), "i int, text string"), rules).orderBy("i").collect()
+    assert np.allclose([r.score for r in got], 1 / (1 + np.exp(-z)))
+
+
 def brute_nearest(ids, x, q, k):
     s = neighbours.exact(x, x[q])
     return [i for i in np.lexsort((ids, -s)) if ids[i] != ids[q]][:k]
@@ -255,6 +292,82 @@ def test_brown(docs, empty, odd):
     assert all(r.score == 0 and r.base_score == 0 and r.n_known == 0 for r in none)
 
 
+def brute_brown(words, held, classes, sweeps):
+    """The model in plain Python: counts, seeds, exchange sweeps, transitions, scores."""
+    count = Counter(x for k, w in words if not held[k] for x in w)
+    ends = sum(not held[k] for k, _ in words)
+    top = [w for w, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[: classes - 2]]
+    cls = {w: top.index(w) + 1 if w in top else classes - 1 for w in count}
+
+    def pairs():
+        m = np.zeros((classes, classes))
+        for k, w in words:
+            if not held[k]:
+                seq = [0, *(cls[x] for x in w), 0]
+                for a, b in zip(seq, seq[1:], strict=False):
+                    m[a, b] += 1
+        return m
+
+    for _ in range(sweeps):
+        m = pairs()
+        size = m.sum(0)
+        expect = brown._SMOOTH * np.outer(m.sum(1), size) / m.sum() + 1e-9
+        near = {w: (np.zeros(classes), np.zeros(classes)) for w in count}
+        for k, w in words:
+            if not held[k]:
+                seq = [0, *(cls[x] for x in w), 0]
+                for i, x in enumerate(w):
+                    near[x][0][seq[i]] += 1
+                    near[x][1][seq[i + 2]] += 1
+        moved = {}
+        for w, (left, right) in near.items():
+            best = []
+            for c in range(1, classes):
+                if size[c] > 0:
+                    out = c == cls[w]
+                    a = np.log(np.maximum(m[:, c] - left * out, 0) + expect[:, c])
+                    b = np.log(np.maximum(m[c] - right * out, 0) + expect[c])
+                    n = count[w]
+                    best.append((left @ a + right @ b - 2 * n * math.log(max(size[c] - (n if out else 0), 1)), -c))
+            moved[w] = -max(best)[1]
+        cls = moved
+    m = pairs()
+    vocab = np.bincount([0, *cls.values()], minlength=classes)
+    move, size, unknown = brown.transitions(m, vocab)
+    out, total = {}, 0.0
+    for k, w in words:
+        before, score = 0, 0.0
+        for x in [*w, None]:
+            if x is None:
+                score += move[before, 0] + math.log10(ends - brown.DISCOUNT) - math.log10(size[0])
+            elif count[x]:
+                score += move[before, cls[x]] + math.log10(count[x] - brown.DISCOUNT) - math.log10(size[cls[x]])
+                before = cls[x]
+            else:
+                score += unknown[before]
+                before = classes
+        out[k] = score
+        total += 0 if held[k] else score
+    return out, total
+
+
+def test_brown_scores(spark):
+    """Every score against the model in plain Python; sweeps make the training text likelier."""
+    rng = random.Random(2)
+    kinds = [[f"{c}{i}" for i in range(12)] for c in "abc"]
+    data = [(i, " ".join(rng.choice(kinds[(j + i) % 3] if rng.random() < 0.9 else kinds[0]) for j in range(rng.randint(0, 40)))) for i in range(120)]
+    words = [(k, t.encode().split()) for k, t in data]
+    held = {k: zlib.crc32(str(k).encode()) % 7 == 2 for k, _ in data}
+    df = spark.createDataFrame(data, "doc_id bigint, text string").repartition(3)
+    totals = []
+    for sweeps in (0, 1, 3):
+        want, total = brute_brown(words, held, 6, sweeps)
+        got = {r.doc_id: r.score for r in brown.score_documents(df, classes=6, sweeps=sweeps).collect()}
+        assert all(math.isclose(got[k], want[k], rel_tol=1e-9, abs_tol=1e-9) for k in want)
+        totals.append(total)
+    assert totals[0] < totals[1] <= totals[2]
+
+
 def test_brown_probabilities_sum_to_one():
     m = np.array([[0, 6, 4], [5, 2, 3], [5, 2, 0]])
     vocab = np.array([1, 3, 2])
@@ -479,31 +592,114 @@ def removed(df):
     return sorted((r.doc_id, r.n_bytes, sha(bytes(r.kept)), [(s["start"], s["end"]) for s in r.spans]) for r in df.collect())
 
 
-@pytest.mark.parametrize(("length", "digit", "large", "chunk"), [(100, 32, 256, 1 << 20), (100, 32, 0, 1 << 20), (40, 16, 2, 1000), (400, 32, 256, 1000), (9, 8, 4, 1 << 20)])
-def test_substrings(docs, empty, odd, monkeypatch, length, digit, large, chunk):
-    monkeypatch.setattr(substrings, "_LARGE", large)
-    monkeypatch.setattr(substrings, "_CHUNK", chunk)
-    substrings._powers.cache_clear()
-    if length == 100 or large == 256:
-        assert removed(substrings.remove_repeats(docs, length=length, digit=digit)) == brute_repeats(ordered(), length)
-    else:
-        few = docs.where("doc_id < 48 and length(text) < 5000")
-        assert removed(substrings.remove_repeats(few, length=length, digit=digit)) == brute_repeats([x for x in ordered() if x[0] < 48 and len(x[1]) < 5000 and dict((r[0], r[1]) for r in rows())[x[0]] is not None], length)
-    assert substrings.remove_repeats(empty).count() == 0 and substrings.remove_repeats(odd).count() == 3
-    substrings._powers.cache_clear()
+@pytest.mark.parametrize(("length", "digit", "large"), [(100, 32, 256), (100, 32, 0), (400, 32, 1)])
+def test_substrings(docs, empty, odd, length, digit, large):
+    assert removed(substrings.remove_repeats(docs, length=length, digit=digit, large=large)) == brute_repeats(ordered(), length)
+    if large == 0:
+        assert substrings.remove_repeats(empty).count() == 0 and substrings.remove_repeats(odd).count() == 3
 
 
-def test_substrings_of_a_line_that_all_have(spark, monkeypatch):
+def around(data):
     """One short passage in every text, whose surroundings differ, repeat in part or in whole."""
-    monkeypatch.setattr(substrings, "_LARGE", 8)
     rng = random.Random(7)
     say = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
     line, heads, tails = say(60), [say(50) for _ in range(4)], [say(50) for _ in range(4)]
-    data = [(i, say(20) + rng.choice(heads)[rng.randrange(40) :] + line + rng.choice(tails)[: rng.randrange(50)] + say(30)) for i in range(200)]
-    got = substrings.remove_repeats(spark.createDataFrame(data, "doc_id bigint, text string").repartition(5))
+    return [(i, say(20) + rng.choice(heads)[rng.randrange(40) :] + line + rng.choice(tails)[: rng.randrange(50)] + say(30)) for i in range(data)]
+
+
+def test_substrings_of_a_line_that_all_have(spark):
+    data = around(200)
+    got = substrings.remove_repeats(spark.createDataFrame(data, "doc_id bigint, text string").repartition(5), large=8)
     assert removed(got) == brute_repeats(data, 100)
 
 
+def by(key, tables):
+    """Rows of tables grouped by a column, as the reducers get them."""
+    pa = substrings.pa
+    rows = [r for t in tables for r in t.to_pylist()]
+    schema = tables[0].schema
+    for t in tables[1:]:
+        schema = pa.unify_schemas([schema, t.schema])
+    for k in sorted({r[key] for r in rows}):
+        yield pa.Table.from_pylist([{n: r.get(n) for n in schema.names} for r in rows if r[key] == k], schema)
+
+
+@pytest.mark.parametrize(("length", "digit", "large", "chunk", "block", "parts"), [(100, 32, 256, 1 << 20, 16 << 20, 3), (100, 32, 8, 300, 1500, 5), (40, 16, 2, 1000, 4000, 2), (9, 8, 4, 64, 500, 1), (300, 20, 1, 512, 1 << 20, 4)])
+def test_substrings_across_seams(spark, monkeypatch, length, digit, large, chunk, block, parts):
+    """The passes in this process, with blocks and chunks so small that all texts cross them."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    monkeypatch.setattr(substrings, "_CHUNK", chunk)
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", block)
+    substrings._powers.cache_clear()
+    pa, arrow = substrings.pa, lambda ddl: to_arrow_schema(StructType.fromDDL(ddl))
+    data = [*around(60), (100, ordered()[5][1] * 3), (101, None), (102, "ab" * 900), (103, "x" * 350 + ordered()[6][1])]
+    body, runs, answer = arrow("block bigint, ids array<bigint>, data binary"), arrow("block bigint, part int, ids array<bigint>, data binary"), arrow("block bigint, part int, kind int, data binary")
+    request = arrow("block bigint, part int, kind int, ids array<bigint>, data binary, text binary")
+    whole = [*blocks.texts(iter([pa.RecordBatch.from_pydict({"id": [i for i, _ in data], "text": pa.array([t for _, t in data], pa.string())})]), body)]
+    found = [pa.Table.from_batches([b]) for b in substrings._scan(iter(whole), length, digit, parts, runs)]
+    dealt = [substrings._dealt(t, large, answer) for t in by("part", found)]
+    text = [pa.Table.from_batches([b]).append_column("part", pa.array([-1], pa.int32())).append_column("kind", pa.array([-1], pa.int32())) for b in whole]
+    some = [t.filter(pa.compute.greater(t["kind"], 0)) for t in dealt]
+    asked = [substrings._asked(t, length, digit, parts, request) for t in by("block", text + some)]
+    single = [substrings._windows(t, length, answer) for t in by("part", asked)]
+    out = arrow("id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    kept = [r for t in by("block", text + [t.filter(pa.compute.equal(t["kind"], 0)) for t in dealt] + single) for r in substrings._cut(t, length, out).to_pylist()]
+    assert sorted((r["id"], r["n_bytes"], sha(r["kept"]), [(s["start"], s["end"]) for s in r["spans"]]) for r in kept) == brute_repeats([(i, t or "") for i, t in data], length)
+    substrings._powers.cache_clear()
+
+
+@pytest.mark.parametrize("block", [16 << 20, 200, 1])
+def test_lines_across_seams(spark, monkeypatch, block):
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", block)
+    pa, arrow = lines.pa, lambda ddl: to_arrow_schema(StructType.fromDDL(ddl))
+    rng = random.Random(3)
+    base = ["".join(rng.choice("abcd ") for _ in range(40)) for _ in range(12)]
+    data = [(i, "\n".join([changed(rng, rng.choice(base), 3) for _ in range(rng.randint(0, 4))] + ["ab", f"Title {i % 7}"])) for i in range(40)]
+    body, signed, answer, line = (arrow(x) for x in ("block bigint, ids array<bigint>, data binary", "block bigint, part int, kind int, data binary", "block bigint, part int, kind int, data binary, keys binary", "block bigint, part int, data binary, text binary"))
+    whole = [*blocks.texts(iter([pa.RecordBatch.from_pydict({"id": [i for i, _ in data], "text": [t for _, t in data]})]), body)]
+    met = [lines._met(t, answer) for t in by("part", [pa.Table.from_batches([b]) for b in lines._signed(iter(whole), 2, 15, 3, signed)])]
+    text = [pa.Table.from_batches([b]).append_column("part", pa.array([-1], pa.int32())).append_column("kind", pa.array([-1], pa.int32())) for b in whole]
+    near = [lines._verified(t, 2, answer) for t in by("part", [lines._told(t, line) for t in by("block", text + met)])]
+    out = arrow("id bigint, n_lines bigint, n_removed bigint, text string")
+    gone = [t.filter(pa.compute.equal(t["kind"], 0)) for t in met] + near
+    want, exact, before = [], set(), []
+    for k, t in data:
+        kept = []
+        for x in t.split("\n"):
+            if x not in exact and not (len(x) >= 15 and any(abs(len(x) - len(y)) <= 2 and distance(x, y) <= 2 for y in before)):
+                kept.append(x)
+            exact.add(x)
+            before += [x] if len(x) >= 15 else []
+        want.append((k, "\n".join(kept)))
+    assert sorted((r["id"], r["text"]) for t in by("block", text + gone) for r in lines._kept(t, out).to_pylist()) == want
+
+
+@pytest.mark.parametrize(("block", "long", "sent"), [(16 << 20, 1 << 20, 2 << 20), (300, 7, 50), (1, 1, 1)])
+def test_bpe_across_seams(spark, monkeypatch, block, long, sent):
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    for module, name, value in ((blocks, "BLOCK_BYTES", block), (bpe, "_LONG", long), (bpe, "_SENT", sent), (bpe, "_REMEMBERED", 5)):
+        monkeypatch.setattr(module, name, value)
+    pa, path = bpe.pa, public_tokenizers.path(queries.BYTE_BPE)
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe._ranks(path), special_tokens={})
+    data = [(i, t) for i, t in enumerate(texts()) if t is None or len(t) < 3000]
+    schema = to_arrow_schema(StructType.fromDDL(blocks.schema("bigint")))
+    source = pa.RecordBatch.from_pydict({"id": [i for i, _ in data], "text": pa.array([t for _, t in data], pa.string()), "flag": [False] * len(data)})
+    built = [pa.Table.from_batches([b]) for b in bpe._built(iter([source]), bpe.partial(bpe._words, public_tokenizers.PATTERN), 3, schema)]
+    words = [pa.RecordBatch.from_pydict({k: t[k].combine_chunks() for k in ("block", "part", "data")}) for t in (t.filter(pa.compute.greater_equal(t["part"], 0)) for t in built)]
+    coded = [pa.Table.from_batches([b]) for b in bpe._encode_words(iter(words), path, public_tokenizers.PATTERN)]
+    documents = [t.filter(pa.compute.less(t["part"], 0)).select(["block", "part", "ids", "sizes", "data"]) for t in built]
+    out = to_arrow_schema(StructType.fromDDL("id bigint, n_tokens bigint, ids binary, decoded binary"))
+    got = sorted((r["id"], r["ids"], r["decoded"]) for t in by("block", documents + coded) for b in bpe._assemble(iter(t.to_batches()), out, path) for r in b.to_pylist())
+    assert got == [(i, np.array(enc.encode_ordinary(t or ""), "<u4").tobytes(), (t or "").encode()) for i, t in data]
+
+
 def test_suffix_order():
     rng = np.random.default_rng(3)
     raw = rng.integers(97, 99, 3000).astype(np.uint8)
@@ -617,7 +813,7 @@ def test_scratch_tables_go(spark):
         first, second = common.written(df, "scratch"), keep(common.written(df, "scratch"))
         with common.scratch(spark) as inner:
             third = inner(common.written(df, "scratch"))
-        places = [x.inputFiles()[0] for x in (first, second, third)]
+        places = [x.written_to for x in (first, second, third)]
         assert all(map(there, places))
     assert [*map(there, places)] == [False, True, False]
 
