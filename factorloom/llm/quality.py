@@ -18,21 +18,29 @@ TREE_ROWS = 4000
 KEEP_SCORE = 0.3
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Statistics of a whole text, all defined for empty texts; words are runs of other than white space."""
+def without_letters(text: Column) -> Column:
+    return F.regexp_replace(text, r"\p{L}+", "")
+
+
+def statistics(text: Column, rest: Column | None = None) -> dict[str, Column]:
+    """Statistics of a whole text, all defined for empty texts; words are runs of other than white space.
+
+    ``rest`` is the text without its letters, where most of what is counted is, in a fraction of its length.
+    """
+    rest = without_letters(text) if rest is None else rest
     n = F.greatest(F.length(text), F.lit(1)).cast("double")
     words = F.filter(F.split(text, r"\s+"), lambda x: x != "")
     count = F.greatest(F.size(words), F.lit(1)).cast("double")
-    times = lambda s: (F.length(text) - F.length(F.replace(text, F.lit(s), F.lit("")))) / len(s)
-    many = lambda p: F.regexp_count(text, F.lit(p)).cast("double")
+    times = lambda s: (F.length(rest) - F.length(F.replace(rest, F.lit(s), F.lit("")))) / len(s)
+    many = lambda x, p: F.regexp_count(x, F.lit(p)).cast("double")
     return {
         "chars": F.length(text).cast("double"),
         "word_chars": n / count,
         "distinct_words": F.size(F.array_distinct(words)) / count,
-        "upper": many(r"\p{Lu}") / n,
-        "letters": many(r"\p{L}") / n,
-        "digits": many("[0-9]") / n,
-        "symbols": many(r"[^\p{L}\p{N}\s.,;:!?'\-]") / n,
+        "upper": many(text, r"\p{Lu}") / n,
+        "letters": (F.length(text) - F.length(rest)).cast("double") / n,
+        "digits": many(rest, "[0-9]") / n,
+        "symbols": many(rest, r"[^\p{L}\p{N}\s.,;:!?'\-]") / n,
         "bars": times("|") / count,
         "stops": times(".") / count,
         "commas": times(",") / count,
@@ -41,6 +49,12 @@ def statistics(text: Column) -> dict[str, Column]:
     }
 
 
+def _statistics(text: Column) -> Column:
+    """The same as a struct, for which the text is cut down to its rest once."""
+    both = F.array(F.struct(text.alias("text"), without_letters(text).alias("rest")))
+    return F.transform(both, lambda x: F.struct(*(c.alias(k) for k, c in statistics(x["text"], x["rest"]).items())))
+
+
 @dataclass(frozen=True)
 class Rules:
     """A fitted ensemble: each rule is a conjunction of (statistic, is_above, cut) with a weight."""
@@ -161,12 +175,12 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias("__label")).where("__id is not null and __label is not null").where(~held_out("__id"))
     known = known.orderBy(F.xxhash64("__id"), "__id", "__label").limit(fit_rows)
-    stats = statistics(text_of("__text"))
+    stats = list(statistics(F.lit("")))
     d = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    rows = d.join(F.broadcast(known), "__id").select("__id", F.col("__label").cast("double"), *(c.alias(k) for k, c in stats.items())).toPandas()
+    rows = d.join(F.broadcast(known), "__id").select("__id", F.col("__label").cast("double"), F.inline(_statistics(text_of("__text")))).toPandas()
     rows = rows.sort_values(["__id", *rows.columns[1:]])
-    x = rows[list(stats)].to_numpy(np.float64)
-    return fit_rules(x, rows["__label"].to_numpy(np.float64), list(stats))
+    x = rows[stats].to_numpy(np.float64)
+    return fit_rules(x, rows["__label"].to_numpy(np.float64), stats)
 
 
 def score_quality(docs: DataFrame, rules: Rules, text_col: str = "text", score_col: str = "score") -> DataFrame:
@@ -177,8 +191,7 @@ def score_quality(docs: DataFrame, rules: Rules, text_col: str = "text", score_c
     taken whole, whatever their length. An empty table gives an empty result.
     """
     names = list(statistics(F.lit("")))
-    stats = F.struct(*(c.alias(k) for k, c in statistics(text_of(text_col)).items()))
-    d = docs.withColumn("__stats", F.explode(F.array(stats)))
+    d = docs.withColumn("__stats", F.explode(_statistics(text_of(text_col))))
     return d.withColumn(score_col, rules.score_of({k: F.col(f"__stats.{k}") for k in names})).drop("__stats")
 
 
