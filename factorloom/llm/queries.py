@@ -1,4 +1,4 @@
-"""The operators over the tables of a data folder, with production parameters: op1 to op10 and the pipeline."""
+"""The operators over the tables of a data folder, with production parameters: op1 to op13."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brown, fingerprints, lines, mixing, neighbours, quality, simhash, substrings, token_store
+from . import bpe, brown, fingerprints, infill, lines, mixing, neighbours, quality, simhash, substrings, token_store, tries
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
@@ -94,10 +94,22 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return tries.prefix_trie(tries.rebuilt(tries.sequences(table(spark, sf_dir, "conversations"))))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    cut = infill.fill_in_middle(table(spark, sf_dir, "documents"))
+    digests = F.sha2(F.col("output").cast("binary"), 256), F.sha2(infill.restored(F.col("output"), F.col("form")).cast("binary"), 256)
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digests[0].alias("output_sha256"), digests[1].alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_document_fingerprints, op2_quality_classifier, op3_nearest_neighbours, op4_token_binary, op5_brown_scoring,
-        op6_simhash_near_dedup, op7_mix_sources, op8_suffix_dedup, op9_line_dedup, op10_byte_bpe,
+        op6_simhash_near_dedup, op7_mix_sources, op8_suffix_dedup, op9_line_dedup, op10_byte_bpe, op11_conversation_trie, op12_fill_in_middle,
     )
     return {f.__name__: f for f in every}
 
@@ -116,7 +128,43 @@ SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_remo
   sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN s ON s.doc_id = d.doc_id"""
 
 
+#: CRC-32 of a string of ASCII characters, bit by bit; numbers are 64 bits wide.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295, list_transform(range(length({0})), lambda i: CAST(ord(substr({0}, i + 1, 1)) AS BIGINT))),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"""
+
+#: A turn is the text "role length:role text"; a node is the list of its turns.
+_TRIE_SQL = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list(length(role) || ':' || role || text ORDER BY turn NULLS FIRST, role, text) AS turns,
+  list(strlen(text) ORDER BY turn NULLS FIRST, role, text) AS bytes FROM t GROUP BY conv_id),
+h AS (SELECT *, CAST(conv_id AS VARCHAR) AS k FROM o),
+c AS (SELECT *, {_CRC32.format("k")} % 9 AS h FROM h),
+r AS (SELECT c.conv_id, list_concat(coalesce(b.turns, [])[1:c.h], c.turns[c.h + 1:]) AS turns, list_concat(coalesce(b.bytes, [])[1:c.h], c.bytes[c.h + 1:]) AS bytes
+  FROM c LEFT JOIN o b ON b.conv_id = c.conv_id - c.conv_id % 5),
+p AS (SELECT conv_id, turns, bytes, unnest(range(len(turns) + 1)) AS d FROM r),
+m AS (SELECT turns[1:d] AS node, d, conv_id, len(turns) = d AS ends, CASE WHEN d > 0 THEN bytes[d] ELSE 0 END AS b FROM p),
+n AS (SELECT node, any_value(d) AS d, min(conv_id) AS conv_id, count(*) AS n, any_value(b) AS b,
+  sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends FROM m GROUP BY node),
+k AS (SELECT node[1:d - 1] AS node, count(*) AS children FROM n WHERE d > 0 GROUP BY 1),
+e AS (SELECT n.*, coalesce(children, 0) AS children FROM n LEFT JOIN k ON k.node = n.node),
+u AS (SELECT node, (n - 1) * b AS saved, children = 0 AS leaf, unnest(range(d + 1)) AS up FROM e),
+s AS (SELECT node[1:up] AS node, sum(saved) AS saved, count(*) FILTER (WHERE leaf) AS leaves FROM u GROUP BY 1)
+SELECT e.conv_id, CAST(e.d AS BIGINT) AS depth, q.conv_id AS parent_conv_id, CAST(e.n AS BIGINT) AS n_convs, CAST(e.children AS BIGINT) AS n_children,
+  CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, e.ends AS ends_sha256
+FROM e JOIN s ON s.node = e.node LEFT JOIN n q ON e.d > 0 AND q.node = e.node[1:e.d - 1]"""
+
+_INFILL_SQL = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+  [CAST('0x' || substr(s, 8 * i + 1, 8) AS UBIGINT) FOR i IN range(4)] AS h FROM d),
+n AS (SELECT *, CAST(len(u) AS BIGINT) AS n, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 50 THEN 'plain'
+  WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+c AS (SELECT *, CAST(least(h[1] % (n + 1), h[2] % (n + 1)) AS BIGINT) AS lo, CAST(greatest(h[1] % (n + 1), h[2] % (n + 1)) AS BIGINT) AS hi FROM n),
+x AS (SELECT *, array_to_string(u[1:lo], '') AS p, array_to_string(u[lo + 1:hi], '') AS m, array_to_string(u[hi + 1:], '') AS q FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || q || '<M>' || m ELSE '<S>' || q || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM x"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The other operators' digests need hashes, tokenizers, models or orders that SQL hasn't: tests hold
     them against brute force."""
-    return {"op8_suffix_dedup": _SUFFIX_SQL}
+    return {"op8_suffix_dedup": _SUFFIX_SQL, "op11_conversation_trie": _TRIE_SQL, "op12_fill_in_middle": _INFILL_SQL}
