@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brown, fingerprints, infill, lines, mixing, neighbours, quality, simhash, substrings, token_store, tries
+from . import bpe, brown, fingerprints, forest, infill, lines, mixing, neighbours, quality, simhash, substrings, token_store, tries
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
@@ -106,10 +106,16 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digests[0].alias("output_sha256"), digests[1].alias("restored_sha256"))
 
 
+def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return forest.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_document_fingerprints, op2_quality_classifier, op3_nearest_neighbours, op4_token_binary, op5_brown_scoring,
         op6_simhash_near_dedup, op7_mix_sources, op8_suffix_dedup, op9_line_dedup, op10_byte_bpe, op11_conversation_trie, op12_fill_in_middle,
+        op13_minhash_near_dedup,
     )
     return {f.__name__: f for f in every}
 
@@ -164,7 +170,21 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT)
   sha256(t) AS restored_sha256 FROM x"""
 
 
+#: Pairs of distinct sets that share a shingle, by size of intersection and union; then the smallest id reachable.
+_NEAR_SQL = r"""WITH RECURSIVE t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+d AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_sort(list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)])) END AS s FROM t),
+k AS (SELECT min(r) AS c, s, len(s) AS n FROM d GROUP BY s),
+h AS (SELECT c, n, unnest(s) AS x FROM k),
+p AS (SELECT a.c AS a, b.c AS b FROM h a JOIN h b ON a.x = b.x AND a.c <> b.c GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM p UNION SELECT c, c FROM k),
+g AS (SELECT a, b FROM e UNION SELECT g.a, e.b FROM g JOIN e ON e.a = g.b),
+m AS (SELECT k.s, d.doc_id FROM d JOIN k ON k.s = d.s),
+o AS (SELECT k.s, min(m.doc_id) AS id FROM k JOIN g ON g.a = k.c JOIN k q ON q.c = g.b JOIN m ON m.s = q.s GROUP BY k.s)
+SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, CASE WHEN len(d.s) = 0 THEN d.doc_id ELSE o.id END AS component_id, len(d.s) = 0 OR d.doc_id = o.id AS kept FROM d JOIN o ON o.s = d.s"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The other operators' digests need hashes, tokenizers, models or orders that SQL hasn't: tests hold
     them against brute force."""
-    return {"op8_suffix_dedup": _SUFFIX_SQL, "op11_conversation_trie": _TRIE_SQL, "op12_fill_in_middle": _INFILL_SQL}
+    return {"op8_suffix_dedup": _SUFFIX_SQL, "op11_conversation_trie": _TRIE_SQL, "op12_fill_in_middle": _INFILL_SQL, "op13_minhash_near_dedup": _NEAR_SQL}
