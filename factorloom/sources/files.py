@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -18,3 +21,45 @@ def exists(spark: SparkSession, path: str) -> bool:
 def remove(spark: SparkSession, path: str) -> bool:
     fs, p = _at(spark, path)
     return fs.delete(p, True)
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What a folder holds, by name; nothing if it isn't there."""
+    fs, p = _at(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def size(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Bytes and files below a path; (0, 0) if it isn't there."""
+    fs, p = _at(spark, path)
+    if not fs.exists(p):
+        return 0, 0
+    s = fs.getContentSummary(p)
+    return s.getLength(), s.getFileCount()
+
+
+def move(spark: SparkSession, path: str, to: str) -> None:
+    fs, p = _at(spark, path)
+    if not fs.rename(p, _at(spark, to)[1]):
+        raise OSError(f"could not move {path} to {to}")
+
+
+def mark(spark: SparkSession, path: str) -> None:
+    """An empty file, and the folders above it."""
+    fs, p = _at(spark, path)
+    fs.mkdirs(p.getParent())
+    fs.createNewFile(p)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``).
+
+    A folder of its own is used where that is unset and all tasks run on the driver's machine (tests).
+    """
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="factorloom-")
+        spark.conf.set("spark.checkpoint.dir", top)
+    return f"{top.rstrip('/')}/factorloom/{name}-{uuid.uuid4().hex}"

@@ -4,127 +4,107 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.panel import PRICE_FIELDS, PRICE_SCHEMA, coverage, merge, normalize, sync_plan, validate
 from . import files
+from .provider import Fetch, provider_rows
+from .tables import BUCKETS, SymbolTable
 
 #: Landing columns of the two provider formats, by the price schema's names (fixed values).
 REST_COLUMNS = {"date": "date", "open": "open", "high": "high", "low": "low", "close": "close", "volume": "volume", "div_cash": "divCash", "split_factor": "splitFactor"}
 TABLE_COLUMNS = {"date": "Date", "open": "Open", "high": "High", "low": "Low", "close": "Close", "volume": "Volume", "div_cash": "Dividends", "split_factor": "Stock Splits"}
 
 
-def load(spark: SparkSession, path: str, symbols: Sequence[str] | None = None) -> DataFrame:
-    """Prices partitioned by symbol; asked for some symbols, only their folders are read."""
-    df = spark.read.schema(PRICE_SCHEMA).parquet(path).select("symbol", "date", *PRICE_FIELDS)
-    return df.where(F.col("symbol").isin(list(symbols))) if symbols is not None else df
+def price_table(spark: SparkSession, path: str, buckets: int = BUCKETS) -> SymbolTable:
+    """Prices bucketed by symbol: adjusting, deriving and any window by symbol read them without a shuffle."""
+    return SymbolTable(spark, path, PRICE_SCHEMA, buckets)
 
 
-def store(prices: DataFrame, path: str) -> None:
-    """Writes the symbols of ``prices``, replacing these symbols' files and no others'."""
-    out = validate(prices).select("symbol", "date", *PRICE_FIELDS).repartition("symbol").sortWithinPartitions("symbol", "date")
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol").parquet(path)
+def load(spark: SparkSession, path: str, symbols: Sequence[str] | None = None) -> DataFrame:
+    """Prices; asked for some symbols, only their buckets are read."""
+    df = price_table(spark, path).read()
+    return df.where(F.col("symbol").isin(list(symbols))) if symbols is not None else df
 
 
-def _pending(path: str) -> str:
-    return path.rstrip("/") + "__pending"
+def store(prices: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Writes the symbols of ``prices``, replacing all rows of these symbols and no others'."""
+    table = price_table(prices.sparkSession, path, buckets)
+    table.replace(validate(prices), lambda old, new: old.join(new.select("symbol").distinct(), "symbol", "left_anti").unionByName(new.select(*old.columns)))
 
 
 def recover(spark: SparkSession, path: str) -> bool:
-    """Finishes a write that broke off after its merged rows were complete beside the table; True if there was one."""
-    pending = _pending(path)
-    if not files.exists(spark, f"{pending}/_SUCCESS"):
-        return False
-    store(spark.read.schema(PRICE_SCHEMA).parquet(pending), path)
-    files.remove(spark, pending)
-    return True
+    """Finishes a write that broke off; True if there was one."""
+    return price_table(spark, path).recover()
 
 
-def upsert(spark: SparkSession, path: str, fetched: DataFrame) -> DataFrame:
-    """Adds fetched rows; of one symbol and date the fetched row stays. Only touched symbols are rewritten.
-
-    Merged rows are written beside the table first, and then replace the symbols' files. A run that breaks
-    off in between leaves them whole, and the next upsert puts them in place before it reads.
-    """
-    recover(spark, path)
-    touched = fetched.select("symbol").distinct()
-    old = load(spark, path).join(touched, "symbol", "left_semi") if files.exists(spark, path) else spark.createDataFrame([], PRICE_SCHEMA)
-    merge(old, fetched).write.mode("overwrite").parquet(_pending(path))
-    recover(spark, path)
-    return load(spark, path)
+def upsert(spark: SparkSession, path: str, fetched: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """Adds fetched rows; of one symbol and date the fetched row stays. Only buckets of touched symbols are rewritten."""
+    table = price_table(spark, path, buckets)
+    table.replace(fetched, merge)
+    return table.read()
 
 
 def get_or_fetch(spark: SparkSession, path: str, symbols: Sequence[str], fetch: Callable[[list[str]], DataFrame]) -> DataFrame:
     """Reads through: fetches symbols that aren't there, stores them, and reads all from disk."""
+    recover(spark, path)
     asked = spark.createDataFrame([(s,) for s in symbols], "symbol string")
-    there = files.exists(spark, path)
-    missing = [r[0] for r in asked.join(load(spark, path).select("symbol").distinct(), "symbol", "left_anti").collect()] if there else list(symbols)
+    missing = [r[0] for r in asked.join(load(spark, path).select("symbol").distinct(), "symbol", "left_anti").collect()]
     if missing:
         store(fetch(sorted(missing)), path)
     return load(spark, path, symbols)
 
 
 @dataclass
-class FallbackProvider:
-    """Asks named providers in turn, ``fetch(symbol, start, end) -> DataFrame``, until one answers with rows; keeps
-    which one served each symbol."""
-
-    providers: Sequence[tuple[str, Callable[[str, str, str], DataFrame]]]
-    sources: dict[str, str] = field(default_factory=dict)
-
-    def __call__(self, symbol: str, start: str, end: str) -> DataFrame:
-        errors = []
-        for name, fetch in self.providers:
-            try:
-                found = fetch(symbol, start, end)
-                if found is None or found.isEmpty():
-                    raise ValueError("no rows")
-            except Exception as e:  # noqa: BLE001 - the next provider is asked
-                errors.append(f"{name}: {e!r}")
-                continue
-            self.sources[symbol] = name
-            return found
-        raise RuntimeError(f"no provider has {symbol}: {'; '.join(errors)}")
-
-
-def sync(spark: SparkSession, path: str, symbols: Sequence[str], start: str, end: str, fetch: Callable[[str, str, str], DataFrame], refresh: bool = False, observe: Callable[[dict], None] | None = None, stop: Callable[[], bool] | None = None) -> list[dict]:
-    """Fetches what the table lacks of ``symbols`` from ``start`` to ``end`` and merges it, all symbols in one write.
-
-    A symbol that fails is reported and holds up no other. A row for each symbol: status (fetched, skipped,
-    failed), rows fetched and there, first and last date, provider, error.
+class SyncReport:
+    """``rows``: for each symbol status (fetched, skipped, failed), rows fetched and there, first and last date,
+    provider, error and all attempts (provider, rows, error). ``figures``: rows and failures of the whole job, as
+    they were counted while it wrote."""
+
+    rows: list[dict]
+    figures: dict[str, int] = field(default_factory=dict)
+
+
+def sync(spark: SparkSession, path: str, symbols: Sequence[str], start: str, end: str, providers: Sequence[tuple[str, Fetch]], refresh: bool = False, partitions: int = 8, attempts: int = 4, rate: tuple[int, float] | None = None) -> SyncReport:
+    """Fetches what the table lacks of ``symbols`` from ``start`` to ``end`` and merges it.
+
+    One job asks the providers (the first that has rows serves), a range of symbols to a task, and writes what
+    they answer beside the table while it is counted; then touched buckets are merged. A symbol that fails is
+    reported and holds up no other.
     """
-    recover(spark, path)
-    prices = load(spark, path) if files.exists(spark, path) else spark.createDataFrame([], PRICE_SCHEMA)
+    table = price_table(spark, path)
+    table.recover()
     names = list(dict.fromkeys(s.strip().upper() for s in symbols))
     asked = spark.createDataFrame([(s,) for s in names], "symbol string")
-    ranges: dict[str, list] = {}
-    for r in sync_plan(coverage(asked, prices, start, end), start, end, refresh).collect():
-        ranges.setdefault(r["symbol"], []).append((str(r["fetch_from"]), str(r["fetch_to"])))
-    frames, errors, fetched = [], {}, {}
-    for i, s in enumerate(sorted(ranges)):
-        if stop and stop():
-            break
-        try:
-            got = [normalize(fetch(s, a, b)).where(F.col("symbol") == s) for a, b in ranges[s]]
-            fetched[s] = sum(g.count() for g in got)
-            if not fetched[s] and not prices.where(F.col("symbol") == s).head(1):
-                raise ValueError("the provider has no rows")
-            frames += got
-        except Exception as e:  # noqa: BLE001 - one symbol's failure is its own
-            errors[s] = str(e)
-        if observe:
-            observe({"done": i + 1, "total": len(ranges), "symbol": s})
-    if frames:
-        both = frames[0]
-        for f in frames[1:]:
-            both = both.unionByName(f)
-        prices = upsert(spark, path, both.select("symbol", "date", *PRICE_FIELDS))
-    sources = getattr(fetch, "sources", {})
-    rows = {r["symbol"]: r for r in coverage(asked, prices, start, end).collect()}
-    status = lambda s: "failed" if s in errors else "fetched" if fetched.get(s) else "skipped"
-    return [{"symbol": s, "status": status(s), "rows_fetched": fetched.get(s, 0), "rows": rows[s]["rows"], "first": rows[s]["first"], "last": rows[s]["last"], "provider": sources.get(s), "error": errors.get(s)} for s in names]
+    plan = sync_plan(coverage(asked, table.read(), start, end), start, end, refresh)
+    requests = [(r["symbol"], str(r["fetch_from"]), str(r["fetch_to"])) for r in plan.collect()]
+    figures, tried = {"rows": 0, "failures": 0, "attempts": 0}, {}
+    if requests:
+        counted = Observation("sync")
+        is_row = F.col("kind") == "row"
+        answers = provider_rows(spark, requests, providers, partitions, attempts, rate)
+        landed = f"{path.rstrip('/')}__fetched"
+        answers.observe(counted, F.count(F.when(is_row, 1)).alias("rows"), F.count(F.when(~is_row, 1)).alias("attempts"), F.count("error").alias("failures")).write.mode("overwrite").parquet(landed)
+        figures = counted.get
+        answers = spark.read.schema(answers.schema).parquet(landed)
+        table.replace(normalize(answers.where("kind = 'row'")), merge)
+        for r in answers.where("kind = 'attempt'").orderBy("symbol", "date").select("symbol", "provider", "rows", "error").collect():
+            tried.setdefault(r["symbol"], []).append({"provider": r["provider"], "rows": r["rows"], "error": r["error"]})
+        files.remove(spark, landed)
+    out, have = [], {r["symbol"]: r for r in coverage(asked, table.read(), start, end).collect()}
+    for s in names:
+        own, there = tried.get(s, []), have[s]["rows"]
+        served = [a for a in own if a["rows"]]
+        errors = [f"{a['provider']}: {a['error'] or 'no rows'}" for a in own if not a["rows"]]
+        failed = bool(own) and not served and (not there or any(a["error"] for a in own))
+        out.append({
+            "symbol": s, "status": "fetched" if served else "failed" if failed else "skipped", "rows_fetched": sum(a["rows"] for a in served), "rows": there, "first": have[s]["first"], "last": have[s]["last"],
+            "provider": served[-1]["provider"] if served else None, "error": "; ".join(errors) if failed else None, "attempts": own,
+        })
+    return SyncReport(out, dict(figures))
 
 
 def save_universe(memberships: DataFrame, path: str) -> None:
@@ -144,6 +124,21 @@ def load_universe(spark: SparkSession, path: str, name: str | None = None) -> Da
     return df
 
 
+def universes(spark: SparkSession, path: str) -> DataFrame:
+    """Every universe with its members in all and active; none if there is no table."""
+    if not files.exists(spark, path):
+        return spark.createDataFrame([], "universe string, members bigint, active bigint")
+    return load_universe(spark, path).groupBy("universe").agg(F.count("*").alias("members"), F.count(F.when(F.col("exit").isNull(), 1)).alias("active"))
+
+
+def delete_universe(spark: SparkSession, path: str, name: str) -> None:
+    """Takes a universe away, and no other; raises for a name that isn't there."""
+    load_universe(spark, path, name)
+    for folder in files.names(spark, path):
+        if unquote(folder) == f"universe={name}":
+            files.remove(spark, f"{path.rstrip('/')}/{folder}")
+
+
 def edit_universe(spark: SparkSession, path: str, name: str, add: DataFrame | None = None, drop: Sequence[str] = ()) -> DataFrame:
     """Adds members (symbol, entry, exit), whose intervals replace those of the same symbols, and takes some out."""
     old = load_universe(spark, path, name)

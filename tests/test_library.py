@@ -27,54 +27,6 @@ def test_returns_after_a_close_of_zero(spark):
     assert [r.value for r in evaluate(p, parse("neg(returns)")).orderBy("date").collect()] == [None, -math.inf, 1.0, None, -math.inf]
 
 
-def test_upsert_survives_a_broken_write(spark, tmp_path, monkeypatch):
-    """The run breaks off between the rows beside the table and the table's files, or while those are replaced."""
-    path = str(tmp_path / "p")
-    prices.upsert(spark, path, price_rows(spark, [1.0, 2.0]).unionByName(price_rows(spark, [5.0], symbol="B")))
-    whole = prices.store
-
-    def broken(df, to):
-        files.remove(spark, f"{to}/symbol=A")  # half done
-        raise OSError("driver lost")
-
-    monkeypatch.setattr(prices, "store", broken)
-    with pytest.raises(OSError):
-        prices.upsert(spark, path, price_rows(spark, [9.0]))
-    assert prices.load(spark, path).where("symbol = 'A'").count() == 0
-    monkeypatch.setattr(prices, "store", whole)
-    again = prices.upsert(spark, path, price_rows(spark, [9.0]))  # a stream's repeated batch
-    assert sorted((r.symbol, r.close) for r in again.collect()) == [("A", 2.0), ("A", 9.0), ("B", 5.0)]
-    assert not prices.recover(spark, path) and not files.exists(spark, path + "__pending")
-
-
-def provider(spark, calls, fail=(), days=4):
-    def fetch(symbol, start, end):
-        calls.append((symbol, start, end))
-        if symbol in fail:
-            raise OSError("no line")
-        rows = price_rows(spark, [1.0] * days, symbol=symbol).where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
-        return rows.withColumn("ingest_seq", F.lit(1))
-
-    return fetch
-
-
-def test_sync(spark, tmp_path):
-    path, calls, seen = str(tmp_path / "p"), [], []
-    first = prices.sync(spark, path, ["a ", "BAD", "A"], "2020-01-02", "2020-01-03", provider(spark, calls, {"BAD"}), observe=seen.append)
-    assert [(r["symbol"], r["status"], r["rows"]) for r in first] == [("A", "fetched", 2), ("BAD", "failed", 0)]
-    assert first[1]["error"] == "no line" and [s["done"] for s in seen] == [1, 2]
-    calls.clear()
-    both = prices.FallbackProvider([("first", provider(spark, [], {"A", "C"})), ("second", provider(spark, calls))])
-    rows = prices.sync(spark, path, ["A", "C"], "2020-01-01", "2020-01-04", both)
-    assert sorted(calls) == [("A", "2020-01-01", "2020-01-01"), ("A", "2020-01-04", "2020-01-04"), ("C", "2020-01-01", "2020-01-04")]
-    assert [(r["symbol"], r["status"], r["rows_fetched"], r["rows"], r["provider"]) for r in rows] == [("A", "fetched", 2, 4, "second"), ("C", "fetched", 4, 4, "second")]
-    assert [r["status"] for r in prices.sync(spark, path, ["A", "C"], "2020-01-01", "2020-01-04", both)] == ["skipped"] * 2
-    assert prices.sync(spark, path, ["A"], "2020-01-01", "2020-01-04", both, refresh=True)[0]["rows_fetched"] == 4
-    assert prices.sync(spark, path, ["Z"], "2021-01-01", "2021-01-04", provider(spark, []))[0]["status"] == "failed"
-    with pytest.raises(RuntimeError):
-        prices.FallbackProvider([("only", provider(spark, [], {"X"}))])("X", "2020-01-01", "2020-01-02")
-
-
 def test_provider_files(spark, tmp_path):
     (tmp_path / "rest.json").write_text(json.dumps({"symbol": "A", "date": "2020-01-02T00:00:00.000Z", "open": 1, "high": 2, "low": 1, "close": 2, "volume": 5, "divCash": 0.5, "splitFactor": 2.0}))
     (tmp_path / "table.csv").write_text("Date,Open,High,Low,Close,Volume,Dividends,Stock Splits\n2020-01-02,1,2,1,2,5,0,0\n")
@@ -95,6 +47,11 @@ def test_universes(spark, tmp_path):
     assert prices.edit_universe(spark, path, "own", drop=["A"]).count() == 1 and prices.load_universe(spark, path, "sp500-lite").count() == 9
     with pytest.raises(ValueError):
         prices.load_universe(spark, path, "none")
+    assert sorted((r.universe, r.members, r.active) for r in prices.universes(spark, path).collect()) == [("own", 1, 0), ("sp500-lite", 9, 8)]
+    prices.delete_universe(spark, path, "own")
+    assert [r.universe for r in prices.universes(spark, path).collect()] == ["sp500-lite"]
+    with pytest.raises(ValueError):
+        prices.delete_universe(spark, path, "own")
 
 
 def test_families_categories_and_factors(tmp_path):
