@@ -57,13 +57,14 @@ def adjust(prices: DataFrame) -> DataFrame:
     return p.select("symbol", "date", *(c.alias(f) for f, c in adjusted.items()), ratio(F.col("volume"), F.col("split_adj")).alias("volume"), "price_adj", "split_adj")
 
 
-def densify(bars: DataFrame, groups: tuple[str, ...] = ()) -> DataFrame:
-    """Every date for every symbol; missing cells are NULL.
+def densify(bars: DataFrame, groups: tuple[str, ...] = (), dates: DataFrame | None = None, symbols: DataFrame | None = None) -> DataFrame:
+    """Every date for every symbol; missing cells are NULL. The grid's dates and symbols may be given.
 
     Dates are few (a row each) whatever the number of symbols; their table is broadcast by Spark's own
     threshold only.
     """
-    grid = bars.select("symbol", *groups).distinct().crossJoin(bars.select("date").distinct())
+    own = bars if symbols is None else symbols
+    grid = own.select("symbol", *groups).distinct().crossJoin((bars if dates is None else dates).select("date").distinct())
     return grid.join(bars, ["symbol", "date", *groups], "left")
 
 

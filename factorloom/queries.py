@@ -11,6 +11,9 @@ from .operators import lineage, overfit, panel, portfolio, score, splits
 from .plans.compile import Compiler, evaluate, evaluate_batch
 from .plans.expr import SERIES, WINDOW, Registry, parse
 from .plans.search import Config, Search
+from .sources import files
+from .streaming.factors import FactorTable
+from .streaming.factors import stream_factors as stream_factors_of
 
 _BARS = """bars AS (
   SELECT user_id AS symbol, CAST(ts AS DATE) AS date, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low,
@@ -494,6 +497,39 @@ def lineage_ancestors(spark, sf_dir):
     return lineage.ancestors(_lineage(spark, sf_dir), 23)
 
 
+# streams
+
+
+_STREAMED = {"mean3": "ts_mean(close, 3)", "ranked": _FACTOR, "up": "gt(returns, delay(returns, 2))"}
+_SLICES = 4
+
+
+def event_slices(events: DataFrame, slices: int = _SLICES) -> DataFrame:
+    """Events in the order in which a stream gets them: up to two days late (by a hash of the id), and every seventh
+    again in the slice after its own. ``slice`` counts from 0."""
+    late = F.unix_micros(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64("event_id"), F.lit(2 * 86_400_000_000))
+    e = events.withColumn("__at", late)
+    ends = e.agg(F.min("__at").alias("__lo"), F.max("__at").alias("__hi"))
+    own = F.least(F.floor((F.col("__at") - F.col("__lo")) * slices / (F.col("__hi") - F.col("__lo") + 1)).cast("int"), F.lit(slices - 1))
+    e = e.crossJoin(F.broadcast(ends)).withColumn("slice", own).drop("__at", "__lo", "__hi")  # one row
+    again = e.where((F.pmod(F.xxhash64("event_id"), F.lit(7)) == 0) & (F.col("slice") < slices - 1)).withColumn("slice", F.col("slice") + 1)
+    return e.unionByName(again)
+
+
+@_query(_with(f"{_PANEL}, n AS (SELECT *, {_roll('avg', 'close', 3)} AS mean3, {_MEAN3} AS m3, lag(returns, 2) OVER {_T} AS before FROM panel)", f"SELECT date, symbol, round(mean3, 6) AS mean3, round({_pct('m3')}, 6) AS ranked, coalesce(returns > before, false) AS up FROM n"))
+def stream_factors(spark, sf_dir):
+    """Factors of a stream of late and repeated events, taken up again from its checkpoint for each slice."""
+    top = files.scratch(spark, "stream")
+    sliced = event_slices(_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value"))
+    sliced.write.partitionBy("slice").parquet(f"{top}/slices")
+    columns = spark.read.parquet(f"{top}/slices").drop("slice").schema
+    table = FactorTable(spark, f"{top}/table", {k: parse(t) for k, t in _STREAMED.items()}, columns["ts"].dataType.simpleString())
+    for i in range(_SLICES):
+        spark.read.schema(columns).parquet(f"{top}/slices/slice={i}").coalesce(1).write.mode("append").parquet(f"{top}/in")
+        stream_factors_of(spark.readStream.schema(columns).parquet(f"{top}/in"), table, f"{top}/checkpoint").awaitTermination()
+    return _r(table.read(), "mean3", "ranked")
+
+
 # batches of trees
 
 
