@@ -3,6 +3,7 @@
 A tree of the forest is an order: texts sorted by a sequence of minima. Texts that share a prefix are a region of
 that tree. Neighbours of the longest common prefix are compared first; regions that then still hold several groups
 are gone through whole if they are small, and at a greater depth, in as many more orders as that depth needs, if not.
+Sets of shingles move only for pairs that a comparison of minima lets through, each in one region.
 """
 
 from __future__ import annotations
@@ -14,11 +15,10 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import Sets, components, join_copies, partitions, written
+from .common import Sets, join_copies, partitions, written
 from .minhash import agreement, shingles
 from .simhash import SEED
 
@@ -28,10 +28,10 @@ SHINGLE_WORDS, SIMILARITY = 5, (17, 20)
 DEPTHS, MISSED = (6, 12, 24), 1e-7
 #: A signature goes on beyond the depth, to tell neighbours apart: so many times the depth.
 REACH = 4
-#: Neighbours of the longest common prefixes that each text is compared with first.
-NEIGHBOURS = 2
+#: Orders in which each text is first compared with a neighbour, and of how many of these neighbours, those of the longest common prefixes.
+FIRST_ORDERS, NEIGHBOURS = 12, 2
 #: A region of more texts, or of more shingles in all, is large.
-LARGE, LARGE_SHINGLES = 512, 1 << 22
+LARGE, LARGE_SHINGLES = 2048, 1 << 22
 #: Standard deviations by which the share of equal minima may fall short of the similarity in a pair that is taken up.
 SLACK = 5.3
 #: Shingles permuted at a time.
@@ -86,7 +86,7 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Rows (signature, fp) in order to neighbours that share ``least`` bytes, both ways: (a, b, bytes shared)."""
+    """Rows (signature, fp) in order to those that share ``least`` bytes with the one before: (a, the one before, bytes shared)."""
     last_sig, last_fp = np.zeros((0, 1), np.uint8), np.zeros(0, np.int64)
     for b in batches:
         if not len(b):
@@ -99,8 +99,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Re
         differ = sig[1:] != sig[:-1]
         lcp = np.where(differ.any(1), differ.argmax(1), sig.shape[1])
         at = np.flatnonzero(lcp >= least)
-        x, y, shared = fp[at + 1], fp[at], lcp[at]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in ((x, y), (y, x), (shared, shared))], ["a", "b", "lcp"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (fp[at + 1], fp[at], lcp[at])], ["a", "b", "lcp"])
 
 
 def _near(batches: Iterator[pa.RecordBatch], similarity: tuple[int, int]) -> Iterator[pa.RecordBatch]:
@@ -110,59 +109,112 @@ def _near(batches: Iterator[pa.RecordBatch], similarity: tuple[int, int]) -> Ite
         yield pa.RecordBatch.from_arrays([b.column(0).filter(near), b.column(1).filter(near)], ["a", "b"])
 
 
-def settle(fp: np.ndarray, root: np.ndarray, rings: np.ndarray, sets: list[np.ndarray], similarity: tuple[int, int]) -> list[tuple[int, int]]:
-    """Links between members of one region that are of different groups: as many as join what can be joined.
-
-    Pairs that agree in enough minima are taken exactly, the likeliest first, unless links found before
-    have joined their groups. Members of the largest group are compared with the others only.
+def candidates(root: np.ndarray, rings: np.ndarray, similarity: tuple[int, int], depth: int, tree: int) -> Iterator[tuple[int, list[int]]]:
+    """Members of one region that are of different groups and agree in enough minima to be taken up: each with its
+    partners, the likeliest first. A pair that shares several regions is taken up in the first of them only, that
+    of the least ``tree``. Members of the largest group have no partners of their own.
     """
     names, at, count = np.unique(root, return_inverse=True, return_counts=True)
     if len(names) < 2:
-        return []
+        return
     s, width = similarity[0] / similarity[1], rings.shape[1]
     least = s - SLACK * math.sqrt(s * (1 - s) / width)
-    groups, links = Sets(), []
     some = np.flatnonzero(at != count.argmax())
+    before = rings[:, : tree * depth].reshape(len(rings), tree, depth)
     for lo in range(0, len(some), 256):
         x = some[lo : lo + 256]
         share = agreement(rings[x], rings)
         share[at[x][:, None] == at[None, :]] = -1
         for i, row in zip(x.tolist(), share, strict=True):
             found = np.flatnonzero(row >= least)
-            for j in found[np.argsort(-row[found], kind="stable")].tolist():
-                if groups.root(int(at[i])) != groups.root(int(at[j])) and alike(sets[i], sets[j], similarity):
-                    groups.join(int(at[i]), int(at[j]))
-                    links.append((int(fp[i]), int(fp[j])))
-    return links
+            if len(found) and tree:
+                found = found[~(before[found] == before[i]).all(2).any(1)]
+            if len(found):
+                yield i, found[np.argsort(-row[found], kind="stable")].tolist()
 
 
-def _settled(batches: Iterator[pa.RecordBatch], similarity: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    """Rows (region, fp, root, ring, set) sorted by region to links (a, b)."""
-    region, held, links = None, [], []
-
-    def close() -> None:
-        fp, root = (np.array([r[c] for r in held]) for c in (0, 1))
-        rings = np.stack([np.frombuffer(r[2], np.uint8) for r in held])
-        links.extend(settle(fp, root, rings, [np.frombuffer(r[3], np.uint64) for r in held], similarity))
+def settle(fp: np.ndarray, root: np.ndarray, rings: np.ndarray, sets: list[np.ndarray], similarity: tuple[int, int], depth: int = 1, tree: int = 0) -> list[tuple[int, int]]:
+    """Links between the candidates() of one region: as many as join what can be joined."""
+    groups, links = Sets(), []
+    for i, partners in candidates(root, rings, similarity, depth, tree):
+        for j in partners:
+            if groups.root(int(root[i])) != groups.root(int(root[j])) and alike(sets[i], sets[j], similarity):
+                groups.join(int(root[i]), int(root[j]))
+                links.append((int(fp[i]), int(fp[j])))
+    return links
 
-    def batch() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
 
+def _by_region(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, list[list]]]:
+    """Rows sorted by their first column, as (region, rows of the others)."""
+    region, held = None, []
     for b in batches:
         for at in range(len(b)):
-            r, *row = (b.column(c)[at].as_py() for c in range(5))
+            r, *row = (b.column(c)[at].as_py() for c in range(b.num_columns))
             if r != region:
                 if held:
-                    close()
+                    yield region, held
                 region, held = r, []
             held.append(row)
-        if links:
-            yield batch()
-            links = []
     if held:
-        close()
-    if links:
-        yield batch()
+        yield region, held
+
+
+def _open(batches: Iterator[pa.RecordBatch], similarity: tuple[int, int], depth: int) -> Iterator[pa.RecordBatch]:
+    """Rows (region, fp, root, ring) to those of members that have a candidate: (region, fp, root)."""
+    for region, held in _by_region(batches):
+        root = np.array([r[1] for r in held])
+        own: set[int] = set()
+        for i, partners in candidates(root, _stack(held, 2), similarity, depth, int.from_bytes(region[:2], "big")):
+            own.add(i)
+            own.update(partners)
+        if own:
+            yield pa.RecordBatch.from_arrays([pa.array([region] * len(own), pa.binary()), *(pa.array([held[i][c] for i in sorted(own)], pa.int64()) for c in (0, 1))], ["region", "fp", "root"])
+
+
+def _settled(batches: Iterator[pa.RecordBatch], similarity: tuple[int, int], depth: int) -> Iterator[pa.RecordBatch]:
+    """Rows (region, fp, root, ring, set) sorted by region to links (a, b)."""
+    for region, held in _by_region(batches):
+        fp, root = (np.array([r[c] for r in held]) for c in (0, 1))
+        links = settle(fp, root, _stack(held, 2), [np.frombuffer(r[3], np.uint64) for r in held], similarity, depth, int.from_bytes(region[:2], "big"))
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
+
+
+def _stack(held: list[list], column: int) -> np.ndarray:
+    return np.stack([np.frombuffer(r[column], np.uint8) for r in held])
+
+
+def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of one task to a star for each of its groups: (node, root)."""
+    sets = Sets()
+    for b in batches:
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            sets.join(x, y)
+    nodes = list(sets.up)
+    for at in range(0, len(nodes), 10_000):
+        some = nodes[at : at + 10_000]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([sets.root(x) for x in some], pa.int64())], ["node", "root"])
+
+
+def stars(links: DataFrame, name: str) -> DataFrame:
+    """Connected components of ``links`` (two columns): (node, root), root the smallest node reachable, for all other nodes.
+
+    Each round joins the links that a task holds, then lets each node's roots meet (a root a task, at most) and points
+    what hangs below a root at that root's own. A round is one small shuffle and a join that is dealt by size;
+    each is written, so no plan grows. Rounds go on until every node has one root that is no node itself.
+    """
+    state = written(links.mapInArrow(_local, "node bigint, root bigint"), name)
+    while True:
+        seen = Observation()
+        both = state.unionByName(state.select(F.col("root").alias("node"), F.lit(None).cast("bigint").alias("root")))
+        met = both.groupBy("node").agg(F.min("root").alias("root"), F.collect_set("root").alias("roots"), F.max(F.col("root").isNull()).alias("is_root")).where("root is not null")
+        left = F.count(F.when(F.col("is_root") | (F.size("roots") > 1), 1))
+        met = written(met.observe(seen, left.alias("left")), name)
+        if not seen.get["left"]:
+            return met.select("node", "root")
+        hang = met.select("node", "root").unionByName(met.select(F.explode("roots").alias("node"), "root").where("node <> root"))
+        ups = met.where("is_root").select(F.col("node").alias("root"), F.col("root").alias("up"))
+        state = written(hang.join(ups, "root", "left").select("node", F.coalesce("up", "root").alias("root")).mapInArrow(_local, "node bigint, root bigint"), name)
 
 
 def near_duplicates(
@@ -174,13 +226,14 @@ def near_duplicates(
     Returns id_col, n_shingles (size of the set), component_id (the smallest id reachable through links), kept
     (whether that is the row's own). Equal sets are one member of the forest. Similarities are taken on full sets.
 
-    In each order, texts are sorted by signature over all partitions (ranges of signatures, so that no region has
-    to fit a task), and each is compared with its NEIGHBOURS nearest in prefix. Then regions (a common prefix of
-    the level's depth) that still hold several groups are settled: small ones by one task each, which compares
-    members outside the largest group with the others, the likeliest first; members of large ones go on to the
-    next level, whose deeper prefixes split them, with orders added so that again all but MISSED of the pairs
-    at the similarity meet. Regions that are large at the last depth are cut into slices, and each two slices are
-    a task's: all pairs that can matter are looked at there, by tasks of ``large`` texts, and only links are given out.
+    In each of the first orders, texts are sorted by signature over all partitions (ranges of signatures, so that no
+    region has to fit a task), and each is compared with NEIGHBOURS of those before it, nearest in prefix. Then regions
+    (a common prefix of the level's depth, in any order) that still hold several groups are settled: small ones by
+    one task each, which looks at the minima of members of different groups, and then at the sets of those that are
+    likely; members of large ones go on to the next level, whose deeper prefixes split them, with orders added
+    so that again all but MISSED of the pairs at the similarity meet. Regions that are large at the last depth are cut
+    into slices, and each two slices are a task's: all pairs that can matter are looked at there, by tasks of twice
+    ``large`` texts, and only links are given out.
 
     A text of fewer words than a shingle is one shingle as a whole. Null texts, and those without words, have an
     empty set and are linked with nothing. Rows with a null id keep their row and take part; if no linked row
@@ -203,33 +256,31 @@ def near_duplicates(
 
     rings, links = distinct.select("fp", "n", "ring"), d.sparkSession.createDataFrame([], "a bigint, b bigint")
     for level, depth in enumerate(depths):
-        signed = _signatures(rings, depth, trees(depth, similarity))
+        signed = _signatures(rings, depth, min(FIRST_ORDERS, trees(depth, similarity)))
         order = signed.select("signature", "fp").repartitionByRange(n, "signature", "fp").sortWithinPartitions("signature", "fp")
-        near = written(order.mapInArrow(partial(_neighbours, least=depth + 2), "a bigint, b bigint, lcp bigint").groupBy("a", "b").agg(F.sum("lcp").alias("lcp")), "forest-near")
-        place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("lcp"), "b"))  # two rows an order at most
-        pairs = near.withColumn("place", place).where(F.col("place") <= NEIGHBOURS).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        pairs = written(pairs.distinct(), "forest-pairs")
+        near = order.mapInArrow(partial(_neighbours, least=depth + 2), "a bigint, b bigint, lcp bigint").groupBy("a").agg(F.collect_set(F.struct(-F.col("lcp"), "b")).alias("near"))
+        pairs = written(near.select("a", F.explode(F.array_distinct(F.transform(F.slice(F.sort_array("near"), 1, NEIGHBOURS), lambda x: x["b"]))).alias("b")), "forest-pairs")
         own = sets(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct())
         both = pairs.join(own.select(F.col("fp").alias("a"), F.col("set").alias("s")), "a").join(own.select(F.col("fp").alias("b"), F.col("set").alias("t")), "b")
         links = links.unionByName(written(both.select("a", "b", "s", "t").mapInArrow(partial(_near, similarity=similarity), "a bigint, b bigint"), "forest-links"))
 
-        roots = components(links, "forest-components").select(F.col("node").alias("fp"), "root")
+        roots = stars(links, "forest-stars").select(F.col("node").alias("fp"), "root")
         grouped = written(rings.join(roots, "fp", "left").select("fp", "n", "ring", F.coalesce("root", "fp").alias("root")), "forest-grouped")
         signed = _signatures(grouped, depth, trees(depth, similarity)).withColumn("region", F.substring("signature", 1, depth + 2)).drop("signature")
         regions = signed.groupBy("region").agg(F.count("*").alias("copies"), F.sum("n").alias("all"), F.min("root").alias("lo"), F.max("root").alias("hi"))
         slices = F.ceil(F.greatest(F.col("copies") / large, F.when(F.col("copies") > 2, F.col("all") / large_shingles).otherwise(0))).cast("int")
         regions = written(regions.where("lo <> hi").select("region", "copies", slices.alias("slices")), "forest-regions")
         last = level + 1 == len(depths)
-        here = regions if last else regions.where("slices = 1")
-        members = join_copies(signed, here, "region")
+        members = join_copies(signed, regions if last else regions.where("slices = 1"), "region")
         if last:
             own_slice = F.pmod(F.xxhash64("fp"), F.col("slices")).cast("int")
             members = members.withColumn("__s", own_slice).withColumn("__t", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
             members = members.withColumn("region", F.concat("region", F.encode(F.concat_ws("-", F.least("__s", "__t"), F.greatest("__s", "__t")), "UTF-8")))
-        members = written(members.select("region", "fp", "root"), "forest-members")
+        held = members.select("region", "fp", "root").join(grouped.select("fp", "ring"), "fp").select("region", "fp", "root", "ring").repartition(n, "region").sortWithinPartitions("region")
+        members = written(held.mapInArrow(partial(_open, similarity=similarity, depth=depth), "region binary, fp bigint, root bigint"), "forest-members")
         own = sets(members.select("fp").distinct()).join(grouped.select("fp", "ring"), "fp")
         held = members.join(own, "fp").select("region", "fp", "root", "ring", "set").repartition(n, "region").sortWithinPartitions("region")
-        links = links.unionByName(written(held.mapInArrow(partial(_settled, similarity=similarity), "a bigint, b bigint"), "forest-links"))
+        links = links.unionByName(written(held.mapInArrow(partial(_settled, similarity=similarity, depth=depth), "a bigint, b bigint"), "forest-links"))
         open_ = None if last else regions.where("slices > 1").select("region", "copies")
         if open_ is None or open_.isEmpty():
             break
@@ -237,7 +288,7 @@ def near_duplicates(
         width = depths[level + 1] * trees(depths[level + 1], similarity)
         rings = written(texts(fps).mapInArrow(partial(_rings, words=words, n=width, level=level + 1), "fp bigint, n bigint, ring binary"), "forest-rings")
 
-    roots = components(links, "forest-components")
+    roots = stars(links, "forest-stars")
     in_groups = roots.select(F.col("node").alias("fp"), "root").union(roots.select(F.col("root").alias("fp"), "root")).distinct()
     reps = written(in_groups.join(distinct.select("fp", "rep"), "fp"), "forest-reps")
     least = reps.groupBy("root").agg(F.min("rep").alias("component"))

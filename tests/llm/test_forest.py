@@ -67,6 +67,27 @@ def found(df):
     return sorted(str(tuple(r)) for r in df.select("doc_id", "n_shingles", "component_id", "kept").collect())
 
 
+def test_stars(spark):
+    rng = random.Random(6)
+    links = [(i, i + 1) for i in range(0, 300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(rng.randrange(2000, 2400), rng.randrange(2000, 2400)) for _ in range(250)] + [(5, 5)]
+    rng.shuffle(links)
+    up = {}
+
+    def root(x):
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((root(a), root(b)))
+        up[b] = a
+    want = {(x, root(x)) for pair in links for x in pair if root(x) != x}
+    for parts in (1, 7):
+        got = forest.stars(spark.createDataFrame(links, "a bigint, b bigint").repartition(parts), "stars")
+        assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    assert forest.stars(spark.createDataFrame([], "a bigint, b bigint"), "stars").collect() == []
+
+
 @pytest.mark.parametrize("options", [{}, {"depths": (2, 4, 6), "large": 4}, {"depths": (1,), "large": 3}, {"large_shingles": 100}])
 def test_near_duplicates(spark, options):
     queries.ship(spark)
@@ -106,7 +127,24 @@ def test_settle_joins_what_can_be_joined():
     fp = np.arange(len(sets))
     rings = np.stack([np.frombuffer(forest.ring(s, 210), np.uint8) for s in sets])
     groups = forest.Sets()
-    for a, b in forest.settle(fp, fp, rings, sets, (17, 20)):
+    for a, b in forest.settle(fp, fp, rings, sets, (17, 20), 6, 0):
         assert a // 7 == b // 7
         groups.join(a, b)
     assert [groups.root(i) for i in range(len(sets))] == [i // 7 * 7 for i in range(len(sets))]
+
+
+def test_a_pair_is_taken_up_once():
+    """Over all orders, each pair that shares regions is a candidate in one of them."""
+    rng, depth, n = np.random.default_rng(9), 2, 10
+    base = rng.integers(1 << 60, size=200, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[k:], rng.integers(1 << 60, size=k, dtype=np.uint64)])) for k in range(12)]
+    rings = np.stack([np.frombuffer(forest.ring(s, depth * n), np.uint8) for s in sets])
+    seen, shared = [], set()
+    for tree in range(n):
+        prefix = [r[tree * depth : tree * depth + depth].tobytes() for r in rings]
+        for p in set(prefix):
+            own = np.array([i for i in range(12) if prefix[i] == p])
+            shared |= {(a, b) for a in own.tolist() for b in own.tolist() if a < b}
+            found = list(forest.candidates(own, rings[own], (17, 20), depth, tree))
+            seen += list({tuple(sorted((int(own[i]), int(own[j])))) for i, js in found for j in js})
+    assert len(seen) == len(set(seen)) and set(seen) <= shared and len(seen) > 30
