@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import itertools
+
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources import files
+
 SCHEMA = "run_id string, id bigint, generation int, op string, parents array<bigint>, tree string, fitness double"
 
 
@@ -55,14 +59,36 @@ def current(lineage: DataFrame, run_id: str, generation: int | None = None) -> l
     return [r["id"] for r in own.where(F.col("generation") == generation).orderBy("id").collect()]
 
 
+#: Generations that one job goes back.
+STEP = 8
+
+
 def ancestors(lineage: DataFrame, start: int, run_id: str | None = None) -> DataFrame:
-    """All nodes that led to a node, itself included: frontier joins, one a generation, each kept for the next."""
+    """All nodes that led to a node, itself included.
+
+    A job goes back STEP generations by frontier joins and writes what it found to the shared folder, so the plan
+    is as long for any number of generations and nothing is held. Only nodes not found before go on, so a node
+    that many descend from is gone through once. (A recursive query would give a row for each path to it.)
+    """
+    spark = lineage.sparkSession
     if run_id is not None:
         lineage = lineage.where(F.col("run_id") == run_id)
-    e = edges(lineage).select("parent", "child").distinct()
-    found = lineage.where(F.col("id") == start).select(F.col("id").alias("node")).distinct()
-    frontier = found
-    for _ in range(lineage.agg(F.max("generation")).first()[0] or 0):
-        frontier = e.join(frontier, e["child"] == frontier["node"], "left_semi").select(F.col("parent").alias("node")).distinct().cache()
-        found = found.union(frontier)
-    return found.distinct()
+    top = files.scratch(spark, "ancestors")
+    edges(lineage).select("parent", "child").distinct().write.parquet(f"{top}/edges")
+    e = spark.read.schema("parent bigint, child bigint").parquet(f"{top}/edges")
+    frontier = lineage.where(F.col("id") == start).select(F.col("id").alias("node"), F.lit(True).alias("edge")).distinct()
+    for i in itertools.count():
+        step = [frontier.select("node")]
+        for _ in range(STEP):
+            step.append(e.join(step[-1], e["child"] == step[-1]["node"], "left_semi").select(F.col("parent").alias("node")).distinct())
+        found = step[0].withColumn("edge", F.lit(False))
+        for k, s in enumerate(step[1:], 1):
+            found = found.unionByName(s.withColumn("edge", F.lit(k == STEP)))
+        found = found.groupBy("node").agg(F.max("edge").alias("edge"))  # edge: reached last, its parents aren't asked yet
+        if i:
+            found = found.join(spark.read.schema("node bigint, edge boolean").parquet(f"{top}/found"), "node", "left_anti")
+        counted = Observation()
+        found.observe(counted, F.count(F.when(F.col("edge"), 1)).alias("edge")).write.mode("append").parquet(f"{top}/found/step={i}")
+        if not counted.get["edge"]:
+            return spark.read.schema("node bigint, edge boolean, step int").parquet(f"{top}/found").select("node")
+        frontier = spark.read.schema("node bigint, edge boolean").parquet(f"{top}/found/step={i}").where("edge")

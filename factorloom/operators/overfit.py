@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from itertools import combinations
+from functools import partial
 from statistics import NormalDist
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import workers
 from ..plans.compile import evaluate_batch
 from ..plans.expr import Node, Registry
 from .score import daily_ic, forward_returns, long_short_returns, mean_ic, sharpe
@@ -69,44 +70,26 @@ def block_moments(returns: DataFrame, blocks: int = 16) -> DataFrame:
     block = F.lit(0)
     for i in range(1, s):
         block = F.when(F.col("pos") >= ends[i], F.lit(i)).otherwise(block)
-    grid = returns.select("fid").distinct().crossJoin(F.broadcast(line.withColumn("block", block)))  # dates are few
+    grid = returns.select("fid").distinct().crossJoin(line.withColumn("block", block))  # dates are few; Spark's own threshold says whether they are broadcast
     full = grid.join(returns, ["fid", "date"], "left").withColumn("r", F.coalesce("ret", F.lit(0.0)))
     return full.groupBy("fid", "block").agg(F.count("*").alias("n"), F.avg("r").alias("mean"), (F.var_pop("r") * F.count("*")).alias("m2"))
 
 
-def _sharpes(n: np.ndarray, mean: np.ndarray, m2: np.ndarray) -> np.ndarray:
-    """Sharpe of merged blocks; axis 0 holds the blocks."""
-    total = n.sum(0)
-    mu = (n * mean).sum(0) / total
-    var = (m2 + n * (mean - mu) ** 2).sum(0) / np.maximum(total - 1, 1)
-    sd = np.sqrt(np.maximum(var, 0))
-    return np.where(sd > 1e-15, mu / np.where(sd > 1e-15, sd, 1), 0.0)
-
-
 def pbo(returns: DataFrame, blocks: int = 16) -> dict[str, float]:
     """Probability of backtest overfitting by combinatorially symmetric cross-validation.
 
     Each half of the blocks picks its best strategy by Sharpe (the first, on a tie); the other half ranks
     it; the share of logits of that rank at or below 0 is the result. Spark reduces the returns to
-    moments per strategy and block; splits are merged from those.
+    moments per strategy and block, a matrix of blocks by strategies; halves are dealt to executors as ranges of
+    bits, and merged from the blocks' moments by matrix products there. A pair of counts a task comes back.
     """
-    rows = block_moments(returns, blocks).orderBy("fid", "block").collect()
-    fids = sorted({r["fid"] for r in rows})
-    s = 1 + max(r["block"] for r in rows)
-    at = {f: i for i, f in enumerate(fids)}
-    n, mean, m2 = (np.zeros((s, len(fids))) for _ in range(3))
-    for r in rows:
-        n[r["block"], at[r["fid"]]], mean[r["block"], at[r["fid"]]], m2[r["block"], at[r["fid"]]] = r["n"], r["mean"], r["m2"]
-    logits = []
-    for half in combinations(range(s), s // 2):
-        rest = [i for i in range(s) if i not in half]
-        h = list(half)
-        best = int(np.argmax(_sharpes(n[h], mean[h], m2[h])))
-        out = _sharpes(n[rest], mean[rest], m2[rest])
-        rank = (out < out[best]).sum() + ((out == out[best]).sum() + 1) / 2
-        omega = min(max(rank / (len(fids) + 1), 1e-6), 1 - 1e-6)
-        logits.append(math.log(omega / (1 - omega)))
-    return {"pbo": float(np.mean(np.array(logits) <= 0)), "splits": len(logits), "strategies": len(fids)}
+    spark = returns.sparkSession
+    rows = block_moments(returns, blocks).groupBy("fid").agg(F.array_sort(F.collect_list(F.struct("block", "n", "mean", "m2"))).alias("x")).orderBy("fid").collect()
+    n, mean, m2 = (np.array([[b[c] for b in r["x"]] for r in rows], float).T for c in ("n", "mean", "m2"))
+    s = len(n)
+    halves = spark.range(1 << s).where(F.bit_count("id") == s // 2)
+    got = halves.mapInArrow(partial(workers.splits, n=n, mean=mean, m2=m2), "splits bigint, low bigint").agg(F.sum("splits").alias("splits"), F.sum("low").alias("low")).first()
+    return {"pbo": got["low"] / got["splits"], "splits": got["splits"], "strategies": len(rows)}
 
 
 def tree_returns(panel: DataFrame, trees: Sequence[Node], horizon: int = 1, registry: Registry | None = None) -> DataFrame:

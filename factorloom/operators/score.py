@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import workers
 from ..functions.columns import average_rank, by_symbol, pearson, ratio
 from ..plans.compile import evaluate_batch
 from ..plans.expr import Node, Registry
@@ -91,24 +92,33 @@ def rank_correlation(values: DataFrame, a: str, b: str) -> DataFrame:
 def pairwise_rank_correlation(long: DataFrame) -> DataFrame:
     """The same for all pairs of factors of (fid, date, symbol, value): fid_a < fid_b, corr.
 
-    A cell's ranks come together once; its pairs are added up where they are made, so what moves then is a
-    row for each pair of factors and task.
+    Ranks are dealt by cell, and each task adds up products of matrices of cells by factors, so what moves then
+    is a row for each pair of factors and task, and no row for a pair of factors in a cell.
     """
-    r = long.select("fid", "date", "symbol", average_rank(F.col("value"), "fid", "date").alias("r")).where("r is not null")
-    cells = r.groupBy("date", "symbol").agg(F.array_sort(F.collect_list(F.struct("fid", "r"))).alias("x"))  # a cell's factors
-    later = lambda x, i: F.transform(F.slice(F.col("x"), i + 2, F.size("x")), lambda y: F.struct(x["fid"].alias("fid_a"), y["fid"].alias("fid_b"), x["r"].alias("a"), y["r"].alias("b")))
-    j = cells.select(F.inline(F.flatten(F.transform("x", later))))
-    return j.groupBy("fid_a", "fid_b").agg(F.coalesce(pearson(F.col("a"), F.col("b"), 3), F.lit(0.0)).alias("corr"))
+    r = long.select("fid", F.xxhash64("date", "symbol").alias("cell"), average_rank(F.col("value"), "fid", "date").alias("r"), "date", "symbol").where("r is not null")
+    cells = r.repartition("date", "symbol").sortWithinPartitions("cell", "date", "symbol").select("cell", F.col("fid").cast("bigint").alias("fid"), "r")
+    sums = cells.mapInArrow(workers.gram, "fid_a bigint, fid_b bigint, n bigint, sa double, sb double, saa double, sbb double, sab double")
+    all_ = sums.groupBy("fid_a", "fid_b").agg(*(F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")))
+    n = F.col("n")
+    spread = lambda s, ss: F.sqrt(F.greatest(F.col(ss) / n - (F.col(s) / n) * (F.col(s) / n), F.lit(0.0)))
+    corr = ratio(F.col("sab") / n - F.col("sa") / n * F.col("sb") / n, spread("sa", "saa") * spread("sb", "sbb"))
+    fid = long.schema["fid"].dataType
+    return all_.select(F.col("fid_a").cast(fid).alias("fid_a"), F.col("fid_b").cast(fid).alias("fid_b"), F.coalesce(F.when(n >= 3, corr), F.lit(0.0)).alias("corr"))
 
 
 def prune(long: DataFrame, fitness: dict[int, float], limit: float = 0.7) -> list[int]:
-    """Greedy by fitness: a factor stays if its size of correlation with all that stay is below ``limit``."""
-    corr = {(r["fid_a"], r["fid_b"]): abs(r["corr"]) for r in pairwise_rank_correlation(long).collect()}  # factors squared
-    kept: list[int] = []
+    """Greedy by fitness: a factor stays if its size of correlation with all that stay is below ``limit``.
+
+    Only pairs at or beyond the limit come to the driver."""
+    near: dict[int, set[int]] = {}
+    for r in pairwise_rank_correlation(long).where(F.abs("corr") >= limit).collect():
+        near.setdefault(r["fid_a"], set()).add(r["fid_b"])
+        near.setdefault(r["fid_b"], set()).add(r["fid_a"])
+    kept: dict[int, None] = {}
     for f in sorted(fitness, key=lambda f: -fitness[f]):
-        if all(corr.get((min(f, k), max(f, k)), 0.0) < limit for k in kept):
-            kept.append(f)
-    return kept
+        if not near.get(f, set()) & kept.keys():
+            kept[f] = None
+    return list(kept)
 
 
 def combine_trees(panel: DataFrame, trees: Sequence[Node], train_end: str | None = None, horizon: int = 1, registry: Registry | None = None) -> DataFrame:

@@ -26,6 +26,25 @@ def _full(x: Column, w: int, value: Column, also: Column | None = None) -> Colum
     return F.when(ok if also is None else ok & (F.count(also).over(trailing(w)) == w), value)
 
 
+#: Windows up to this many rows are summed row by row; longer ones are differences of running sums.
+SHORT = 32
+
+
+def _decayed(a: Column, w: int) -> Column:
+    """The last ``w`` rows' sum, the newest times w and the oldest times 1: from sums of x and of x times its place
+    in the line. A running sum's cost is the same for any window; where the window is short, summing it is cheap and
+    loses no digits to what came long before."""
+    place = F.row_number().over(by_symbol()).cast("double")
+    x = F.coalesce(a, F.lit(0.0))
+    before = place - w
+    if w <= SHORT:
+        return F.sum(a * place).over(trailing(w)) - before * F.sum(a).over(trailing(w))
+    running = by_symbol().rowsBetween(Window.unboundedPreceding, 0)
+    ahead = by_symbol().rowsBetween(Window.unboundedPreceding, -w)
+    since = lambda c: F.sum(c).over(running) - F.coalesce(F.sum(c).over(ahead), F.lit(0.0))
+    return since(x * place) - before * since(x)
+
+
 def _time(name: str, x: list[Column], w: int) -> Column:
     if name == "delay":
         return F.lag(x[0], w).over(by_symbol()) if w else x[0]
@@ -43,8 +62,7 @@ def _time(name: str, x: list[Column], w: int) -> Column:
         seen = F.collect_list(a).over(over)
         return _full(a, w, F.size(F.filter(seen, lambda v: v <= a)) / F.lit(float(w)))
     if name == "decay_linear":
-        total = sum((F.lag(a, j).over(by_symbol()) if j else a) * float(w - j) for j in range(w))
-        return _full(a, w, total / F.lit(w * (w + 1) / 2))
+        return _full(a, w, _decayed(a, w) / F.lit(w * (w + 1) / 2))
     f = {"ts_mean": F.avg, "ts_std": F.stddev_samp, "ts_sum": F.sum, "ts_min": F.min, "ts_max": F.max}[name]
     return _full(a, w, nn(f(a).over(over)))
 
