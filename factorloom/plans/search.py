@@ -7,11 +7,14 @@ import random
 import time
 from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field, fields
+from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import lineage as lineage_table
 from ..operators.score import score_batch
+from ..sources import files
 from .expr import BOOL, OPERANDS, SCALAR, SCALARS, SERIES, SIGNAL, WINDOW, WINDOWS, ExprError, Node, Registry, from_dict, is_subtype, positions, replace_at, simplify, to_dict, to_json
 
 
@@ -104,6 +107,50 @@ class Individual:
     id: int = -1
 
 
+def tree_key(tree: Node) -> str:
+    """A tree's identity: the hash of its canonical form."""
+    return sha256(to_json(tree).encode()).hexdigest()
+
+
+def panel_key(panel: DataFrame) -> str:
+    """A hash of a panel's rows, in any order."""
+    h = F.xxhash64(*(F.col(c) for c in sorted(panel.columns)))
+    r = panel.agg(F.count("*"), F.sum(h.cast("decimal(38,0)"))).first()
+    return f"{r[0]}:{r[1]}"
+
+
+@dataclass
+class ScoreMemo:
+    """Scores of trees as a table: scope (panel and scoring), run, tree (a hash), fitness, ic.
+
+    Runs and sessions share it. Rows are only added, a file an addition, and equal ones count once, so an
+    addition that is made again changes nothing.
+    """
+
+    spark: SparkSession
+    path: str
+    SCHEMA = "run string, tree string, fitness double, ic double, scope string"
+
+    def _rows(self, scope: str) -> DataFrame:
+        there = files.exists(self.spark, self.path)
+        return (self.spark.read.schema(self.SCHEMA).parquet(self.path) if there else self.spark.createDataFrame([], self.SCHEMA)).where(F.col("scope") == scope)
+
+    def find(self, scope: str, trees: Sequence[str]) -> dict[str, tuple[float, float]]:
+        """Those of ``trees`` that any run has scored."""
+        asked = self.spark.createDataFrame([(t,) for t in trees], "tree string")
+        rows = self._rows(scope).join(asked, "tree", "left_semi").select("tree", "fitness", "ic").distinct().collect()
+        return {r["tree"]: (r["fitness"], r["ic"]) for r in rows}
+
+    def of_run(self, scope: str, run: str) -> dict[str, tuple[float, float]]:
+        rows = self._rows(scope).where(F.col("run") == run).select("tree", "fitness", "ic").distinct().collect()
+        return {r["tree"]: (r["fitness"], r["ic"]) for r in rows}
+
+    def add(self, scope: str, run: str, scores: dict[str, tuple[float, float]]) -> None:
+        if scores:
+            rows = [(run, t, f, ic, scope) for t, (f, ic) in scores.items()]
+            self.spark.createDataFrame(rows, self.SCHEMA).coalesce(1).write.mode("append").partitionBy("scope").parquet(self.path)
+
+
 @dataclass
 class Search:
     """A seeded run over one panel. State can be saved after each generation and taken up again."""
@@ -112,10 +159,14 @@ class Search:
     config: Config
     registry: Registry = field(default_factory=Registry)
     run_id: str = "run"
+    #: Scores that other runs over the same panel share, and that outlive this one.
+    memo: ScoreMemo | None = None
 
     def __post_init__(self) -> None:
         self.rng = random.Random(self.config.seed)
+        #: Trees tried by this run, by tree_key().
         self.known: dict[str, tuple[float, float]] = {}
+        self._scope: str | None = None
         self.prior_trials, self.generation = 0, 0
         self.population: list[Individual] = []
         self.history: list[dict] = []
@@ -130,17 +181,33 @@ class Search:
     def trials(self) -> int:
         return self.prior_trials + len(self.known)
 
+    def scope(self) -> str:
+        """What a score depends on besides the tree: the panel's rows and how they are scored."""
+        if self._scope is None:
+            c = self.config
+            macros = {k: to_dict(m.body) for k, m in sorted(self.registry.macros.items())}
+            self._scope = sha256(json.dumps([panel_key(self.panel), c.parsimony, c.ic_method, c.min_names, c.horizon, macros]).encode()).hexdigest()
+        return self._scope
+
     def score(self, trees: Sequence[Node]) -> list[tuple[float, float]]:
-        """(fitness, ic) of each; a tree scored before isn't scored again. Fitness is rounded, so that noise
-        of floating point doesn't turn tournaments."""
-        new = list({to_json(t): t for t in trees if to_json(t) not in self.known}.items())
-        c = self.config
-        for at in range(0, len(new), c.chunk):
-            part = new[at : at + c.chunk]
+        """(fitness, ic) of each; a tree scored before, by this run or by one that shares its memo, isn't scored
+        again. Fitness is rounded, so that noise of floating point doesn't turn tournaments."""
+        keys = [tree_key(t) for t in trees]
+        new = {k: t for k, t in zip(keys, trees, strict=True) if k not in self.known}
+        if self.memo and new:
+            found = self.memo.find(self.scope(), list(new))
+            self.memo.add(self.scope(), self.run_id, found)
+            self.known |= found
+            new = {k: t for k, t in new.items() if k not in found}
+        c, left = self.config, list(new.items())
+        for at in range(0, len(left), c.chunk):
+            part = left[at : at + c.chunk]
             rows = score_batch(self.panel, [t for _, t in part], c.parsimony, c.ic_method, c.min_names, c.horizon, self.registry).collect()
-            for r in rows:
-                self.known[part[r["fid"]][0]] = (round(r["fitness"], 12), round(r["ic"], 12))
-        return [self.known[to_json(t)] for t in trees]
+            scored = {part[r["fid"]][0]: (round(r["fitness"], 12), round(r["ic"], 12)) for r in rows}
+            if self.memo:
+                self.memo.add(self.scope(), self.run_id, scored)
+            self.known |= scored
+        return [self.known[k] for k in keys]
 
     def validate_seed(self, tree: Node) -> Node:
         self.registry.validate(tree)
@@ -167,7 +234,7 @@ class Search:
         path, slot, old = self.rng.choice(list(positions(a, self.registry)))
         depth, nodes = self.config.max_depth - len(path), self.config.max_nodes - (a.size - old.size)
         try:
-            child = replace_at(a, path, self.generate.tree(slot, min(depth, 3), nodes, False))
+            child = replace_at(a, path, self.generate.tree(slot, depth, nodes, False))
         except ExprError:
             return a
         return child if self._fits(child) else a
@@ -195,19 +262,23 @@ class Search:
             tree, ops = self._mutate_point(tree), [*ops, "point_mut"]
         return tree, parents, "+".join(ops)
 
-    def _adopt(self, entries: list[tuple[Node, list[int], str]]) -> None:
+    def _adopt(self, entries: list[tuple[Node, list[int], str]], generation: int) -> None:
         ids = [p.id for p in self.population]
-        scores = self.score([t for t, _, _ in entries])
+        scores = self.score([t for t, _, _ in entries])  # nothing changes before all are scored
+        self.generation = generation
         self.population = [Individual(t, f, ic, len(self.records) + k) for k, ((t, _, _), (f, ic)) in enumerate(zip(entries, scores, strict=True))]
         self.records += [(self.run_id, p.id, self.generation, op, [ids[i] for i in parents], to_json(p.tree), p.fitness) for p, (_, parents, op) in zip(self.population, entries, strict=True)]
         fit = [p.fitness for p in self.population]
-        self.history.append({"generation": self.generation, "best": max(fit), "mean": sum(fit) / len(fit), "trials": self.trials})
+        self.history.append({"generation": self.generation, "best": max(fit), "mean": sum(fit) / len(fit), "best_ic": self.population[fit.index(max(fit))].ic, "trials": self.trials})
 
     def initialize(self, seeds: Sequence[Node] = ()) -> None:
+        """The first generation: seeds, then random trees. Raises if there are more seeds than places."""
         c = self.config
-        trees = [*map(self.validate_seed, seeds)][: c.population_size]
+        trees = [*map(self.validate_seed, seeds)]
+        if len(trees) > c.population_size:
+            raise ValueError(f"{len(trees)} seeds for a population of {c.population_size}")
         new = self.generate.ramped(c.population_size - len(trees), c.min_depth, c.max_depth)
-        self._adopt([*((t, [], "seed") for t in trees), *((t, [], "init") for t in new)])
+        self._adopt([*((t, [], "seed") for t in trees), *((t, [], "init") for t in new)], 0)
 
     def step(self) -> None:
         """All children are bred first (breeding needs only the parents' fitness), then scored together."""
@@ -216,8 +287,7 @@ class Search:
         entries = [(self.population[i].tree, [i], "elite") for i in order[: c.elitism]]
         while len(entries) < c.population_size:
             entries.append(self._offspring())
-        self.generation += 1
-        self._adopt(entries)
+        self._adopt(entries, self.generation + 1)
 
     def run(self, seeds: Sequence[Node] = (), stop: Callable[[], bool] | None = None, observe: Callable[[dict], None] | None = None) -> Individual:
         """To the last generation, or until ``stop`` or the time budget; ``observe`` gets each one's figures."""
@@ -229,7 +299,14 @@ class Search:
         while self.generation < self.config.generations and not (stop and stop()):
             if self.config.time_budget_s is not None and time.monotonic() - began > self.config.time_budget_s:
                 break
-            self.step()
+            before = self.rng.getstate()
+            try:
+                self.step()
+            except Exception:
+                if not (stop and stop()):
+                    raise
+                self.rng.setstate(before)  # its jobs were interrupted: the run ends with the generation before
+                break
             seen(self.progress())
         return self.best()
 
@@ -246,7 +323,7 @@ class Search:
     def rescore(self) -> None:
         """Scores the population anew (after a change of panel or scoring); trials so far still count."""
         self.prior_trials += len(self.known)
-        self.known = {}
+        self.known, self._scope = {}, None
         for p, (f, ic) in zip(self.population, self.score([p.tree for p in self.population]), strict=True):
             p.fitness, p.ic = f, ic
 
@@ -261,13 +338,17 @@ class Search:
         })
 
     @classmethod
-    def load(cls, panel: DataFrame, text: str, registry: Registry | None = None, config: Config | None = None) -> Search:
-        """Takes a run up; with a new ``config`` the generator's limits follow it."""
+    def load(cls, panel: DataFrame, text: str, registry: Registry | None = None, config: Config | None = None, memo: ScoreMemo | None = None) -> Search:
+        """Takes a run up; with a new ``config`` the generator's limits follow it. With a memo, trees that the run
+        has tried under the same scoring are known: they are neither scored nor counted again."""
         d = json.loads(text)
-        s = cls(panel, config or Config.from_dict(d["config"]), registry or Registry(), d["run_id"])
+        s = cls(panel, config or Config.from_dict(d["config"]), registry or Registry(), d["run_id"], memo)
         s.rng.setstate((d["rng"][0], tuple(d["rng"][1]), d["rng"][2]))
         s.generation, s.history, s.prior_trials = d["generation"], d["history"], d["trials"]
         s.population = [Individual(from_dict(p["tree"]), p["fitness"], p["ic"], p["id"]) for p in d["population"]]
         s.records = [tuple(r) for r in d["records"]]
         s._generator()
+        if memo:
+            s.known = memo.of_run(s.scope(), s.run_id)
+            s.prior_trials = max(0, s.prior_trials - len(s.known))
         return s

@@ -611,8 +611,8 @@ def score_batch(spark, sf_dir):
 
 @_query()
 def gp_search(spark, sf_dir):
-    """A short search (8 trees, one generation): the operator's default of 200 by 25 takes some hours."""
-    s = Search(events_panel(spark, sf_dir).cache(), Config(population_size=8, generations=1, max_depth=3, max_nodes=12, seed=1))
+    """A small search (16 trees, two generations, depth 4, 20 nodes); the operator's default is 200 by 25."""
+    s = Search(events_panel(spark, sf_dir).cache(), Config(population_size=16, generations=2, max_depth=4, max_nodes=20, seed=1))
     s.run()
     s.panel.unpersist()
     return s.lineage(spark)
