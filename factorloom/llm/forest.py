@@ -34,6 +34,8 @@ FIRST_ORDERS, NEIGHBOURS = 12, 2
 LARGE, LARGE_SHINGLES = 2048, 1 << 22
 #: Standard deviations by which the share of equal minima may fall short of the similarity in a pair that is taken up.
 SLACK = 5.3
+#: Bits of the filter that keeps texts that aren't asked for out of shuffles: two megabytes, whatever the input.
+FILTER_BITS = 1 << 24
 #: Shingles permuted at a time.
 _CHUNK = 1 << 9
 
@@ -217,6 +219,19 @@ def stars(links: DataFrame, name: str) -> DataFrame:
         state = written(hang.join(ups, "root", "left").select("node", F.coalesce("up", "root").alias("root")).mapInArrow(_local, "node bigint, root bigint"), name)
 
 
+def filtered(rows: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    """``rows`` without most of those whose ``key`` isn't in ``asked``: by a broadcast bitmap of hashes of FILTER_BITS bits.
+
+    No asked row is lost; how many others pass depends on how full the bitmap is.
+    """
+    bit = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    page, place = F.floor(bit / 32768).cast("int"), F.pmod(bit, F.lit(32768)).cast("int")
+    pages = asked.groupBy(page.alias("__page")).agg(F.bitmap_construct_agg(place).alias("__bits"))
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = rows.withColumn("__page", page).join(F.broadcast(pages), "__page")
+    return held.where(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), F.pmod(place, F.lit(8)))) != 0).select(*rows.columns)
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, similarity: tuple[int, int] = SIMILARITY,
     depths: tuple[int, ...] = DEPTHS, large: int = LARGE, large_shingles: int = LARGE_SHINGLES,
@@ -244,12 +259,15 @@ def near_duplicates(
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     id_type = d.schema["id"].dataType.simpleString()
     width = depths[0] * trees(depths[0], similarity)
-    d = written(d.mapInArrow(partial(_sketched, words=words, n=width), f"id {id_type}, fp bigint, n bigint, ring binary, text string"), "forest")
-    distinct = d.where("n > 0").groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), F.first("ring").alias("ring"))
+    d = d.mapInArrow(partial(_sketched, words=words, n=width), f"id {id_type}, fp bigint, n bigint, ring binary, text string")
+    d = written(d.withColumn("row", F.monotonically_increasing_id()), "forest")
+    distinct = d.where("n > 0").groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), F.first("ring").alias("ring"), F.min("row").alias("row"))
     distinct = written(distinct, "forest-distinct")
 
     def texts(fps: DataFrame) -> DataFrame:
-        return d.select("fp", "n", "text").join(fps, "fp", "left_semi").groupBy("fp").agg(F.first("n").alias("n"), F.first("text").alias("text"))
+        """One row of each, and no copies of it: only texts that are asked for move."""
+        asked = written(distinct.select("fp", "row").join(fps, "fp", "left_semi").select("row"), "forest-asked")
+        return filtered(d.select("row", "fp", "n", "text"), asked, "row").join(asked, "row", "left_semi").select("fp", "n", "text")
 
     def sets(fps: DataFrame) -> DataFrame:
         return written(texts(fps).select("fp", "text").mapInArrow(partial(_sets, words=words), "fp bigint, set binary"), "forest-sets", "uncompressed")

@@ -97,6 +97,14 @@ def test_near_duplicates(spark, options):
     assert found(forest.near_duplicates(table(spark, rows), **options)) == brute(rows)
 
 
+def test_filter_loses_no_row(spark, monkeypatch):
+    rows, asked = spark.range(5000).withColumnRenamed("id", "row"), spark.range(0, 5000, 50).withColumnRenamed("id", "row")
+    for bits, most in ((1 << 24, 110), (1 << 10, 1000)):
+        monkeypatch.setattr(forest, "FILTER_BITS", bits)
+        got = {r["row"] for r in forest.filtered(rows, asked, "row").collect()}
+        assert got >= set(range(0, 5000, 50)) and len(got) <= most
+
+
 def test_none(spark):
     assert forest.near_duplicates(table(spark, [])).collect() == []
     assert found(forest.near_duplicates(table(spark, [(1, None), (None, " ")]))) == sorted([str((1, 0, 1, True)), str((None, 0, None, True))])
