@@ -11,8 +11,8 @@ from pyspark.sql.window import Window
 
 from .common import partitions, written
 
-#: Words to a block of the schedule, about.
-BLOCK_WORDS = 256
+#: Words to a block of the schedule, at most; and slots that a smaller mix has by smaller blocks.
+BLOCK_WORDS, LEAST_SLOTS = 256, 1 << 14
 #: Most times that a source's words are used.
 MOST_EPOCHS = 3
 
@@ -44,6 +44,12 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = (1
     return out
 
 
+def block_size(total: int, most: int = BLOCK_WORDS) -> int:
+    """Words to a block: small enough that a mix has LEAST_SLOTS slots, so that the few slots by which a source's
+    number strays from its share are few words of its target."""
+    return max(1, min(most, total // LEAST_SLOTS))
+
+
 def source_plan(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = (1, 2, 3), block_words: int = BLOCK_WORDS, most: int = MOST_EPOCHS) -> list[tuple]:
     """A row for each source: number, source, size, target, blocks, from, to, whole, part.
 
@@ -66,6 +72,18 @@ def source_plan(sizes: list[tuple[str | None, int]], weights: tuple[float, ...]
     return [(*r[:5], r[5] / at if at else 0.0, r[6] / at if at else 0.0, *r[7:]) for r in rows]
 
 
+def settled(got: Column, whole: Column, part: Column, most: Column) -> tuple[Column, Column]:
+    """Whole blocks, and words of one more, that a source with ``got`` slots takes: the last block alone is settled.
+
+    A source that is short takes one block, or the part that it lacks, after the last slot; one that has more gives
+    up its last block, or what is beyond the target of it. What then is left is the schedule's. ``most``: all blocks of
+    all epochs.
+    """
+    blocks = F.when(got < whole, got + 1).when(got <= whole + 1, whole).otherwise(got - 1)
+    words = F.when((got == whole) | (got == whole + 1), part).otherwise(F.lit(0))
+    return F.least(blocks, most), F.when(blocks < most, words).otherwise(F.lit(0))
+
+
 def schedule(plan: DataFrame, slots: int, n: int) -> DataFrame:
     """The mix, slot by slot: id (from 1) and the source __s in whose interval the slot's van der Corput point falls.
 
@@ -90,16 +108,17 @@ def _block_of(word: Column, size: Column, blocks: Column) -> Column:
     return F.when(word < head, F.floor(word / (base + 1))).otherwise(size - base * blocks + F.floor((word - head) / base))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), block_words: int = BLOCK_WORDS, most: int = MOST_EPOCHS, alike: tuple[str, ...] = ()) -> DataFrame:
-    """How many words of each document the mix takes: id_col, source, size, source_size,
-    target, taken, row_hash, row_check (two hashes of id, source, text and the columns ``alike``).
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), block_words: int | None = None, most: int = MOST_EPOCHS, alike: tuple[str, ...] = ()) -> DataFrame:
+    """How many words of each document the mix takes, and when: id_col, source, size, source_size,
+    target, taken, first_slot (null if none are taken), slots (that take some), row_hash, row_check (two hashes of
+    id, source, text and the columns ``alike``).
 
     Each source's documents are put in a hashed order, and their line of words is cut into equal blocks
-    (source_plan). Slot t of the mix belongs to the source in whose interval the t-th van der Corput
-    point falls; the r-th slot of a source takes its r-th block, and begins again after the last. Points
-    fall in an interval to within a few slots of its share, so at the end a source that is short of its
-    target takes its next blocks, the last one in part, and one beyond it gives up its last slots: what
-    is taken of a source is its target to within a word, however small the source.
+    (source_plan; of block_size() words if ``block_words`` isn't given). Slot t of the mix belongs to the source
+    in whose interval the t-th van der Corput point falls; the r-th slot of a source takes its r-th block, and
+    begins again after the last. What a source gets is what its slots hold, but for the last block (settled()): the
+    points of any first n slots fall in an interval to within log2(n) + 1 slots of its share, so sources come
+    as near to their targets, and the mix is even from its first slot to its last.
 
     Null text: no words. Null source: a source of its own. Repeated rows, and rows without id, count each
     for itself; among equal rows it isn't said which has the words. Texts count whole, whatever their
@@ -109,19 +128,27 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ranked in two levels too, so a source with most rows fills no single task. Only figures per source
     come to the driver.
     """
+    placed, taken = _dealt(docs, id_col, text_col, source_col, weights, block_words, most, alike)
+    sums = taken.groupBy("__row").agg(F.sum("__words").alias("taken"), F.min("__slot").alias("first_slot"), F.sum("__slots").alias("slots"))
+    out = placed.join(sums, "__row", "left")
+    return out.select(F.col("__id").alias(id_col), "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), "first_slot", F.coalesce("slots", F.lit(0)).cast("bigint").alias("slots"), F.col("__h").alias("row_hash"), F.col("__c").alias("row_check"))
+
+
+def _dealt(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], block_words: int | None, most: int, alike: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Documents by __row in their source's line, and what is taken of them: (__row, __epoch, __words, __slot, __slots)."""
     spark = docs.sparkSession
     n = partitions(docs)
     same = [F.col(id_col), F.col(source_col), F.col(text_col), *(F.col(c) for c in alike)]
     d = docs.select(F.col(id_col).alias("__id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.lit(17), *same).alias("__h"), F.xxhash64(F.lit(18), *same).alias("__c"))
     d = written(d.withColumn("__range", F.least(F.floor((F.col("__h").cast("double") / F.lit(2.0**64) + 0.5) * n), F.lit(n - 1)).cast("int")), "mix-sizes")
     by_source = [(r["source"], r["n"]) for r in d.groupBy("source").agg(F.sum("size").alias("n")).collect()]
-    planned = source_plan(by_source, weights, block_words, most)
+    planned = source_plan(by_source, weights, block_words or block_size(sum(k for _, k in by_source)), most)
     plan = spark.createDataFrame(planned, "__s int, source string, source_size bigint, target double, __blocks bigint, __from double, __to double, __whole bigint, __part bigint")
     plan = written(plan, "mix-plan")
     slots = sum(r[7] for r in planned)
-    d = d.join(plan, d["source"].eqNullSafe(plan["source"])).select(d["*"], "__s", "source_size", "__blocks", "target", "__whole", "__part")
 
     # Each document's first word in its source's order.
+    d = d.join(plan, d["source"].eqNullSafe(plan["source"])).select(d["*"], "__s", "source_size", "__blocks", "target")
     ranges = d.groupBy("__s", "__range").agg(F.sum("size").alias("__n"))
     ranges = ranges.select("__s", "__range", (F.sum("__n").over(Window.partitionBy("__s").orderBy("__range")) - F.col("__n")).alias("__base"))
     w = Window.partitionBy("__s", "__range").orderBy("__h", "__c", F.col("__id").asc_nulls_last(), "size")
@@ -129,28 +156,29 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     placed = placed.join(ranges, ["__s", "__range"]).withColumn("__start", F.col("__base") + F.col("__in"))
     placed = written(placed.drop("__range", "__base", "__in").withColumn("__row", F.monotonically_increasing_id()), "mix-placed")
 
-    # The schedule: slot -> source -> rank -> block.
+    # The schedule: slot -> source -> rank -> block; then what each source takes of its slots.
     dealt = schedule(plan, slots, n).withColumn("__chunk", F.floor((F.col("id") - 1) / max(1, -(-slots // n))).cast("int"))
     counts = dealt.groupBy("__s", "__chunk").agg(F.count("*").alias("__n"))
     counts = written(counts.select("__s", "__chunk", "__n", (F.sum("__n").over(Window.partitionBy("__s").orderBy("__chunk")) - F.col("__n")).alias("__base")), "mix-counts")
     rank = F.row_number().over(Window.partitionBy("__s", "__chunk").orderBy("id"))
-    ranked = dealt.withColumn("__r", rank).join(counts.drop("__n"), ["__s", "__chunk"]).select("__s", (F.col("__base") + F.col("__r") - 1).alias("__r"))
-    got = plan.join(counts.groupBy("__s").agg(F.sum("__n").alias("__got")), "__s", "left").where("coalesce(__got, 0) < __whole")
-    missing = got.select("__s", F.explode(F.sequence(F.coalesce("__got", F.lit(0).cast("bigint")), F.col("__whole") - 1)).alias("__r"))
-    ranked = ranked.unionByName(missing).join(plan.select("__s", "__blocks", "__whole"), "__s").where("__r < __whole")
-    uses = ranked.groupBy("__s", (F.col("__r") % F.col("__blocks")).alias("__block")).agg(F.count("*").alias("__uses"))
-
-    # Each document's words by block, joined to the uses of that block; the last block is taken in part.
+    ranked = dealt.withColumn("__r", rank).join(counts.drop("__n"), ["__s", "__chunk"]).select("__s", (F.col("__base") + F.col("__r") - 1).alias("__r"), F.col("id").alias("__slot"))
+    shares = plan.join(counts.groupBy("__s").agg(F.sum("__n").alias("__dealt")), "__s", "left").withColumn("__dealt", F.coalesce("__dealt", F.lit(0)))
+    full, rest = settled(F.col("__dealt"), F.col("__whole"), F.col("__part"), F.col("__blocks") * most)
+    shares = written(shares.select("__s", "__blocks", "__dealt", full.alias("__full"), rest.cast("bigint").alias("__rest")), "mix-shares")
+    short = F.col("__full") + F.when(F.col("__rest") > 0, 1).otherwise(0) > F.col("__dealt")
+    added = shares.where(short).select("__s", F.col("__dealt").alias("__r"), (F.lit(slots + 1) + F.col("__s")).cast("bigint").alias("__slot"))
+    uses = ranked.unionByName(added).join(shares, "__s").where("__r < __full or (__r = __full and __rest > 0)")
+    uses = uses.select("__s", (F.col("__r") % F.col("__blocks")).alias("__block"), F.floor(F.col("__r") / F.col("__blocks")).alias("__epoch"), "__slot", F.when(F.col("__r") == F.col("__full"), F.col("__rest")).alias("__cut"))
+
+    # Each document's words by block, joined to the slots of that block; the last block may be taken in part.
     size, blocks = F.col("source_size"), F.col("__blocks")
     first, last = _block_of(F.col("__start"), size, blocks), _block_of(F.col("__start") + F.col("size") - 1, size, blocks)
-    parts = placed.where("size > 0").select("*", F.explode(F.sequence(first, last)).alias("__block"))
-    words = lambda lo, hi: F.greatest(F.least(F.col("__start") + F.col("size"), hi) - F.greatest(F.col("__start"), lo), F.lit(0))
+    parts = placed.where("size > 0").select("__row", "__s", "__start", "size", "source_size", "__blocks", F.explode(F.sequence(first, last)).alias("__block"))
     lo, hi = _starts(F.col("__block"), size, blocks), _starts(F.col("__block") + 1, size, blocks)
-    started = F.when(F.col("__block") == F.col("__whole") % blocks, words(lo, lo + F.col("__part"))).otherwise(F.lit(0))
-    parts = parts.select("__row", "__s", "__block", words(lo, hi).alias("__words"), started.alias("__started"))
-    sums = parts.join(uses, ["__s", "__block"], "left").groupBy("__row").agg(F.sum(F.col("__words") * F.coalesce("__uses", F.lit(0)) + F.col("__started")).alias("__taken"))
-    out = placed.join(sums, "__row", "left")
-    return out.select(F.col("__id").alias(id_col), "source", "size", "source_size", "target", F.coalesce("__taken", F.lit(0)).cast("bigint").alias("taken"), F.col("__h").alias("row_hash"), F.col("__c").alias("row_check"))
+    until = F.when(F.col("__cut").isNotNull(), lo + F.col("__cut")).otherwise(hi)
+    words = F.greatest(F.least(F.col("__start") + F.col("size"), until) - F.greatest(F.col("__start"), lo), F.lit(0))
+    taken = parts.join(uses, ["__s", "__block"]).select("__row", "__epoch", "__slot", words.alias("__words")).where("__words > 0")
+    return placed, taken.groupBy("__row", "__epoch").agg(F.sum("__words").alias("__words"), F.min("__slot").alias("__slot"), F.count("*").alias("__slots"))
 
 
 def van_der_corput(slot: Column) -> Column:
@@ -170,18 +198,17 @@ def leading_words(text: str, n: int) -> str:
     return text
 
 
-def taken_text(docs: DataFrame, columns: tuple[str, ...], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mix as rows: a row of ``columns`` for each time that a document is taken whole, and one for the words
-    of its started block (in the line of a source these are a document's leading words).
+def taken_text(docs: DataFrame, columns: tuple[str, ...], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), block_words: int | None = None, most: int = MOST_EPOCHS) -> DataFrame:
+    """The mix as rows in the order of its slots: a row of ``columns`` for each time that a document is taken, at the
+    slot that takes its first words; the last time perhaps in part (its leading words).
 
     Rows alike in all of ``columns`` are as one that is taken as often as they are together, so no word is
     lost. Documents that nothing is taken of go; those without words take none. Null texts and empty
     tables give no rows. Columns not in ``columns`` are not read.
     """
-    mixed = mix(docs, id_col, text_col, source_col, alike=columns, **options)
+    placed, taken = _dealt(docs, id_col, text_col, source_col, weights, block_words, most, columns)
+    uses = taken.join(placed.select("__row", "__h", "__c", "size"), "__row").select("__h", "__c", "__slot", "__words", (F.col("__words") < F.col("size")).alias("__part"))
     keys = ["__h", "__c"]
-    uses = mixed.where("taken > 0").select(F.col("row_hash").alias("__h"), F.col("row_check").alias("__c"), F.floor(F.col("taken") / F.col("size")).alias("__n"), (F.col("taken") % F.col("size")).alias("__rest"))
-    uses = uses.groupBy(*keys).agg(F.sum("__n").alias("__n"), F.max("__rest").alias("__rest"))
     same = [F.col(id_col), F.col(source_col), F.col(text_col), *(F.col(c) for c in columns)]
     j = docs.select(*columns, F.xxhash64(F.lit(17), *same).alias("__h"), F.xxhash64(F.lit(18), *same).alias("__c")).dropDuplicates(keys).join(uses, keys)
 
@@ -189,6 +216,6 @@ def taken_text(docs: DataFrame, columns: tuple[str, ...], id_col: str = "doc_id"
     def cut(text: pd.Series, words: pd.Series) -> pd.Series:
         return pd.Series([leading_words(t, n) for t, n in zip(text, words, strict=True)])
 
-    whole = j.where("__n > 0").select(*columns, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__n"))).alias("__copy")).select(*columns)
-    part = j.where("__rest > 0").withColumn(text_col, cut(F.col(text_col), "__rest")).select(*columns)
-    return whole.unionByName(part)
+    whole = j.where("not __part").select(*columns, "__slot", *keys)
+    part = j.where("__part").withColumn(text_col, cut(F.col(text_col), "__words")).select(*columns, "__slot", *keys)
+    return whole.unionByName(part).orderBy("__slot", *keys).select(*columns)
