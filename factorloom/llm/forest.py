@@ -19,8 +19,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import Sets, join_copies, partitions, written
-from .minhash import agreement, shingles
-from .simhash import SEED
+from .simhash import _LOWER, SEED
 
 #: Words to a shingle; linked texts have a Jaccard similarity of at least this fraction.
 SHINGLE_WORDS, SIMILARITY = 5, (17, 20)
@@ -45,6 +44,26 @@ def trees(depth: int, similarity: tuple[int, int] = SIMILARITY, missed: float =
     return math.ceil(math.log(missed) / math.log1p(-((similarity[0] / similarity[1]) ** depth)))
 
 
+def shingles(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
+    """The set of a text's shingles as sorted XXH64 (seed 42), of the same words as SimHash takes."""
+    w = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    if not w:
+        return np.zeros(0, np.uint64)
+    digest = xxhash.xxh64_intdigest
+    if len(w) <= words:
+        return np.array([digest(b" ".join(w), SEED)], np.uint64)
+    return np.unique(np.fromiter((digest(b" ".join(s), SEED) for s in zip(*(w[i:] for i in range(words)), strict=False)), np.uint64, len(w) - words + 1))
+
+
+def agreement(some: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Of each of ``some`` (rows of bytes, one for each minimum) with each of ``others``: the share that is equal."""
+    out = np.empty((len(some), len(others)), np.float32)
+    step = max(1, (1 << 25) // max(1, others.size))
+    for at in range(0, len(some), step):
+        out[at : at + step] = (some[at : at + step, None, :] == others[None, :, :]).mean(2, dtype=np.float32)
+    return out
+
+
 def ring(h: np.ndarray, n: int, level: int = 0) -> bytes:
     """A byte for the least of ``h`` under each of ``n`` random orders. A tree's signature begins at its own place in the
     ring and goes on into the next tree's."""
@@ -234,7 +253,7 @@ def filtered(rows: DataFrame, asked: DataFrame, key: str) -> DataFrame:
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, similarity: tuple[int, int] = SIMILARITY,
-    depths: tuple[int, ...] = DEPTHS, large: int = LARGE, large_shingles: int = LARGE_SHINGLES,
+    depths: tuple[int, ...] = DEPTHS, large: int = LARGE, large_shingles: int = LARGE_SHINGLES, alike_empty: bool = False,
 ) -> DataFrame:
     """Groups documents that are linked by a Jaccard similarity of ``similarity`` or more of their sets of shingles.
 
@@ -251,7 +270,7 @@ def near_duplicates(
     ``large`` texts, and only links are given out.
 
     A text of fewer words than a shingle is one shingle as a whole. Null texts, and those without words, have an
-    empty set and are linked with nothing. Rows with a null id keep their row and take part; if no linked row
+    empty set and are linked with nothing (with ``alike_empty``: with each other). Rows with a null id keep their row and take part; if no linked row
     has an id, component_id is null. Repeated rows stay. Texts count whole, whatever their length. An empty
     table gives an empty result; other columns are not read, whatever their names.
     """
@@ -313,7 +332,12 @@ def near_duplicates(
     in_groups = reps.join(least, "root").select("fp", "component")
     named = written(distinct.select("fp", "rep", "copies").join(in_groups, "fp", "left").select("fp", "copies", F.coalesce("component", "rep").alias("component_id")), "forest-named")
     out = join_copies(d.where("n > 0").select("id", "n", "fp"), named, "fp").select("id", "n", "component_id")
-    out = out.unionByName(d.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
+    none = d.where("n = 0").select("id", "n")
+    if alike_empty:
+        none = none.crossJoin(F.broadcast(none.agg(F.min("id").alias("component_id"))))  # one row
+    else:
+        none = none.withColumn("component_id", F.col("id"))
+    out = out.unionByName(none)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
