@@ -16,7 +16,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from factorloom.llm import blocks, bpe, brown, common, fingerprints, lines, minhash, mixing, neighbours, quality, queries, simhash, substrings, token_store
+from factorloom.llm import blocks, bpe, brown, common, fingerprints, lines, mixing, neighbours, quality, queries, simhash, substrings, token_store
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, block bigint, part int, id string, data binary, fp bigint, size bigint, target double, rank int, score double"
 WORDS = ["the", "of", "Und", "éauré", "thering", "ention", "a", "ing.", "is,", "x1", "zu", "nicht"]
@@ -444,47 +444,13 @@ def test_near_dedup_stage(spark, docs, empty, odd):
     data = list(enumerate(data))
     want = brute_jaccard(data)
     df = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in data], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(4)
-    assert by_id(minhash.near_duplicates(df), "doc_id", "component_id") == [(k, want.root(k)) for k, _ in data]
+    assert by_id(pipeline.linked(df), "doc_id", "component_id") == [(k, want.root(k)) for k, _ in data]
     kept = pipeline.STAGES[2][1](spark, df, "")
     assert {r.doc_id for r in kept.collect()} == {want.root(k) for k, _ in data}
     want = brute_jaccard(ordered())
-    assert by_id(minhash.near_duplicates(docs), "doc_id", "component_id") == [(k, want.root(k)) for k, _ in ordered()]
-    assert minhash.near_duplicates(empty).count() == 0
-    assert {r.component_id for r in minhash.near_duplicates(odd).where("doc_id is null").collect()} == {None}
-
-
-def test_buckets_are_settled():
-    """Links of one bucket leave the same components as all pairs; what is joined before isn't linked again."""
-    rng = random.Random(6)
-    texts_ = []
-    for _ in range(4):
-        base = [f"w{rng.randrange(500)}" for _ in range(120)]
-        for _ in range(25):
-            new = list(base)
-            for _ in range(rng.randrange(6)):
-                new[rng.randrange(120)] = f"x{rng.randrange(9999)}"
-            texts_.append(" ".join(new))
-            base = new if rng.random() < 0.3 else base
-    sets = [minhash.shingles(t) for t in texts_]
-    sketch = np.stack([(minhash.minima(h) >> np.uint64(56)).astype(np.uint8) for h in sets])
-    assert np.allclose(minhash.agreement(sketch, sketch)[3], [(x == sketch[3]).mean() for x in sketch])
-    want, found = common.Sets(), common.Sets()
-    for i in range(100):
-        for j in range(i):
-            if minhash.similar(sets[i], sets[j]):
-                want.join(i, j)
-                if (i + j) % 3 == 0:
-                    found.join(i, j)
-    fp = np.arange(100)
-    before = np.array([found.root(i) for i in range(100)])
-    links = minhash.settle(fp, before, sketch, sets)
-    assert len(links) == len(set(before.tolist())) - len({want.root(i) for i in range(100)})
-    for a, b in links:
-        assert found.join(a, b)
-    assert [found.root(i) for i in range(100)] == [want.root(i) for i in range(100)]
-    batch = minhash.pa.RecordBatch.from_pydict({"key": [1] * 60 + [2] * 40, "fp": fp, "root": fp, "sketch": [s.tobytes() for s in sketch], "set": [s.tobytes() for s in sets]})
-    out = [(r["a"], r["b"]) for b in minhash._settled(iter([batch.slice(0, 35), batch.slice(35)])) for r in b.to_pylist()]
-    assert out == [x for i, j in ((0, 60), (60, 100)) for x in minhash.settle(fp[i:j], fp[i:j], sketch[i:j], sets[i:j])]
+    assert by_id(pipeline.linked(docs), "doc_id", "component_id") == [(k, want.root(k)) for k, _ in ordered()]
+    assert pipeline.linked(empty).count() == 0
+    assert {r.component_id for r in pipeline.linked(odd).where("doc_id is null").collect()} == {None}
 
 
 def test_components(spark):
