@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from statistics import NormalDist
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import lineage, overfit, panel, portfolio, score, splits
+from .plans import sessions
 from .plans.compile import Compiler, evaluate, evaluate_batch
 from .plans.expr import SERIES, WINDOW, Registry, parse
 from .plans.search import Config, Search
-from .sources import files
+from .sources import files, prices
 from .streaming.factors import FactorTable
 from .streaming.factors import stream_factors as stream_factors_of
 
@@ -259,6 +262,17 @@ def merge_prices(spark, sf_dir):
     return panel.merge(b, b.where("symbol % 2 = 0").withColumn("close", F.col("close") * 2))
 
 
+@_query(_with(_ACTIONS, "SELECT symbol, date, round(close * pa, 6) AS close, round(volume / nullif(sa, 0), 6) AS volume, round(pa, 6) AS price_adj, round(sa, 6) AS split_adj FROM adj"))
+def stored_prices(spark, sf_dir):
+    """Prices stored by symbol in two writes, the second over the first, and adjusted from there without a shuffle."""
+    rows = _actions(spark, sf_dir).withColumn("symbol", F.col("symbol").cast("string"))
+    path = files.scratch(spark, "prices")
+    prices.upsert(spark, path, rows.where("symbol % 3 < 2").withColumn("close", F.col("close") * 2), buckets=8)
+    stored = prices.upsert(spark, path, rows)
+    a = panel.adjust(stored).select(F.col("symbol").cast("bigint").alias("symbol"), "date", "close", "volume", "price_adj", "split_adj")
+    return _r(a, "close", "volume", "price_adj", "split_adj")
+
+
 @_query(_with(_BARS, "SELECT symbol, date, close, CASE WHEN symbol % 2 = 0 THEN 'first' ELSE 'second' END AS source FROM bars"))
 def first_source(spark, sf_dir):
     b = panel.event_bars(_table(spark, sf_dir, "events")).select("symbol", "date", "close")
@@ -408,6 +422,17 @@ def neutralize_size(spark, sf_dir):
     return _r(portfolio.neutralize(_values(spark, sf_dir), "value", size="volume").select("date", "symbol", "value"), "value")
 
 
+_SIZED = """SELECT date, symbol,
+  round(value - coalesce(sum(d * s) OVER (PARTITION BY date), 0) / nullif(sum(s * s) OVER (PARTITION BY date), 0) * s, 6) AS value FROM c"""
+
+
+@_query(_with(f"""{_VALUES}, g AS (SELECT date, symbol, volume, value - avg(value) OVER (PARTITION BY date, symbol % 5) AS value FROM vals),
+c AS (SELECT *, volume - avg(volume) OVER (PARTITION BY date) AS s, value - avg(value) OVER (PARTITION BY date) AS d FROM g)""", _SIZED))
+def neutralize_both(spark, sf_dir):
+    v = _values(spark, sf_dir).withColumn("grp", F.col("symbol") % 5)
+    return _r(portfolio.neutralize(v, "value", group="grp", size="volume").select("date", "symbol", "value"), "value")
+
+
 def _daily(ctes: str) -> str:
     return f"""{ctes}, ch AS (SELECT *, abs(weight - coalesce(lag(weight) OVER {_T}, 0)) AS c FROM w),
 day AS (SELECT date, coalesce(sum(weight * fwd), 0) AS gross, sum(c) AS turnover, sum(abs(weight)) AS exposure, count(*) FILTER (WHERE weight <> 0) AS names, max(abs(weight)) AS largest FROM ch GROUP BY date),
@@ -442,6 +467,21 @@ def backtest_summary(spark, sf_dir):
     return _r(portfolio.backtest(_values(spark, sf_dir)), *_DIGITS)
 
 
+_TEST_DATES = "tested AS (SELECT date FROM (SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM bars)) WHERE pos >= floor(n * 0.6) + floor(n * 0.2) + 2)"
+
+
+@_query(_with(_summary(_QW).replace("FROM net)", "FROM net WHERE date IN (SELECT date FROM tested))").replace(", eq AS", f", {_TEST_DATES}, eq AS"), f"SELECT {_FIGURES}"))
+def backtest_on_dates(spark, sf_dir):
+    """Weights and costs over the whole line, figures over the test dates."""
+    test = splits.time_split(_line(spark, sf_dir), embargo=1).where("segment = 'test'")
+    return _r(portfolio.backtest(_values(spark, sf_dir), dates=test), *_DIGITS)
+
+
+@_query(_with(_daily(_QW), "SELECT date, round(net, 6) AS ret FROM net"))
+def net_returns(spark, sf_dir):
+    return _r(sessions.net_returns(events_panel(spark, sf_dir), parse(_FACTOR)), "ret")
+
+
 @_query(f"SELECT 'quantile' AS scheme, * FROM ({_with(_summary(_QW), f'SELECT {_FIGURES}')}) UNION ALL SELECT 'rank', * FROM ({_with(_summary(_RW), f'SELECT {_FIGURES}')})")
 def compare_schemes(spark, sf_dir):
     return _r(portfolio.compare_schemes(_values(spark, sf_dir)), *_DIGITS)
@@ -582,13 +622,32 @@ def pbo(spark, sf_dir):
     return _r(spark.createDataFrame([tuple(got.values())], "pbo double, splits bigint, strategies bigint"), "pbo")
 
 
-@_query()
+#: The verdict on tree 0 beside all six, after 100 trials. The largest Sharpe expected of 100 trials takes the normal
+#: quantiles at 1 - 1 / 100 and 1 - 1 / (100 e); the normal distribution is a series.
+_JUDGE = f"""{_INNER}, line AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM bars)),
+research AS (SELECT date FROM line WHERE pos < floor(n * 0.6) OR (pos >= floor(n * 0.6) + 1 AND pos < floor(n * 0.6) + 1 + floor(n * 0.2))),
+tested AS (SELECT date FROM line WHERE pos >= floor(n * 0.6) + floor(n * 0.2) + 2),
+{_BATCH_IC.replace("FROM long WHERE", "FROM long WHERE date IN (SELECT date FROM tested) AND")},
+{_BATCH_RETURNS.replace("ret AS (SELECT fid", "ret_all AS (SELECT fid")},
+ret AS (SELECT * FROM ret_all WHERE date IN (SELECT date FROM research)),
+{_PBO.replace("line AS", "pbo_line AS").replace("JOIN line", "JOIN pbo_line")},
+m AS (SELECT fid, count(ret) AS n, avg(ret) AS mu, stddev_samp(ret) AS sd, stddev_pop(ret) AS sp FROM ret GROUP BY fid),
+g AS (SELECT m.fid, any_value(n) AS n, any_value(coalesce(mu / nullif(sd, 0), 0)) AS sr, avg(power(ret - mu, 3)) / power(any_value(sp), 3) AS g1, avg(power(ret - mu, 4)) / power(any_value(sp), 4) - 3 AS g2
+  FROM ret JOIN m ON m.fid = ret.fid GROUP BY m.fid),
+v AS (SELECT n, sr, sqrt(n * (n - 1)) / (n - 2) * g1 AS skew, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6) + 3 AS kurt, (SELECT var_samp(sr) FROM g) AS var FROM (SELECT fid, CAST(n AS DOUBLE) AS n, sr, g1, g2 FROM g) WHERE fid = 0),
+z AS (SELECT sr, (sr - sqrt(var) * ((1 - 0.5772156649015329) * 2.3263478740408408 + 0.5772156649015329 * {NormalDist().inv_cdf(1 - 1 / (100 * math.e))!r})) * sqrt(n - 1) / sqrt(greatest(1e-12, 1 - skew * sr + (kurt - 1) / 4 * sr * sr)) AS z FROM v),
+terms AS (SELECT range AS k, sum(ln(2 * range + 1)) OVER (ORDER BY range) AS l FROM range(300)),
+d AS (SELECT any_value(sr) AS sharpe, least(1, greatest(0, 0.5 + sum(sign(z) * exp((2 * k + 1) * ln(greatest(abs(z), 1e-300)) - z * z / 2 - l)) / sqrt(2 * pi()))) AS dsr FROM z, terms)"""
+
+
+@_query(_with(_JUDGE, """SELECT round((SELECT ic FROM s WHERE fid = 0), 6) AS oos_ic, round(sharpe, 6) AS sharpe, round(dsr, 6) AS dsr, round(p.pbo, 6) AS pbo, 100.0::DOUBLE AS trials,
+CASE WHEN dsr > 0.95 AND p.pbo < 0.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS significant FROM d, (SELECT avg(CASE WHEN rank / (strategies + 1) <= 0.5 THEN 1.0 ELSE 0.0 END) AS pbo FROM placed) p"""))
 def judge(spark, sf_dir):
     p = events_panel(spark, sf_dir)
     parts = splits.time_split(splits.date_line(p), embargo=1)
     trees = _trees()
     verdict = overfit.judge(p, trees[0], trees, parts.where("segment <> 'test'"), parts.where("segment = 'test'"), 100)
-    return spark.createDataFrame([{k: float(v) for k, v in verdict.items()}])
+    return _r(spark.createDataFrame([{k: float(v) for k, v in verdict.items()}]), "oos_ic", "sharpe", "dsr", "pbo")
 
 
 @_query(_with(f"{_INNER}, {_BATCH_CORR}", "SELECT fid_a, fid_b, round(corr, 6) AS corr FROM corr"))

@@ -9,6 +9,9 @@ from dataclasses import dataclass
 from datetime import UTC, datetime
 from pathlib import Path
 
+from pyspark.sql import SparkSession
+
+from . import files
 from ..plans.expr import CATEGORIES, ExprError, Node, Registry, from_dict, parse, to_dict
 
 
@@ -195,19 +198,27 @@ class FormulaStore:
 FOLDERS = {"prices": "prices", "universes": "universe", "sessions": "sessions", "factors": "factors", "workspaces": "workspaces", "lineage": "lineage"}
 
 
-def usage(home: Path) -> dict[str, dict[str, int]]:
-    """Files and bytes of each category of a data home."""
+def usage(home: Path | str, spark: SparkSession | None = None) -> dict[str, dict[str, int]]:
+    """Files and bytes of each category of a data home: on the driver's file system, or with a session on
+    whatever file system ``home`` names."""
     out = {}
     for key, folder in FOLDERS.items():
-        files = [p for p in (Path(home) / folder).rglob("*") if p.is_file()]
-        out[key] = {"files": len(files), "bytes": sum(p.stat().st_size for p in files)}
+        if spark:
+            size, count = files.size(spark, f"{str(home).rstrip('/')}/{folder}")
+        else:
+            own = [p for p in (Path(home) / folder).rglob("*") if p.is_file()]
+            size, count = sum(p.stat().st_size for p in own), len(own)
+        out[key] = {"files": count, "bytes": size}
     return out
 
 
-def clear(home: Path, category: str) -> None:
+def clear(home: Path | str, category: str, spark: SparkSession | None = None) -> None:
     """Empties one category's folder."""
     if category not in FOLDERS:
         raise ValueError(f"unknown category {category!r}")
+    if spark:
+        files.remove(spark, f"{str(home).rstrip('/')}/{FOLDERS[category]}")
+        return
     folder = Path(home) / FOLDERS[category]
     shutil.rmtree(folder, ignore_errors=True)
     folder.mkdir(parents=True)
