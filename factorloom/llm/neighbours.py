@@ -16,8 +16,8 @@ from .common import partitions, written
 
 #: Projections, the stopping test's confidence, vectors to a leaf.
 PROJECTIONS, CONFIDENCE, LEAF = 40, 0.85, 256
-#: Vectors that every query is compared with first, about: a random sample, from which bounds start.
-SAMPLE = 2048
+#: Vectors that every query is compared with first, about: a random sample, from which bounds start. Its share at most.
+SAMPLE, SAMPLE_SHARE = 2048, 0.125
 #: Most points, about, that the top of the tree is made from (TREE_POINTS for each of its cells, if fewer).
 TREE_SAMPLE, TREE_POINTS = 1 << 17, 16
 #: Vectors to a cell of the top of the tree; a cell with more is cut by a hash.
@@ -312,7 +312,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
         return spark.createDataFrame([], f"query_id bigint, rank int, `{id_col}` bigint, score double")
     cells = max(1, -(-n // CELL_ROWS))
     space = Space(dims, float(largest), projections)
-    first = F.col("u") < min(1.0, SAMPLE / n)
+    first = F.col("u") < min(SAMPLE_SHARE, SAMPLE / n)
     some = v.where(first).select("vec_id", "vec").toPandas()
     sample_ids = some["vec_id"].to_numpy(np.int64)
     sample = np.stack(some["vec"].to_numpy()).astype(np.float64) if len(some) else np.zeros((0, dims))
