@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,14 +32,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-_scopes: list[list[str]] = []
+#: The scopes that are open where code runs: threads have their own.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def workspace(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; nothing is made there yet. It goes with the innermost scratch()."""
     path = f"{shared_dir(spark)}/factorloom/{name}-{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append(path)
+    if scopes := _scopes.get():
+        scopes[-1].append(path)
     return path
 
 
@@ -50,8 +52,9 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     of its result within one scope: ``with scratch(spark): near_duplicates(docs).write.parquet(path)``.
     """
     own: list[str] = []
-    outer = _scopes[-1] if _scopes else None
-    _scopes.append(own)
+    scopes = _scopes.get()
+    outer = scopes[-1] if scopes else None
+    token = _scopes.set((*scopes, own))
 
     def keep(df: DataFrame) -> DataFrame:
         own.remove(df.written_to)
@@ -62,7 +65,7 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     try:
         yield keep
     finally:
-        _scopes.pop()
+        _scopes.reset(token)
         for path in own:
             at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -814,6 +814,17 @@ def test_scratch_tables_go(spark):
     assert [*map(there, places)] == [False, True, False]
 
 
+def test_scratch_scopes_are_a_threads_own(spark):
+    """An operator in another thread doesn't lose its tables when this one's scope ends."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(1) as pool:
+        with common.scratch(spark):
+            other = pool.submit(lambda: common.written(spark.range(5), "other")).result()
+            own = common.written(spark.range(5), "own")
+        assert other.count() == 5 and not os.path.exists(re.sub("^file:/+", "/", own.written_to))
+
+
 def test_bpe(docs, empty, odd):
     path = public_tokenizers.path(queries.BYTE_BPE)
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe._ranks(path), special_tokens={})
