@@ -271,3 +271,72 @@ class Categories:
         registry.overrides.clear()
         registry.overrides.update(state["overrides"])
         return state
+
+
+@dataclass
+class Settings:
+    """Settings in a document: where factors are kept, and a provider's key, which is never shown."""
+
+    documents: Documents
+
+    def _state(self) -> dict:
+        return self.documents.get("settings") if "settings" in self.documents.keys() else {}
+
+    def show(self) -> dict:
+        state = self._state()
+        return {"factors_dir": state.get("factors_dir", FOLDERS["factors"]), "provider_key_set": "provider_key" in state}
+
+    def provider_key(self) -> str | None:
+        return self._state().get("provider_key")
+
+    def update(self, changes: dict) -> dict:
+        """Changes some settings and leaves the others; an empty key takes the stored one away. Raises for what
+        isn't a setting, and for a folder that can't be made; then nothing changes."""
+        state = self._state()
+        for name, value in changes.items():
+            if name not in ("factors_dir", "provider_key") or not isinstance(value, str):
+                raise ValueError(f"not a setting: {name!r} = {value!r}")
+        if folder := changes.get("factors_dir"):
+            try:
+                Path(folder).expanduser().mkdir(parents=True, exist_ok=True)
+            except OSError as e:
+                raise ValueError(f"factors_dir can't be used: {e}") from e
+            state["factors_dir"] = str(Path(folder).expanduser())
+        if (key := changes.get("provider_key")) is not None:
+            state |= {"provider_key": key.strip()}
+            if not key.strip():
+                del state["provider_key"]
+        self.documents.put("settings", state)
+        return self.show()
+
+
+#: What a workspace may hold, by type; the first three it must.
+WORKSPACE = {"name": str, "version": int, "savedAt": str, "run": dict, "universes": list, "operators": list, "universeDraft": dict, "formulaDraft": dict, "operatorDraft": dict, "ui": dict}
+
+
+@dataclass
+class Workspaces:
+    """Saved states of a user's work, a document each."""
+
+    documents: Documents
+
+    def save(self, data: dict) -> str:
+        """Stores a workspace by its name; raises where a part is missing or of another type."""
+        wrong = [k for k in list(WORKSPACE)[:3] if data.get(k) is None] + [k for k, v in data.items() if v is not None and not isinstance(v, WORKSPACE.get(k, ()))]
+        if wrong or data["version"] < 1:
+            raise ValueError(f"not a workspace: {wrong or ['version']}")
+        self.documents.put(data["name"], data)
+        return slug(data["name"])
+
+    def get(self, key: str) -> dict:
+        if slug(key) not in self.documents.keys():
+            raise KeyError(key)
+        return self.documents.get(key)
+
+    def delete(self, key: str) -> bool:
+        return self.documents.delete(key)
+
+    def summaries(self) -> list[dict]:
+        """Those saved last come first."""
+        rows = [(k, self.documents.get(k)) for k in self.documents.keys()]
+        return [{"id": k, "name": d["name"], "savedAt": d["savedAt"], "hasRun": d.get("run") is not None} for k, d in sorted(rows, key=lambda r: r[1]["savedAt"], reverse=True)]

@@ -9,7 +9,7 @@ from urllib.parse import unquote
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.panel import PRICE_FIELDS, PRICE_SCHEMA, coverage, merge, normalize, sync_plan, validate
+from ..operators.panel import PRICE_FIELDS, PRICE_SCHEMA, coverage, merge, normalize, resolve_memberships, sync_plan, validate
 from . import files
 from .provider import Fetch, provider_rows
 from .tables import BUCKETS, SymbolTable
@@ -150,6 +150,15 @@ def edit_universe(spark: SparkSession, path: str, name: str, add: DataFrame | No
     return load_universe(spark, path, name)
 
 
+def sync_memberships(spark: SparkSession, universes_path: str, name: str, prices_path: str, stale_days: int = 10) -> DataFrame:
+    """Sets a universe's entries and exits by its members' prices; members without prices stay as they are."""
+    old = load_universe(spark, universes_path, name)
+    found = resolve_memberships(old.select("symbol", "entry"), load(spark, prices_path), stale_days)
+    new = old.join(found.select("symbol", F.col("entry").alias("__entry"), F.col("exit").alias("__exit"), F.lit(True).alias("__found")), "symbol", "left")
+    by_prices = lambda c: F.when(F.col("__found"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c)
+    return edit_universe(spark, universes_path, name, new.select("symbol", by_prices("entry"), by_prices("exit")))
+
+
 def landing(raw: DataFrame, columns: dict[str, str], symbol: str | None = None) -> DataFrame:
     """A provider's rows under the schema's names, with an order of arrival; a split of 0 means none."""
     have = set(raw.columns)

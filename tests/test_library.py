@@ -16,7 +16,7 @@ from factorloom.plans.expr import CATEGORIES, ExprError, Registry, parse
 from factorloom.plans.search import Config, Search
 from factorloom.plans.sessions import Jobs, Session, export_run, run_search, validate_export
 from factorloom.sources import files, prices
-from factorloom.sources.library import Categories, Documents, FactorStore, FormulaStore, clear, usage
+from factorloom.sources.library import Categories, Documents, FactorStore, FormulaStore, Settings, Workspaces, clear, usage
 
 
 def test_returns_after_a_close_of_zero(spark):
@@ -175,3 +175,42 @@ def test_combined_trees(spark):
     mega = score.combine_trees(p, [parse("volume"), parse("rank(returns)")], "2021-02-10")
     ic = score.daily_ic(mega.join(score.forward_returns(p).select("date", "symbol", "fwd"), ["date", "symbol"]))
     assert mega.count() == 600 and ic.agg(F.avg("ic")).first()[0] > 0.5
+
+
+def test_settings_and_workspaces(tmp_path):
+    s = Settings(Documents(tmp_path / "meta"))
+    assert s.show() == {"factors_dir": "factors", "provider_key_set": False} and s.provider_key() is None
+    assert "secret" not in str(s.update({"provider_key": " secret "})) and s.provider_key() == "secret"
+    assert s.update({"factors_dir": str(tmp_path / "f")}) == {"factors_dir": str(tmp_path / "f"), "provider_key_set": True} and (tmp_path / "f").is_dir()
+    (tmp_path / "file").write_text("")
+    for bad in ({"factors_dir": str(tmp_path / "file" / "x")}, {"other": "x"}, {"provider_key": 3}):
+        with pytest.raises(ValueError):
+            s.update(bad)
+    assert s.update({"provider_key": ""})["provider_key_set"] is False and s.show()["factors_dir"] == str(tmp_path / "f")
+
+    w = Workspaces(Documents(tmp_path / "w"))
+    assert w.save({"name": "First one", "version": 1, "savedAt": "2024-01-01", "ui": {"tab": 2}}) == "first_one"
+    w.save({"name": "Second", "version": 2, "savedAt": "2024-02-01", "run": {"best": "close"}})
+    assert [(x["id"], x["hasRun"]) for x in w.summaries()] == [("second", True), ("first_one", False)] and w.get("First one")["ui"] == {"tab": 2}
+    for bad in ({"name": "x", "version": 0, "savedAt": "a"}, {"name": "x", "savedAt": "a"}, {"name": "x", "version": 1, "savedAt": "a", "ui": []}, {"name": "x", "version": 1, "savedAt": "a", "what": 1}):
+        with pytest.raises(ValueError):
+            w.save(bad)
+    assert w.delete("second") and not w.delete("second")
+    with pytest.raises(KeyError):
+        w.get("second")
+
+
+def test_membership_dates_by_prices(spark, tmp_path):
+    u, p = str(tmp_path / "u"), str(tmp_path / "p")
+    prices.save_universe(spark.sql("select 'own' universe, explode(array('A', 'B', 'C')) symbol, date'2020-01-02' entry, cast(null as date) exit"), u)
+    late = price_rows(spark, [1.0], symbol="B").withColumn("date", F.to_date(F.lit("2020-02-01")))
+    prices.upsert(spark, p, price_rows(spark, [1.0, 2.0], symbol="A").unionByName(late), buckets=2)
+    got = {r.symbol: (str(r.entry), str(r.exit)) for r in prices.sync_memberships(spark, u, "own", p).collect()}
+    assert got == {"A": ("2020-01-02", "2020-01-02"), "B": ("2020-02-01", "None"), "C": ("2020-01-02", "None")}
+
+
+def test_usage_of_shared_storage(spark, tmp_path):
+    spark.range(5).write.parquet(str(tmp_path / "prices" / "t"))
+    assert 0 < usage(tmp_path, spark)["prices"]["bytes"] <= usage(tmp_path)["prices"]["bytes"]
+    clear(str(tmp_path), "prices", spark)
+    assert usage(f"file://{tmp_path}", spark)["prices"] == {"files": 0, "bytes": 0}
