@@ -48,7 +48,9 @@ _IS_NODE, _IS_PATH, _IS_PIECE = range(3)
 def sequences(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv_id, and its turns in order (null first; ties by role, then text): their digests, and bytes of text.
 
-    A digest is of role and text together, null counting as empty. Rows without an id go.
+    A digest is of role and text together, null counting as empty. Rows without an id go; repeated rows are turns
+    of their own. Texts count whole, whatever their length: a conversation's rows are sorted with spilling, and its
+    digests then fit a task. An empty table gives an empty result; other columns are not read, whatever their names.
     """
     t = turns.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("bigint").alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
