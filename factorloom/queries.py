@@ -563,7 +563,7 @@ def stream_factors(spark, sf_dir):
     sliced = event_slices(_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value"))
     sliced.write.partitionBy("slice").parquet(f"{top}/slices")
     columns = spark.read.parquet(f"{top}/slices").drop("slice").schema
-    table = FactorTable(spark, f"{top}/table", {k: parse(t) for k, t in _STREAMED.items()}, columns["ts"].dataType.simpleString())
+    table = FactorTable(spark, f"{top}/table", {k: parse(t) for k, t in _STREAMED.items()}, columns["ts"].dataType.simpleString(), buckets=8)
     for i in range(_SLICES):
         spark.read.schema(columns).parquet(f"{top}/slices/slice={i}").coalesce(1).write.mode("append").parquet(f"{top}/in")
         stream_factors_of(spark.readStream.schema(columns).parquet(f"{top}/in"), table, f"{top}/checkpoint").awaitTermination()

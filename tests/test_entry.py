@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-SOME = ["daily_ic_spearman", "backtest_summary", "adjust_prices", "members_interval", "lineage_ancestors", "op_decay_linear", "sync_plan", "combine_signals"]
+SOME = ["daily_ic_spearman", "backtest_summary", "adjust_prices", "members_interval", "lineage_ancestors", "op_decay_linear", "sync_plan", "combine_signals", "stored_prices", "neutralize_both", "backtest_on_dates"]
 
 
 def test_names():
