@@ -61,9 +61,9 @@ def merge_bars(old: DataFrame, new: DataFrame) -> DataFrame:
 class FactorTable:
     """Bars and factors under a folder, for one stream: ``bars``, ``factors`` and the ``dates`` of the grid."""
 
-    def __init__(self, spark: SparkSession, path: str, formulas: Mapping[str, Node], ts: str = "timestamp_ntz", registry: Registry | None = None, buckets: int = BUCKETS) -> None:
+    def __init__(self, spark: SparkSession, path: str, formulas: Mapping[str, Node], ts: str = "timestamp_ntz", registry: Registry | None = None, buckets: int = BUCKETS, infinite: bool = True) -> None:
         registry = registry or Registry()
-        self.spark, self.path = spark, path.rstrip("/")
+        self.spark, self.path, self.infinite = spark, path.rstrip("/"), infinite
         self.trees = {k: simplify(registry.expand(registry.validate(n, registry.infer(n)))) for k, n in formulas.items()}
         kinds = {k: registry.infer(n) for k, n in formulas.items()}
         self.bars = SymbolTable(spark, f"{self.path}/bars", T.StructType.fromDDL(_BARS.format(ts=ts)), buckets)
@@ -120,7 +120,7 @@ class FactorTable:
         read_from = before.agg(F.min("date")).first()[0] or least
         bars = self.bars.read().where(F.col("date") >= F.lit(read_from)).join(starts.select("symbol"), "symbol", "left_semi").select("symbol", "date", *_FIELDS)
         grid = dates.where(F.col("date") >= F.lit(read_from))
-        panel = derive(densify(bars, dates=grid, symbols=starts.select("symbol")))
+        panel = derive(densify(bars, dates=grid, symbols=starts.select("symbol")), self.infinite)
         values = Compiler().run(panel, self.trees).select("symbol", "date", *self.trees)
         tail = values.join(starts, "symbol").where("date >= start").drop("start")
         self.factors.replace(tail, merge)
