@@ -1,4 +1,4 @@
-"""Queries against their SQL where a close of 0 comes before another."""
+"""Queries against their SQL where a close of 0 comes before another, and where rounding meets a tie."""
 
 import datetime
 
@@ -36,3 +36,13 @@ def test_against_sql(spark, events, name):
     assert columns == sorted(want.columns)
     show = lambda df: sorted(tuple("" if x is None or x != x else f"{round(x, 5) + 0.0:.5f}" if isinstance(x, float) else str(x)[:10] for x in r) for r in df[columns].itertuples(index=False))
     assert show(got) == show(want)
+
+
+def test_ties_of_rounding(spark, tmp_path):
+    """67.98 / (67.98 / 53.9 - 1) is 260.2359375, and times a million in floating point below the tie."""
+    rows = [(0, datetime.datetime(2024, 1, 1), 1, 53.9), (1, datetime.datetime(2024, 1, 2), 1, 67.98)]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, value double").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    got = [r.value for r in entry.queries()["op_div"](spark, str(tmp_path)).orderBy("date").collect()]
+    assert got == con.sql(entry.oracle_sql()["op_div"] + " ORDER BY date").df()["value"].astype(object).where(lambda x: x.notna(), None).tolist() == [None, 260.235937]
