@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from factorloom.functions import workers
 from factorloom.operators import lineage, overfit, score
-from factorloom.plans.compile import evaluate
+from factorloom.plans.compile import evaluate, evaluate_batch
 from factorloom.plans.expr import parse
 
 
@@ -131,3 +131,13 @@ def test_long_windows(spark):
             want = pd.Series(values).replace([np.inf], np.nan).rolling(w).apply(lambda v: (v * weights).sum() / weights.sum(), raw=True).to_numpy()
             np.testing.assert_allclose(own, want, rtol=1e-7)
     assert sizes[2] == sizes[5] and sizes[33] == sizes[250] <= sizes[5] + 2
+
+
+def test_cross_sections_of_a_batch_are_dealt_out(spark):
+    """However small the rows are when written, few cross-sections (fid, date) are one task's to sort."""
+    rows = [(d, s, float((d * 7 + s * 13) % 29)) for d in range(40) for s in range(50)]
+    p = spark.createDataFrame(rows, "d int, symbol bigint, close double").select(F.expr("date_add(date'2024-01-01', d)").alias("date"), "symbol", "close")
+    long = evaluate_batch(p, [parse("rank(close)"), parse("rank(delta(close, 1))"), parse("close")])
+    per_task = long.groupBy(F.spark_partition_id().alias("task")).agg(F.count_distinct("fid", "date").alias("n"))
+    assert per_task.agg(F.max("n")).first()[0] <= 12  # of 120
+    assert long.count() == 3 * len(rows)
