@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm import bpe, forest, lines, mixing, quality
+from factorloom.llm import bpe, lines, mixing, quality, wide
 from factorloom.llm.common import scratch, written
 from factorloom.llm.queries import BYTE_BPE, ship, table
 
@@ -26,17 +26,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
-#: Near-duplicates: similarity of sets of five-word shingles, and depths of the forest that finds them.
-SIMILARITY, DEPTHS = (4, 5), (5, 10, 20)
+#: Near-duplicates: similarity of sets of five-word shingles.
+SIMILARITY = (4, 5)
 
 
 def linked(docs: DataFrame) -> DataFrame:
     """doc_id, component_id: groups of near-duplicates; texts without words are alike."""
-    return forest.near_duplicates(docs, similarity=SIMILARITY, depths=DEPTHS, alike_empty=True)
+    return wide.near_duplicates(docs, similarity=SIMILARITY, alike_empty=True)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five words, similarity 0.8) the document of the smallest id. Rows of one id stay or go together."""
+    """Of each group of near-duplicates (five words, similarity 0.8, found by deletion variants of SimHash segments) the document
+    of the smallest id. Rows of one id stay or go together."""
     ship(spark)
     kept = linked(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept"))
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi").select(*COLUMNS)

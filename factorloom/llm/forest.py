@@ -251,6 +251,24 @@ def filtered(rows: DataFrame, asked: DataFrame, key: str) -> DataFrame:
     return held.where(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), F.pmod(place, F.lit(8)))) != 0).select(*rows.columns)
 
 
+def named_groups(d: DataFrame, distinct: DataFrame, links: DataFrame, id_col: str, alike_empty: bool) -> DataFrame:
+    """What near_duplicates() returns, of rows (id, n, fp), their sets (fp, rep, copies) and links between sets."""
+    roots = stars(links, "forest-stars")
+    in_groups = roots.select(F.col("node").alias("fp"), "root").union(roots.select(F.col("root").alias("fp"), "root")).distinct()
+    reps = written(in_groups.join(distinct.select("fp", "rep"), "fp"), "forest-reps")
+    least = reps.groupBy("root").agg(F.min("rep").alias("component"))
+    in_groups = reps.join(least, "root").select("fp", "component")
+    named = written(distinct.select("fp", "rep", "copies").join(in_groups, "fp", "left").select("fp", "copies", F.coalesce("component", "rep").alias("component_id")), "forest-named")
+    out = join_copies(d.where("n > 0").select("id", "n", "fp"), named, "fp").select("id", "n", "component_id")
+    none = d.where("n = 0").select("id", "n")
+    if alike_empty:
+        none = none.crossJoin(F.broadcast(none.agg(F.min("id").alias("component_id"))))  # one row
+    else:
+        none = none.withColumn("component_id", F.col("id"))
+    out = out.unionByName(none)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, similarity: tuple[int, int] = SIMILARITY,
     depths: tuple[int, ...] = DEPTHS, large: int = LARGE, large_shingles: int = LARGE_SHINGLES, alike_empty: bool = False,
@@ -325,20 +343,7 @@ def near_duplicates(
         width = depths[level + 1] * trees(depths[level + 1], similarity)
         rings = written(texts(fps).mapInArrow(partial(_rings, words=words, n=width, level=level + 1), "fp bigint, n bigint, ring binary"), "forest-rings")
 
-    roots = stars(links, "forest-stars")
-    in_groups = roots.select(F.col("node").alias("fp"), "root").union(roots.select(F.col("root").alias("fp"), "root")).distinct()
-    reps = written(in_groups.join(distinct.select("fp", "rep"), "fp"), "forest-reps")
-    least = reps.groupBy("root").agg(F.min("rep").alias("component"))
-    in_groups = reps.join(least, "root").select("fp", "component")
-    named = written(distinct.select("fp", "rep", "copies").join(in_groups, "fp", "left").select("fp", "copies", F.coalesce("component", "rep").alias("component_id")), "forest-named")
-    out = join_copies(d.where("n > 0").select("id", "n", "fp"), named, "fp").select("id", "n", "component_id")
-    none = d.where("n = 0").select("id", "n")
-    if alike_empty:
-        none = none.crossJoin(F.broadcast(none.agg(F.min("id").alias("component_id"))))  # one row
-    else:
-        none = none.withColumn("component_id", F.col("id"))
-    out = out.unionByName(none)
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return named_groups(d, distinct, links, id_col, alike_empty)
 
 
 def _signatures(rings: DataFrame, depth: int, orders: int) -> DataFrame:
