@@ -2,7 +2,8 @@
 
 As in ``simhash``, a bit of the fingerprint is one that over half of the shingles have. At a Jaccard similarity of 0.8 about
 15 % of bits differ, so the fingerprint has many segments, as many as let all but MISSED of such pairs differ by one bit at
-most in one of them. Sets of shingles move only for pairs that such a segment brings together and whose other bits agree.
+most in one of them. Sets of shingles move only for texts that such a segment brings together and whose sketches agree. Pairs
+are looked at where a task holds both texts: what is given out joins texts to regions, and no table has a row for each pair.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +26,7 @@ SIMILARITY = (4, 5)
 #: Bits of a segment of which one may differ: each is deleted in turn. The segment's other bits, which deal it to tasks, are equal.
 REST = 12
 #: Bits that travel with each segment, to tell pairs apart that share one by chance.
-SKETCH = 128
+SKETCH = 192
 #: In sets of so many shingles more bits differ at one similarity than in larger ones; they have further segments.
 FEW = 5
 #: Segments in which each text is first compared with those beside it only.
@@ -103,28 +103,28 @@ def _sketched(batches: Iterator[pa.RecordBatch], words: int, bits: int, few_bits
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), b.column(1)], ["id", "fp", "n", "bits", "text"])
 
 
-def _segmented(batches: Iterator[pa.RecordBatch], exact: int, counts: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    """Rows (fp, n, bits, root) to a row for each segment: its number and equal bits, the others (and whether the set has few shingles),
-    the sketch. counts: segments of sets of more than FEW shingles, of others."""
+def _segmented(batches: Iterator[pa.RecordBatch], exact: int, counts: tuple[int, int], start: int) -> Iterator[pa.RecordBatch]:
+    """Rows (fp, n, bits, root) to a row for each segment from ``start`` on: its number and equal bits, the others (and whether the set
+    has few shingles), the sketch. counts: segments of sets of more than FEW shingles, of others, with those before ``start``."""
     width = exact + REST
     for whole in batches:
         for at in range(0, len(whole), 1024):
             b = whole.slice(at, 1024)
             few = b.column(1).to_numpy() <= FEW
             for some, count, flag in ((~few, counts[0], 0), (few, counts[1], 1 << REST)):
-                if not some.any():
+                if not some.any() or count <= start:
                     continue
                 own = b.filter(pa.array(some))
                 raw = np.frombuffer(b"".join(own.column(2).to_pylist()), np.uint8).reshape(len(own), -1)
                 sketch = np.ascontiguousarray(raw[:, : SKETCH // 8]).view(np.int64)
                 bits = np.unpackbits(raw[:, SKETCH // 8 :], axis=1, bitorder="little", count=count * width).reshape(len(own), count, width)
-                value = np.zeros((len(own), count), np.int64)
+                value = np.zeros((len(own), count - start), np.int64)
                 for i in range(width):
-                    value = (value << 1) | bits[:, :, i]
-                key = (np.arange(count) << exact) | (value >> REST)
+                    value = (value << 1) | bits[:, start:, i]
+                key = (np.arange(start, count) << exact) | (value >> REST)
                 cols = [key.ravel(), ((value & ((1 << REST) - 1)) | flag).ravel()]
-                cols += [np.repeat(c, count) for c in (sketch[:, 0], sketch[:, 1], own.column(0).to_numpy(), own.column(3).to_numpy())]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "rest", "lo", "hi", "fp", "root"])
+                cols += [np.repeat(c, count - start) for c in (*sketch.T, own.column(0).to_numpy(), own.column(3).to_numpy())]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "rest", "lo", "hi", "more", "fp", "root"])
 
 
 def _sections(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -150,6 +150,7 @@ def variants(rest: np.ndarray, lo: np.ndarray, hi: np.ndarray, root: np.ndarray,
 
     most: differing bits of a pair's sketches at most, where a set has more than FEW shingles and where both have no more. With
     ``beside``, of those of one variant each is compared with so many before it in order of sketches. A pair is given once.
+    Roots may be joined in place (in ``root``) between pairs: what has one root by then isn't compared any more.
     """
     lo, hi = lo.view(np.uint64), hi.view(np.uint64)
     few, rest = rest >> REST, rest & ((1 << REST) - 1)
@@ -172,12 +173,15 @@ def variants(rest: np.ndarray, lo: np.ndarray, hi: np.ndarray, root: np.ndarray,
         i = np.arange(len(key))
         if not beside:
             for g in np.flatnonzero(end - start > _BROAD):
-                own = order[start[g] : end[g]]
-                names, place, count = np.unique(root[own], return_inverse=True, return_counts=True)
-                others = np.flatnonzero(place != count.argmax())
-                step = max(1, (1 << 20) // len(own))
-                for at in range(0, len(others), step):
-                    yield near(*_crossed(own, others[at : at + step], place != count.argmax()), bit)
+                own, step = order[start[g] : end[g]], 1
+                while True:
+                    _, place, count = np.unique(root[own], return_inverse=True, return_counts=True)
+                    others = np.flatnonzero(place != count.argmax())
+                    if not len(others):
+                        break
+                    x = others[:step]
+                    yield near(*_crossed(own, x), bit)
+                    own, step = np.delete(own, x), min(2 * step, max(1, (1 << 20) // len(own)))
             i = i[np.repeat(end - start <= _BROAD, end - start)]
         offset = 1
         while len(i := i[i + offset < last[i]]) and (not beside or offset <= beside):
@@ -185,15 +189,49 @@ def variants(rest: np.ndarray, lo: np.ndarray, hi: np.ndarray, root: np.ndarray,
             offset += 1
 
 
-def _crossed(own: np.ndarray, x: np.ndarray, outside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each of ``x`` (places in ``own``) with all that aren't ``outside``, and with those outside that come after it."""
-    i, j = np.nonzero(~outside[None, :] | (np.arange(len(own))[None, :] > x[:, None]))
+def _crossed(own: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each of ``x`` (places in ``own``) with all others, those of two of ``x`` once."""
+    after = np.ones((len(x), len(own)), bool)
+    after[:, x] = x[None, :] > x[:, None]
+    i, j = np.nonzero(after)
     return own[x[i]], own[j]
 
 
-def _beside(batches: Iterator[pa.RecordBatch], most: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    """Of each text the NEIGHBOURS nearest of those beside it: (a, b, bits)."""
-    for rest, lo, hi, fp, root in _sections(batches):
+def joined(rest: np.ndarray, lo: np.ndarray, hi: np.ndarray, more: np.ndarray, root: np.ndarray, most: tuple[int, int]) -> list[tuple[int, int]]:
+    """Roots that hold together by variants in common and near sketches: fewer pairs of them than there are roots."""
+    names, own = np.unique(root, return_inverse=True)
+    up, now, few, further, links = np.arange(len(names)), own.astype(np.int64), rest >> REST, more.view(np.uint64), []
+    for i, j, bits in variants(rest, lo, hi, now, most):
+        at = bits + np.bitwise_count(further[i] ^ further[j]) <= np.where(few[i] & few[j], most[1], most[0])
+        if not at.any():
+            continue
+        for pair in np.unique(now[i[at]] * len(names) + now[j[at]]).tolist():
+            x, y = divmod(pair, len(names))
+            while up[x] != x:
+                x = up[x]
+            while up[y] != y:
+                y = up[y]
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                links.append((int(names[x]), int(names[y])))
+        while (up[up] != up).any():
+            up = up[up]
+        now[:] = up[own]
+    return links
+
+
+def _edges(links: list[tuple[int, int]], sets: Sets) -> Iterator[pa.RecordBatch]:
+    links = [x for x in links if sets.join(*x)]
+    if links:
+        a, b = zip(*links, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.int64())], ["a", "b", "bits"])
+
+
+def _beside(batches: Iterator[pa.RecordBatch], most: tuple[int, int], whole: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """Of each text the NEIGHBOURS nearest of those beside it: (a, b, bits), and what holds together: (a, b, null)."""
+    sets = Sets()
+    for rest, lo, hi, more, fp, root in _sections(batches):
+        yield from _edges(joined(rest, lo, hi, more, root, whole), sets)
         found = [np.concatenate(c) for c in zip(*variants(rest, lo, hi, root, most, NEIGHBOURS), strict=True)]
         if not found or not len(found[0]):
             continue
@@ -205,27 +243,24 @@ def _beside(batches: Iterator[pa.RecordBatch], most: tuple[int, int]) -> Iterato
         yield pa.RecordBatch.from_arrays([pa.array(c[some]) for c in (a, b, bits)], ["a", "b", "bits"])
 
 
-def _together(batches: Iterator[pa.RecordBatch], most: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    """All pairs of different roots that have a variant in common, and whose sketches are near."""
-    for rest, lo, hi, fp, root in _sections(batches):
-        if (root == root[0]).all():
-            continue
-        for i, j, _ in variants(rest, lo, hi, root, most):
-            if len(i):
-                turned = fp[i] < fp[j]
-                i, j = np.where(turned, j, i), np.where(turned, i, j)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (fp[i], fp[j])], ["a", "b"])
+def _together(batches: Iterator[pa.RecordBatch], whole: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """What holds together of different roots: (a, b, null)."""
+    sets = Sets()
+    for rest, lo, hi, more, _, root in _sections(batches):
+        if (root != root[0]).any():
+            yield from _edges(joined(rest, lo, hi, more, root, whole), sets)
 
 
-def _likely(batches: Iterator[pa.RecordBatch], differ: tuple[float, float], words: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b, both fingerprints, whether both sets have few shingles) to pairs that no more bits tell apart than may be. words: those of
-    a fingerprint, by whether the set has few shingles."""
-    for b in batches:
-        few, near = b.column(4).to_numpy(zero_copy_only=False), np.zeros(len(b), bool)
-        for which, p, n in zip((~few, few), differ, words, strict=True):
-            x, y = (np.frombuffer(b"".join(pc.binary_slice(b.column(c).filter(pa.array(which)), 0, 8 * n).to_pylist()), np.uint64).reshape(-1, n) for c in (2, 3))
-            near[which] = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= furthest(p, 64 * n)
-        yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(near)) for c in (0, 1)], ["a", "b"])
+def shared(sets: list[np.ndarray], root: np.ndarray) -> np.ndarray:
+    """Of each set: its members that a set of another root has too. No two sets of different roots have more in common."""
+    size = [len(s) for s in sets]
+    names, at = np.unique(root, return_inverse=True)
+    _, member = np.unique(np.concatenate(sets), return_inverse=True)
+    of = np.repeat(at, size)
+    low, high = np.full(member.max() + 1, len(names)), np.full(member.max() + 1, -1)
+    np.minimum.at(low, member, of)
+    np.maximum.at(high, member, of)
+    return np.add.reduceat((low != high)[member].astype(np.int64), np.r_[0, np.cumsum(size)[:-1]])
 
 
 def settle(fp: list[int], root: list[int], bits: list[bytes], sets: list[np.ndarray], similarity: tuple[int, int], differ: tuple[float, float]) -> list[tuple[int, int]]:
@@ -233,11 +268,12 @@ def settle(fp: list[int], root: list[int], bits: list[bytes], sets: list[np.ndar
     groups, links, width = Sets(), [], min(map(len, bits))
     words = np.stack([np.frombuffer(x, np.uint64, width // 8) for x in bits])
     size, names, (part, whole) = np.array([len(s) for s in sets]), np.array(root), similarity
+    common = shared(sets, names)
     few = size <= FEW
     for i in range(len(fp) - 1):
         between = np.bitwise_count(words[i + 1 :] ^ words[i]).sum(1, dtype=np.int64)
         most = np.where(few[i] & few[i + 1 :], furthest(differ[1], 8 * width), furthest(differ[0], 8 * width))
-        sizes = np.minimum(size[i], size[i + 1 :]) * whole >= np.maximum(size[i], size[i + 1 :]) * part
+        sizes = np.minimum(common[i], common[i + 1 :]) * (part + whole) >= (size[i] + size[i + 1 :]) * part
         found = np.flatnonzero((between <= most) & sizes & (names[i + 1 :] != names[i]))
         for j in (found[np.argsort(between[found], kind="stable")] + i + 1).tolist():
             if groups.root(root[i]) != groups.root(root[j]) and alike(sets[i], sets[j], similarity):
@@ -266,10 +302,10 @@ def near_duplicates(
 
     Each segment of the fingerprint goes as one row to the task of its number and first ``exact`` bits (by default as many as
     make that some 2 ** 14 texts, whatever their number). Of its other REST bits one at a time is deleted there, equal variants
-    meet, and pairs go on whose SKETCH further bits agree. In the first segments each text is compared with those beside it
-    only, and the nearest are verified, so that large groups of near copies are joined before all pairs of what is still apart
-    are taken up, in all segments. Such pairs are looked at by all bits; what they hold together is a region, whose members of
-    different groups one task compares by bits and then by sets, or, in slices of ``large`` texts, a task for each two slices.
+    meet, and pairs are held together whose SKETCH further bits agree: a task gives out fewer of them than it has texts. In
+    the first segments each text is compared with those beside it, and the nearest are verified, so that large groups
+    of near copies are joined early; in all others, what isn't held together yet. What is held together is a region, whose members
+    of different groups one task compares by bits and then by sets, or, in slices of ``large`` texts, a task for each two slices.
     """
     n = partitions(docs)
     if exact is None:
@@ -277,7 +313,7 @@ def near_duplicates(
     differ = most_differing(similarity)
     counts = tuple(segments(p, exact) for p in differ)
     bits, few_bits = (SKETCH + c * (exact + REST) for c in counts)
-    most = tuple(furthest(p, SKETCH) for p in differ)
+    most, whole = (tuple(furthest(p, b) for p in differ) for b in (128, SKETCH))
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     id_type = d.schema["id"].dataType.simpleString()
     d = d.mapInArrow(partial(_sketched, words=words, bits=bits, few_bits=few_bits), f"id {id_type}, fp bigint, n bigint, bits binary, text string")
@@ -293,12 +329,13 @@ def near_duplicates(
     def sets(fps: DataFrame) -> DataFrame:
         return written(texts(fps).select("fp", "text").mapInArrow(partial(_sets, words=words), "fp bigint, set binary"), "wide-sets", "uncompressed")
 
-    def dealt(rows: DataFrame, counts: tuple[int, int]) -> DataFrame:
-        schema = "key bigint, rest bigint, lo bigint, hi bigint, fp bigint, root bigint"
-        return rows.select("fp", "n", "bits", "root").mapInArrow(partial(_segmented, exact=exact, counts=counts), schema).repartition(n, "key").sortWithinPartitions("key")
+    def dealt(rows: DataFrame, counts: tuple[int, int], start: int = 0) -> DataFrame:
+        schema = "key bigint, rest bigint, lo bigint, hi bigint, more bigint, fp bigint, root bigint"
+        return rows.select("fp", "n", "bits", "root").mapInArrow(partial(_segmented, exact=exact, counts=counts, start=start), schema).repartition(n, "key").sortWithinPartitions("key")
 
     first = dealt(distinct.withColumn("root", F.col("fp")), tuple(min(FIRST_SEGMENTS, c) for c in counts))
-    near = first.mapInArrow(partial(_beside, most=most), "a bigint, b bigint, bits bigint").groupBy("a").agg(F.collect_set(F.struct("bits", "b")).alias("near"))
+    first = written(first.mapInArrow(partial(_beside, most=most, whole=whole), "a bigint, b bigint, bits bigint"), "wide-first")
+    near = first.where("bits is not null").groupBy("a").agg(F.collect_set(F.struct("bits", "b")).alias("near"))
     pairs = written(near.select("a", F.explode(F.transform(F.slice(F.sort_array("near"), 1, NEIGHBOURS), lambda x: x["b"])).alias("b")), "wide-pairs")
     own = sets(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct())
     both = pairs.join(own.select(F.col("fp").alias("a"), F.col("set").alias("s")), "a").join(own.select(F.col("fp").alias("b"), F.col("set").alias("t")), "b")
@@ -306,16 +343,16 @@ def near_duplicates(
 
     roots = stars(links, "wide-stars").select(F.col("node").alias("fp"), "root")
     grouped = written(distinct.join(roots, "fp", "left").select("fp", "n", "bits", F.coalesce("root", "fp").alias("root")), "wide-grouped")
-    pairs = written(dealt(grouped, counts).mapInArrow(partial(_together, most=most), "a bigint, b bigint").distinct(), "wide-pairs")
-    of_a = grouped.select(F.col("fp").alias("a"), F.col("bits").alias("x"), F.col("n").alias("na"))
-    of_b = grouped.select(F.col("fp").alias("b"), F.col("bits").alias("y"), F.col("n").alias("nb"))
-    both = pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "x", "y", (F.greatest("na", "nb") <= FEW).alias("few"))
-    pairs = written(both.mapInArrow(partial(_likely, differ=differ, words=tuple(-(-b // 64) for b in (bits, few_bits))), "a bigint, b bigint"), "wide-likely")
+    edges = first.where("bits is null").select("a", "b")
+    held = stars(edges, "wide-held").select(F.col("node").alias("fp"), F.col("root").alias("region"))
+    apart = distinct.join(held, "fp", "left").select("fp", "n", "bits", F.coalesce("region", "fp").alias("root"))
+    others = dealt(apart, counts, FIRST_SEGMENTS).mapInArrow(partial(_together, whole=whole), "a bigint, b bigint, bits bigint")
+    edges = edges.unionByName(written(others.select("a", "b"), "wide-others"))
 
-    held = stars(pairs, "wide-held").select(F.col("node").alias("fp"), F.col("root").alias("region"))
+    held = stars(edges, "wide-held").select(F.col("node").alias("fp"), F.col("root").alias("region"))
     held = held.unionByName(held.select(F.col("region").alias("fp"), "region").distinct())
     members = written(grouped.select("fp", "n", "root").join(held, "fp"), "wide-members")
-    regions = members.groupBy("region").agg(F.count("*").alias("copies"), F.sum("n").alias("all"))
+    regions = members.groupBy("region").agg(F.count("*").alias("copies"), F.sum("n").alias("all"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
     slices = F.ceil(F.greatest(F.col("copies") / large, F.when(F.col("copies") > 2, F.col("all") / LARGE_SHINGLES).otherwise(0))).cast("int")
     regions = written(regions.select("region", "copies", slices.alias("slices")), "wide-regions")
     members = join_copies(members, regions, "region").withColumn("__s", F.pmod(F.xxhash64("fp"), F.col("slices")).cast("int")).withColumn("__t", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))

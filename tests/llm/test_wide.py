@@ -73,3 +73,56 @@ def test_the_pipeline_takes_candidates_from_simhash(spark, monkeypatch):
     monkeypatch.setattr(wide, "segments", lambda differ, exact: 1)
     monkeypatch.setattr(wide, "furthest", lambda differ, bits: -1)
     assert {(r.doc_id, r.component_id) for r in pipeline.linked(table(spark, rows)).collect()} == {(1, 1), (2, 2), (3, 1)}
+
+
+def test_rows_grow_with_texts(spark, monkeypatch):
+    """Texts just below the similarity, nearly all pairs of which share a segment: no table has a row for each pair."""
+    rng, rows, made = np.random.default_rng(7), [], {}
+    words = [f"w{i}" for i in range(100)]
+    for i in range(300):
+        own = list(words)
+        for j, at in enumerate(rng.choice(np.arange(4, 96), 2, replace=False)):
+            own[at] = f"x{i}y{j}"
+        rows.append((i, " ".join(own)))
+    written = wide.written
+
+    def counted(df, name, *args):
+        out = written(df, name, *args)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(wide, "written", counted)
+    assert found(wide.near_duplicates(table(spark, rows), similarity=(4, 5), large=64)) == brute(rows, part=80)
+    assert max(made.values()) <= wide.FIRST_SEGMENTS * (wide.NEIGHBOURS + 1) * len(rows), made  # of 44,850 pairs
+
+
+def test_joined_roots_are_not_compared_again():
+    m = 2000
+    zero, root, pairs = np.zeros(m, np.int64), np.arange(m), 0
+    for i, _, _ in wide.variants(zero, zero, zero, root, (1, 2)):
+        pairs += len(i)
+        root[:] = 0
+    assert 0 < pairs < m
+
+
+def test_joined():
+    """Roots that near sketches hold together, as all pairs give them; a third word of the sketch tells some apart."""
+    rng, m = np.random.default_rng(8), 500
+    rest, (lo, hi, more) = rng.integers(64, size=m), rng.integers(4, size=(3, m))
+    more[: m // 2] |= 0xFF00
+    root = np.where(rng.random(m) < 0.3, rng.integers(5, size=m), 10 + np.arange(m))
+    near = (np.bitwise_count(rest[:, None] ^ rest) <= 1) & (sum(np.bitwise_count(x[:, None] ^ x) for x in (lo, hi, more)) <= 1)
+    want, got = wide.Sets(), wide.Sets()
+    for i, j in zip(*np.nonzero(near), strict=True):
+        want.join(int(root[i]), int(root[j]))
+    links = wide.joined(rest, lo, hi, more, root, (1, 1))
+    assert all(got.join(*x) for x in links)
+    assert [got.root(int(x)) for x in root] == [want.root(int(x)) for x in root]
+
+
+def test_shared():
+    """Members that a set of another root has: what pairs of different roots can have in common, at most."""
+    rng = np.random.default_rng(9)
+    sets, root = [np.unique(rng.integers(60, size=n)).astype(np.uint64) for n in rng.integers(1, 12, size=40)], rng.integers(8, size=40)
+    want = [sum(any(x in t for t, s in zip(sets, root, strict=True) if s != r) for x in own) for own, r in zip(sets, root, strict=True)]
+    assert wide.shared(sets, root).tolist() == want
